@@ -1,0 +1 @@
+"""The engine is batch only: it defines no streaming operators."""
