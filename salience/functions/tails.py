@@ -11,14 +11,15 @@ from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)), na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi_square_1(statistic: pd.Series) -> pd.Series:
     return statistic.map(lambda v: math.erfc(math.sqrt(max(v, 0.0) / 2.0)), na_action="ignore")
 

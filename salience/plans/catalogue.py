@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from salience.plans import oracle, ranking_queries
+from salience.plans import oracle, ranking_queries, stats_oracle, stats_queries
 
-QUERIES = {**ranking_queries.QUERIES}
-ORACLE = {**oracle.RANKING_SQL}
+QUERIES = {**ranking_queries.QUERIES, **stats_queries.QUERIES}
+ORACLE = {**oracle.RANKING_SQL, **stats_oracle.STATS_SQL}
