@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from salience.plans import oracle, ranking_queries, stats_oracle, stats_queries
+from salience.plans import (
+    network_oracle, network_queries, oracle, ranking_queries, stats_oracle, stats_queries,
+)
 
-QUERIES = {**ranking_queries.QUERIES, **stats_queries.QUERIES}
-ORACLE = {**oracle.RANKING_SQL, **stats_oracle.STATS_SQL}
+QUERIES = {**ranking_queries.QUERIES, **stats_queries.QUERIES, **network_queries.QUERIES}
+ORACLE = {**oracle.RANKING_SQL, **stats_oracle.STATS_SQL, **network_oracle.NETWORK_SQL}
