@@ -5,7 +5,12 @@ Edges are ``(src, dst, weight)`` with src < dst.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from salience.functions.expressions import clean_name, edge_colour, node_colour
 from salience.session import cut_lineage
@@ -18,27 +23,44 @@ def edge_list(similarity: DataFrame) -> DataFrame:
     )
 
 
-def spanning_forest(nodes: DataFrame, edges: DataFrame, cost: str) -> tuple[DataFrame, DataFrame]:
+# A contracted graph with no more edges than this is finished in one task.
+FINISH_EDGES = 100_000
+
+
+def spanning_forest(
+    nodes: DataFrame, edges: DataFrame, cost: str, finish_edges: int = FINISH_EDGES
+) -> tuple[DataFrame, DataFrame]:
     """Minimum spanning forest and component label of every node.
 
     Boruvka rounds: every component picks its cheapest leaving edge
     (``min`` of a struct, combined map-side, so hubs are harmless), picks are
     merged by pointer jumping, and parallel edges between components shrink to
     the cheapest.  Ties break on (src, dst), which makes the order total.
-    Components at least halve each round; every round is checkpointed.
+    Components at least halve each round, and every round is written out.  Once
+    the counted rest is at most ``finish_edges`` a single task sorts it.
 
     Returns ``(tree(src, dst, cost), labels(node, component))``; a component
     is named after its smallest node.
     """
-    labels = nodes.select(F.col("node"), F.col("node").alias("component"))
     key = F.struct(F.col(cost).alias("cost"), F.col("src").alias("src"), F.col("dst").alias("dst"))
     live = cut_lineage(
         edges.where(F.col("src") != F.col("dst")).select(
             F.col("src").alias("a"), F.col("dst").alias("b"), key.alias("key")
         )
     )
-    trees: DataFrame | None = None
+    trees: list[DataFrame] = [live.select("key").limit(0)]
+    merges: list[DataFrame] = []
     while True:
+        left = live.limit(finish_edges + 1).count()
+        if left == 0:
+            break
+        if left <= finish_edges:
+            solved = cut_lineage(_finish(live))
+            trees.append(
+                solved.where("src is not null").select(F.struct("cost", "src", "dst").alias("key"))
+            )
+            merges.append(solved.where("c is not null").select("c", "root"))
+            break
         ends = F.array(
             F.struct(F.col("a").alias("c"), F.col("b").alias("parent")),
             F.struct(F.col("b").alias("c"), F.col("a").alias("parent")),
@@ -49,30 +71,64 @@ def spanning_forest(nodes: DataFrame, edges: DataFrame, cost: str) -> tuple[Data
             .agg(F.min(F.struct("key", "parent")).alias("pick"))
             .select("c", F.col("pick.parent").alias("parent"), F.col("pick.key").alias("key"))
         )
-        if picks.isEmpty():
-            break
-        chosen = picks.select("key").distinct()
-        trees = chosen if trees is None else trees.unionByName(chosen)
+        trees.append(picks.select("key").distinct())
         pointers = _roots(picks.select("c", "parent"))
-        labels = cut_lineage(
-            labels.join(pointers, labels["component"] == pointers["c"], "left").select(
-                "node", F.coalesce("root", "component").alias("component")
-            )
-        )
-        left = pointers.select(F.col("c").alias("a"), F.col("root").alias("ra"))
-        right = pointers.select(F.col("c").alias("b"), F.col("root").alias("rb"))
+        merges.append(pointers)
+        near = pointers.select(F.col("c").alias("a"), F.col("root").alias("ra"))
+        far = pointers.select(F.col("c").alias("b"), F.col("root").alias("rb"))
         live = cut_lineage(
-            live.join(left, "a")
-            .join(right, "b")
+            live.join(near, "a")
+            .join(far, "b")
             .where(F.col("ra") != F.col("rb"))
             .groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
             .agg(F.min("key").alias("key"))
         )
+    labels = nodes.select(F.col("node"), F.col("node").alias("component"))
+    for merge in merges:
+        labels = labels.join(merge, labels["component"] == merge["c"], "left").select(
+            "node", F.coalesce("root", "component").alias("component")
+        )
     names = labels.groupBy("component").agg(F.min("node").alias("name"))
     named = labels.join(names, "component").select("node", F.col("name").alias("component"))
-    if trees is None:
-        trees = live.select("key")
-    return trees.select("key.src", "key.dst", "key.cost"), named
+    tree = reduce(DataFrame.unionByName, trees)
+    return tree.select("key.src", "key.dst", "key.cost"), named
+
+
+def _finish(live: DataFrame) -> DataFrame:
+    """Tree edges (src, dst, cost) and merges (c, root) of a small edge table."""
+    flat = live.select("a", "b", "key.cost", "key.src", "key.dst")
+    kind = {f.name: f.dataType.simpleString() for f in flat.schema}
+    schema = (
+        f"c {kind['a']}, root {kind['a']}, src {kind['src']}, dst {kind['dst']}, "
+        f"cost {kind['cost']}"
+    )
+    types = {n: to_arrow_type(flat.schema[t].dataType) for n, t in
+             (("c", "a"), ("root", "a"), ("src", "src"), ("dst", "dst"), ("cost", "cost"))}
+
+    def sort_and_merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(column.to_pylist() for column in b.columns))]
+        rows.sort(key=lambda r: r[2:])
+        parent = {n: n for r in rows for n in r[:2]}
+
+        def top(n):
+            while parent[n] != n:
+                parent[n] = parent[parent[n]]
+                n = parent[n]
+            return n
+
+        tree = []
+        for a, b, cost, src, dst in rows:
+            low, high = sorted((top(a), top(b)))
+            if low != high:
+                parent[high] = low
+                tree.append((None, None, src, dst, cost))
+        out = [(n, top(n), None, None, None) for n in parent] + tree
+        if out:
+            yield pa.RecordBatch.from_pydict(
+                {name: pa.array(column, types[name]) for name, column in zip(types, zip(*out))}
+            )
+
+    return flat.coalesce(1).mapInArrow(sort_and_merge, schema)
 
 
 def _roots(picks: DataFrame) -> DataFrame:
@@ -88,9 +144,10 @@ def _roots(picks: DataFrame) -> DataFrame:
     )
     while True:
         ahead = pointers.select(F.col("c").alias("root"), F.col("root").alias("next"))
+        beyond = pointers.select(F.col("c").alias("next"), F.col("root").alias("far"))
         stepped = cut_lineage(
-            pointers.join(ahead, "root").select(
-                "c", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")
+            pointers.join(ahead, "root").join(beyond, "next").select(
+                "c", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")
             )
         )
         pointers = stepped.select("c", "root")

@@ -33,7 +33,7 @@ def _set(part: str, condition: str) -> str:
     return text
 
 
-INNER = """inner_edges AS (
+INNER = """inner_edges AS MATERIALIZED (
   SELECT *, src % 4 AS cluster,
          row_number() OVER (PARTITION BY src % 4 ORDER BY abs(weight), src DESC, dst DESC) AS ord
   FROM edges WHERE src % 4 = dst % 4)"""

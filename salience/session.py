@@ -23,9 +23,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` to a table in the shared checkpoint folder and read it back.
+
+    A written table survives lost executors, lets later reads prune columns,
+    and carries no constraints over; those of a plain checkpoint pile up from
+    round to round in iterative plans and slow the optimizer down.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def parallelism(spark: SparkSession) -> int:
