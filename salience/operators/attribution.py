@@ -151,7 +151,9 @@ def perceptron_predict(model) -> Predict:
     flat = np.asarray(model.weights.toArray())
     parts, at = [], 0
     for i, o in zip(layers[:-1], layers[1:]):
-        parts.append((flat[at : at + i * o].reshape(i, o, order="F").T, flat[at + i * o : at + i * o + o]))
+        # Weights are stored column by column, then the bias.
+        weights = flat[at : at + i * o].reshape(o, i, order="F")
+        parts.append((weights, flat[at + i * o : at + i * o + o]))
         at += i * o + o
 
     def predict(x: np.ndarray) -> np.ndarray:

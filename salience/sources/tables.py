@@ -25,7 +25,8 @@ def _parse_lines(lines: DataFrame, header: str, names: list[str]) -> DataFrame:
         "sample_id",
         "output",
         F.transform(
-            slots, lambda i: F.when(i >= 0, F.get(F.col("_cells"), i)).cast("double")
+            slots,
+            lambda i: F.when(i >= 0, F.nullif(F.get(F.col("_cells"), i), F.lit(""))).cast("double"),
         ).alias("features"),
     )
 
