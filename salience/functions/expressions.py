@@ -7,6 +7,11 @@ from pyspark.sql import Column, functions as F
 RESCALED_SUFFIX = ".rescaled"
 
 
+def int_array(values: list[int]) -> Column:
+    """Array literal, parsed in one call rather than built value by value."""
+    return F.expr(f"cast(array({','.join(str(int(v)) for v in values)}) as array<int>)")
+
+
 def clean_name(name: Column) -> Column:
     """Remove every literal ``.rescaled`` from a feature name."""
     return F.replace(name, F.lit(RESCALED_SUFFIX), F.lit(""))

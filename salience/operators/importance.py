@@ -7,6 +7,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from salience.functions.expressions import binarise, sigmoid
+from salience.operators.matrix import feature_count
 from salience.operators.permutation import draw_grid, feature_blocks, permuted_values
 from salience.operators.scorers import attach_scorer, score_linear, score_with_model
 
@@ -30,6 +31,16 @@ def baseline_metrics(scored: DataFrame) -> DataFrame:
     )
 
 
+def _with_sizes(samples: DataFrame, options: dict) -> dict:
+    """Fill in width and row count from the unscored samples, the cheaper plan."""
+    full = dict(options)
+    if full.get("feature_ids") is None:
+        full["feature_ids"] = list(range(feature_count(samples)))
+    if full.get("sample_count") is None:
+        full["sample_count"] = samples.count()
+    return full
+
+
 def _drops(rescored: DataFrame, samples: DataFrame, repeats: int, model: str) -> DataFrame:
     """Mean metric drops from rows holding ``p`` (baseline) and ``p_new``.
 
@@ -86,7 +97,7 @@ def permutation_importance(
         "sample_id", "output", "features", "margin", F.col("probability").alias("p")
     )
     carry = ["output", "margin", "p"]
-    blocks = feature_blocks(scored, carry, **block_options)
+    blocks = feature_blocks(scored, carry, **_with_sizes(samples, block_options))
     # One weight per (feature, block) row, before shuffles multiply the rows.
     weighted = (
         attach_scorer(blocks, scorer)
@@ -123,7 +134,7 @@ def permutation_importance_model(
         "sample_id", "output", "features", "z", F.col("probability").alias("p")
     )
     carry = ["output", "z", "p"]
-    blocks = feature_blocks(scored, carry, **block_options)
+    blocks = feature_blocks(scored, carry, **_with_sizes(samples, block_options))
     if reduced:
         rows = permuted_values(blocks, carry, draw_grid(runs, repeats, seed)).join(
             loadings, "feature_id"
@@ -179,7 +190,8 @@ def prediction_change(
         "sample_id", "features", "margin", F.col("probability").alias("p")
     )
     carry = ["margin", "p"]
-    blocks = feature_blocks(scored, carry, feature_ids=feature_ids, **block_options)
+    options = _with_sizes(samples, {**block_options, "feature_ids": feature_ids})
+    blocks = feature_blocks(scored, carry, **options)
     weighted = (
         attach_scorer(blocks, scorer)
         .withColumn("x", F.transform("x", lambda v: v * F.get(F.col("w"), F.col("feature_id"))))

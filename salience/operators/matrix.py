@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from salience.functions.expressions import pad_to_square
+from salience.functions.expressions import int_array, pad_to_square
 from salience.functions.shuffling import hash_id
 from salience.operators.scan import dense_position
+from salience.session import cut_lineage
 
 
 def require_columns(df: DataFrame, names: list[str]) -> None:
@@ -43,6 +44,12 @@ def to_arrays(long: DataFrame) -> DataFrame:
     )
 
 
+def feature_count(samples: DataFrame) -> int:
+    """Width of the matrix, from its first row."""
+    first = samples.select(F.size("features").alias("d")).first()
+    return first["d"] if first else 0
+
+
 def select_top(long: DataFrame, ranking: DataFrame, k: int) -> DataFrame:
     """Keep the k best-ranked features; the label column stays."""
     top = ranking.where(F.col("position") <= k).select("feature_id")
@@ -51,9 +58,8 @@ def select_top(long: DataFrame, ranking: DataFrame, k: int) -> DataFrame:
 
 def take_features(samples: DataFrame, feature_ids: list[int]) -> DataFrame:
     """Project the feature arrays to a list of feature ids, in that order."""
-    wanted = F.array(*[F.lit(int(i)) for i in feature_ids])
     return samples.withColumn(
-        "features", F.transform(wanted, lambda i: F.get(F.col("features"), i))
+        "features", F.transform(int_array(feature_ids), lambda i: F.get(F.col("features"), i))
     )
 
 
@@ -96,9 +102,9 @@ def stratified_split(samples: DataFrame, test_size: float = 0.2, seed: int = 12)
         .groupBy("output")
         .agg(F.max("_order").alias("_cut"))
     )
-    # One row per class.
+    # One row per class, written once for the two or three reads of a split.
     return (
-        samples.join(F.broadcast(cuts), "output", "left")
+        samples.join(F.broadcast(cut_lineage(cuts)), "output", "left")
         .withColumn("is_train", F.coalesce(order <= F.col("_cut"), F.lit(False)))
         .drop("_cut")
     )
@@ -123,7 +129,7 @@ def stratified_folds(samples: DataFrame, folds: int = 5) -> DataFrame:
     )
     # One row per class, holding k fold starts.
     return (
-        samples.join(F.broadcast(starts), "output")
+        samples.join(F.broadcast(cut_lineage(starts)), "output")
         .withColumn(
             "fold", F.size(F.filter("_starts", lambda start: start <= F.col("sample_id")))
         )

@@ -16,7 +16,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from salience.functions.expressions import int_array
 from salience.functions.shuffling import hash_id, permuted_positions, stream_key
+from salience.operators.matrix import feature_count
 from salience.session import parallelism
 
 BLOCK_ROWS = 16_384
@@ -37,8 +39,7 @@ def feature_blocks(
     """
     spark = samples.sparkSession
     if feature_ids is None:
-        first = samples.select(F.size("features").alias("d")).first()
-        feature_ids = list(range(first["d"])) if first else []
+        feature_ids = list(range(feature_count(samples)))
     total = samples.count() if sample_count is None else sample_count
     blocks = max(1, math.ceil(total / block_rows))
     # Several groups per core, so that an unlucky hash does not pile them up.
@@ -47,14 +48,11 @@ def feature_blocks(
     chunks = [feature_ids[i : i + width] for i in range(0, len(feature_ids), width)]
     kind = samples.schema["sample_id"].dataType.simpleString()
 
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("chunk"),
-                F.array(*[F.lit(i) for i in chunk]).alias("ids"),
-            )
-            for c, chunk in enumerate(chunks)
-        ]
+    cells = F.transform(
+        F.sequence(F.lit(0), F.lit(len(chunks) - 1)),
+        lambda c: F.struct(
+            c.alias("chunk"), F.slice(int_array(feature_ids), c * width + 1, F.lit(width)).alias("ids")
+        ),
     )
     pieces = (
         samples.select(
@@ -123,14 +121,7 @@ def permuted_values(blocks: DataFrame, carry: list[str], draws: Column) -> DataF
 
 def draw_grid(runs: int, repeats: int, seed: int) -> Column:
     """Array of (run_id, repeat, seed) for ``runs`` x ``repeats`` shuffles."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(run).alias("run_id"),
-                F.lit(repeat).alias("repeat"),
-                F.lit(seed + run).alias("seed"),
-            )
-            for run in range(1, runs + 1)
-            for repeat in range(1, repeats + 1)
-        ]
+    return F.expr(
+        f"flatten(transform(sequence(1, {runs}), run -> transform(sequence(1, {repeats}), "
+        f"again -> struct(run AS run_id, again AS repeat, {seed} + run AS seed))))"
     )

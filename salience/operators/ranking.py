@@ -37,14 +37,13 @@ def aggregate_ranking(importance: DataFrame, metrics: list[str] | None = None) -
     )
     whole = W.partitionBy("model")
     low, high = F.min("rank_total").over(whole), F.max("rank_total").over(whole)
-    scaled = totals.withColumn("_low", low).withColumn("_high", high).withColumn(
-        "rank_fin",
-        1.0
-        - (F.col("rank_total") - F.col("_low"))
-        / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)),
-    )
-    return positions(
-        scaled.drop("_low", "_high"), ["model"], [F.col("rank_total"), F.col("feature_id")]
+    place = F.row_number().over(whole.orderBy("rank_total", "feature_id"))
+    return totals.select(
+        "model",
+        "feature_id",
+        "rank_total",
+        (1.0 - (F.col("rank_total") - low) / F.nullif(high - low, F.lit(0.0))).alias("rank_fin"),
+        place.alias("position"),
     )
 
 

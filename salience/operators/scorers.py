@@ -12,6 +12,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from salience.functions.expressions import dot, sigmoid
+from salience.session import cut_lineage
 
 
 def class_means(samples: DataFrame) -> DataFrame:
@@ -32,12 +33,16 @@ def class_means(samples: DataFrame) -> DataFrame:
 
 
 def fit_centroid(samples: DataFrame) -> DataFrame:
-    """Linear scorer through the class centroids: w = m1 - m0, midpoint bias."""
+    """Linear scorer through the class centroids: w = m1 - m0, midpoint bias.
+
+    Fitting is an action, as in MLlib: the one-row model is written out, so
+    that scoring it several times does not fit it again.
+    """
     means = class_means(samples).withColumn(
         "w", F.zip_with("m1", "m0", lambda a, b: a - b)
     )
     middle = F.zip_with("m1", "m0", lambda a, b: (a + b) / 2.0)
-    return means.select("w", (-dot(F.col("w"), middle)).alias("bias"))
+    return cut_lineage(means.select("w", (-dot(F.col("w"), middle)).alias("bias")))
 
 
 def linear_scorer(spark: SparkSession, weights: list[float], bias: float) -> DataFrame:

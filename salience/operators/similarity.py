@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from salience.functions.expressions import int_array
+
 # Features per panel: a task holds one panel pair, 32 MB of sums.
 PANEL = 2048
 
@@ -19,7 +21,7 @@ PANEL = 2048
 def aligned_arrays(long: DataFrame, feature_ids: list[int], value: str) -> DataFrame:
     """Long rows to one array per sample in the order of ``feature_ids``."""
     packed = F.map_from_entries(F.collect_list(F.struct("feature_id", value)))
-    wanted = F.array(*[F.lit(int(i)) for i in feature_ids])
+    wanted = int_array(feature_ids)
     return long.groupBy("sample_id").agg(packed.alias("_m")).select(
         "sample_id",
         F.transform(wanted, lambda i: F.try_element_at(F.col("_m"), i)).alias("features"),

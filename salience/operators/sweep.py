@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from salience.functions.expressions import format_pm
+from salience.functions.expressions import format_pm, int_array
 from salience.operators.matrix import take_features
 from salience.operators.metrics import mean_and_std, ranking_metrics
 from salience.operators.models import create_model, fit_model
@@ -33,7 +33,7 @@ def linear_sweep_scores(
     of a sample in one pass over its array.  The bias moves no rank, so it is
     left out.
     """
-    ids = F.array(*[F.lit(int(i)) for i in feature_ids])
+    ids = int_array(feature_ids)
     terms = F.transform(
         ids, lambda j: F.get(F.col("features"), j) * F.get(F.col("w"), j)
     )

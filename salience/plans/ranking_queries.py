@@ -69,7 +69,8 @@ def _importance(
 ) -> DataFrame:
     data = fixtures.samples(spark, sf)
     scorer = scorers.fit_centroid(data)
-    return importance.permutation_importance(data, scorer, repeats, runs, SEED, **options)
+    diffs = importance.permutation_importance(data, scorer, repeats, runs, SEED, **options)
+    return cut_lineage(diffs)
 
 
 def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,9 +97,11 @@ def feature_ranking(spark: SparkSession, sf: str) -> DataFrame:
     train, test = parts.where("is_train"), parts.where("not is_train")
     scorer = scorers.fit_centroid(train)
     diffs = importance.permutation_importance(
-        test, scorer, REPEATS, RUNS, SEED, sample_count=data.count()
+        test, scorer, REPEATS, RUNS, SEED, sample_count=data.count(),
+        feature_ids=list(range(matrix.feature_count(data))),
     )
-    ranks = ranking.aggregate_ranking(diffs)
+    # The importance runs are stored before they are ranked.
+    ranks = ranking.aggregate_ranking(cut_lineage(diffs))
     top = ranking.top_features(ranks, fixtures.feature_names(data), 20)
     return top.select(
         "feature_id", "feature_name", "rank_total", F.round("rank_fin", 6).alias("rank_fin"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from salience.functions.expressions import int_array
 from salience.operators.scan import scan
 
 SURVIVAL_SCHEMA = (
@@ -15,7 +16,7 @@ def _parse_lines(lines: DataFrame, header: str, names: list[str]) -> DataFrame:
     """Data lines to samples, features in the order of ``names`` (null if absent)."""
     own = {n: i for i, n in enumerate(header.split(",")[2:])}
     fields = F.split("value", ",")
-    slots = F.array(*[F.lit(own.get(n, -1)) for n in names])
+    slots = int_array([own.get(n, -1) for n in names])
     cells = lines.where((F.col("value") != header) & (F.length("value") > 0)).select(
         F.get(fields, F.lit(0)).alias("sample_id"),
         F.get(fields, F.lit(1)).cast("double").cast("int").alias("output"),
