@@ -92,13 +92,11 @@ def stratified_split(samples: DataFrame, test_size: float = 0.2, seed: int = 12)
         hash_id(F.col("sample_id"), kind, seed).alias("h"), F.col("sample_id").alias("id")
     )
     placed = dense_position(
-        samples.select("output", order.alias("_order")), ["output"], "_order", "_place"
+        samples.select("output", order.alias("_order")), ["output"], "_order", "_place", "_n"
     )
-    sizes = placed.groupBy("output").agg(F.max("_place").alias("_n"))
     limit = F.floor(F.col("_n") * (1.0 - test_size) + 0.5)
     cuts = (
-        placed.join(F.broadcast(sizes), "output")
-        .where(F.col("_place") <= limit)
+        placed.where(F.col("_place") <= limit)
         .groupBy("output")
         .agg(F.max("_order").alias("_cut"))
     )
@@ -112,8 +110,9 @@ def stratified_split(samples: DataFrame, test_size: float = 0.2, seed: int = 12)
 
 def stratified_folds(samples: DataFrame, folds: int = 5) -> DataFrame:
     """Add ``fold`` 1..k: contiguous, unshuffled, balanced inside each class."""
-    placed = dense_position(samples.select("sample_id", "output"), ["output"], "sample_id", "_place")
-    sizes = placed.groupBy("output").agg(F.max("_place").alias("_n"))
+    placed = dense_position(
+        samples.select("sample_id", "output"), ["output"], "sample_id", "_place", "_n"
+    )
     row = F.col("_place") - 1
     small = F.floor(F.col("_n") / folds)
     large_rows = (F.col("_n") % folds) * (small + 1)
@@ -121,8 +120,7 @@ def stratified_folds(samples: DataFrame, folds: int = 5) -> DataFrame:
         F.col("_n") % folds + F.floor((row - large_rows) / F.greatest(small, F.lit(1)))
     )
     starts = (
-        placed.join(F.broadcast(sizes), "output")
-        .groupBy("output", fold.alias("_fold"))
+        placed.groupBy("output", fold.alias("_fold"))
         .agg(F.min("sample_id").alias("_start"))
         .groupBy("output")
         .agg(F.collect_list("_start").alias("_starts"))

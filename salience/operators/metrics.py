@@ -33,19 +33,13 @@ def score_counts(df: DataFrame, keys: list[str], label: str, score: str) -> Data
     grouped = df.groupBy(*keys, (-F.col(score)).alias("_down")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    running = scan(
-        grouped, keys, "_down", {"tp": ("sum", F.col("pos")), "fp": ("sum", F.col("neg"))}
+    whole = scan(
+        grouped,
+        keys,
+        "_down",
+        {"tp": ("sum", F.col("pos")), "fp": ("sum", F.col("neg"))},
+        {"p_all": F.col("pos"), "n_all": F.col("neg")},
     )
-    sizes = running.groupBy(*keys).agg(F.sum("pos").alias("p_all"), F.sum("neg").alias("n_all"))
-    if keys:
-        whole = running.join(sizes, keys)
-    else:
-        whole = (
-            running.withColumn("_s", sizes.select(F.struct("p_all", "n_all")).scalar())
-            .withColumn("p_all", F.col("_s.p_all"))
-            .withColumn("n_all", F.col("_s.n_all"))
-            .drop("_s")
-        )
     return whole.select(
         *keys,
         (-F.col("_down")).alias("threshold"),

@@ -25,13 +25,21 @@ _COMBINE = {
 
 
 def scan(
-    df: DataFrame, keys: list[str], order: str, outputs: dict[str, tuple[str, Column]]
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    outputs: dict[str, tuple[str, Column]],
+    wholes: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add inclusive running aggregates along ``order`` inside each key.
 
     ``order`` must be unique within a key, and keys must not be null.
-    ``outputs`` maps a new column to ``("sum" | "product", expression)``.
+    ``outputs`` maps a new column to ``("sum" | "product", expression)``;
+    ``wholes`` maps a new column to an expression summed over the whole key.
+    Both arrive through the same join on (key, partition), so a hot key is
+    never gathered again just to learn its size.
     """
+    wholes = wholes or {}
     ranged = cut_lineage(
         df.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id())
     )
@@ -43,7 +51,8 @@ def scan(
         *[_COMBINE[kind][0](e).over(running).alias(f"_in_{n}") for n, (kind, e) in outputs.items()],
     )
     totals = ranged.groupBy(*place).agg(
-        *[_COMBINE[kind][0](e).alias(f"_all_{n}") for n, (kind, e) in outputs.items()]
+        *[_COMBINE[kind][0](e).alias(f"_all_{n}") for n, (kind, e) in outputs.items()],
+        *[F.sum(e).alias(f"_part_{n}") for n, e in wholes.items()],
     )
     earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
@@ -52,6 +61,7 @@ def scan(
             _COMBINE[kind][0](f"_all_{n}").over(earlier).alias(f"_off_{n}")
             for n, (kind, _) in outputs.items()
         ],
+        *[F.sum(f"_part_{n}").over(W.partitionBy(*keys)).alias(n) for n in wholes],
     )
     return local.join(offsets, place).select(
         *df.columns,
@@ -61,14 +71,23 @@ def scan(
             ).alias(n)
             for n, (kind, _) in outputs.items()
         ],
+        *wholes,
     )
 
 
 def dense_position(
-    df: DataFrame, keys: list[str], order: str, name: str = "position"
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    name: str = "position",
+    size: str | None = None,
 ) -> DataFrame:
-    """Number rows 1..n inside each key without a one-task window."""
-    return scan(df, keys, order, {name: ("sum", F.lit(1).cast("bigint"))})
+    """Number rows 1..n inside each key without a one-task window.
+
+    ``size`` names a column for the number of rows of the key.
+    """
+    one = F.lit(1).cast("bigint")
+    return scan(df, keys, order, {name: ("sum", one)}, {size: one} if size else None)
 
 
 def tie_ranks(
@@ -100,12 +119,9 @@ def exact_quantiles(
     values = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    running = scan(values, keys, value, {"_upto": ("sum", F.col("_n"))})
-    sizes = running.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    if keys:
-        placed = running.join(sizes, keys)
-    else:
-        placed = running.withColumn("_total", sizes.scalar())
+    placed = scan(
+        values, keys, value, {"_upto": ("sum", F.col("_n"))}, {"_total": F.col("_n")}
+    )
     before = F.col("_upto") - F.col("_n")
     picks = []
     for name, p in probabilities.items():

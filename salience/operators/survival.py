@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from salience.operators.scan import exact_quantiles, scan
 from salience.operators.stats import at_or_below, mann_whitney
+from salience.session import join_checked
 
 
 def kaplan_meier(df: DataFrame, keys: list[str], time: str, event: str) -> DataFrame:
@@ -13,12 +14,9 @@ def kaplan_meier(df: DataFrame, keys: list[str], time: str, event: str) -> DataF
     steps = df.groupBy(*keys, time).agg(
         F.count_if(F.col(event) == 1).alias("deaths"), F.count(F.lit(1)).alias("leaving")
     )
-    running = scan(steps, keys, time, {"_upto": ("sum", F.col("leaving"))})
-    sizes = running.groupBy(*keys).agg(F.sum("leaving").alias("_size"))
-    if keys:
-        sized = running.join(sizes, keys)
-    else:
-        sized = running.withColumn("_size", sizes.scalar())
+    sized = scan(
+        steps, keys, time, {"_upto": ("sum", F.col("leaving"))}, {"_size": F.col("leaving")}
+    )
     at_risk = sized.select(
         *keys,
         time,
@@ -43,18 +41,13 @@ def log_rank(df: DataFrame, keys: list[str], group: str, time: str, event: str)
         F.count_if(in0 & died).alias("d0"),
         F.count_if(in1 & died).alias("d1"),
     )
-    running = scan(
-        steps, keys, time, {"_u0": ("sum", F.col("l0")), "_u1": ("sum", F.col("l1"))}
+    sized = scan(
+        steps,
+        keys,
+        time,
+        {"_u0": ("sum", F.col("l0")), "_u1": ("sum", F.col("l1"))},
+        {"s0": F.col("l0"), "s1": F.col("l1")},
     )
-    sizes = running.groupBy(*keys).agg(F.sum("l0").alias("s0"), F.sum("l1").alias("s1"))
-    if keys:
-        sized = running.join(sizes, keys)
-    else:
-        sized = (
-            running.withColumn("_s", sizes.select(F.struct("s0", "s1")).scalar())
-            .withColumn("s0", F.col("_s.s0"))
-            .withColumn("s1", F.col("_s.s1"))
-        )
     n0 = (F.col("s0") - F.col("_u0") + F.col("l0")).cast("double")
     n1 = (F.col("s1") - F.col("_u1") + F.col("l1")).cast("double")
     n = n0 + n1
@@ -81,8 +74,7 @@ def median_groups(df: DataFrame, keys: list[str], value: str, name: str = "grp")
     """Add 0/1 for values at or below / above the median of their key."""
     medians = exact_quantiles(df, keys, value, {"_median": 0.5})
     if keys:
-        # One median per model.
-        cut = df.join(F.broadcast(medians), keys, "left")
+        cut = join_checked(df, medians, keys, "left")
     else:
         cut = df.withColumn("_median", medians.scalar())
     return cut.withColumn(name, at_or_below(F.col(value), F.col("_median"))).drop("_median")

@@ -75,9 +75,8 @@ def cutoff(sweep: DataFrame, value: str, band: float, min_features: int = 1) ->
     """
     best = sweep.groupBy("model").agg(F.max(value).alias("best"))
     inside = F.col(value).between(F.col("best") - band, F.col("best") + band)
-    # One row per model.
     return (
-        sweep.join(F.broadcast(best), "model")
+        sweep.join(best, "model")
         .where(inside)
         .groupBy("model")
         .agg(F.min("num_features").alias("num_features"), F.max("best").alias("best"))
