@@ -54,23 +54,22 @@ def feature_blocks(
             c.alias("chunk"), F.slice(int_array(feature_ids), c * width + 1, F.lit(width)).alias("ids")
         ),
     )
+    # Slices are cut before the explode, so a row carries its own chunk only.
+    sliced = F.transform(
+        cells,
+        lambda cell: F.struct(
+            cell["chunk"].alias("chunk"),
+            F.transform(cell["ids"], lambda i: F.get(F.col("features"), i)).alias("x"),
+        ),
+    )
     pieces = (
         samples.select(
             "sample_id",
-            "features",
             *carry,
             (hash_id(F.col("sample_id"), kind) % blocks).cast("int").alias("block"),
-            F.explode(cells).alias("cell"),
-        )
-        .select(
-            "block",
-            F.col("cell.chunk").alias("chunk"),
-            F.struct(
-                "sample_id",
-                *carry,
-                F.transform("cell.ids", lambda i: F.get(F.col("features"), i)).alias("x"),
-            ).alias("row"),
+            F.inline(sliced),
         )
+        .select("block", "chunk", F.struct("sample_id", *carry, "x").alias("row"))
         # An explicit count keeps AQE from merging CPU-heavy groups.
         .repartition(tasks, "block", "chunk")
     )

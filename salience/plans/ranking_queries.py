@@ -11,7 +11,7 @@ from salience.plans import fixtures
 from salience.session import cut_lineage
 from salience.sources import tables
 
-# The flagship repeats the reference workload: 4 runs of 25 shuffles.
+# The flagship workload: 4 runs of 25 shuffles.
 RUNS, REPEATS, SEED = 4, 25, 100
 SMALL_RUNS, SMALL_REPEATS = 3, 5
 BLOCK = 128
