@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -10,13 +11,16 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from salience.llm.words import blocks
 
 #: Fixed value: the split pattern of the byte-level pre-tokenizer that the files name.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose tokens one task remembers before it starts afresh.
-MEMORY = 150_000
+MEMORY = 400_000
+#: Words of more bytes are merged with a heap.
+LONG_WORD = 64
 
 
 def _byte_letters() -> dict[str, int]:
@@ -49,14 +53,15 @@ class Vocabulary:
         size = len(self.bytes)
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.rank: dict[tuple[int, int], int] = {}
-        self.made: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []
         #: Left and right half and the rank of the merge that makes each token; rank -1: a byte.
         self.left = np.full(size, -1, np.int64)
         self.right = np.full(size, -1, np.int64)
         self.birth = np.full(size, -1, np.int64)
         for rank, (a, b) in enumerate(merges):
             pair, whole = (vocab[a], vocab[b]), vocab[a + b]
-            self.rank[pair], self.made[pair] = rank, whole
+            self.rank[pair] = rank
+            self.made.append(whole)
             if self.birth[whole] < 0:
                 self.left[whole], self.right[whole], self.birth[whole] = *pair, rank
         keys = np.array([a * size + b for a, b in self.rank], np.int64)
@@ -120,9 +125,23 @@ class Vocabulary:
 
     def merged(self, word: bytes) -> list[int]:
         """Exact merging: the pair of lowest rank first, the leftmost of equals."""
-        import heapq
-
         symbols = [self.of_byte[word[i : i + 1]] for i in range(len(word))]
+        if len(symbols) > LONG_WORD:
+            return self._merged_long(symbols)
+        rank_of, never = self.rank.get, len(self.rank)
+        ranks = [rank_of(pair, never) for pair in zip(symbols, symbols[1:])]
+        while ranks and (least := min(ranks)) < never:
+            i = ranks.index(least)
+            symbols[i] = self.made[least]
+            del symbols[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank_of((symbols[i - 1], symbols[i]), never)
+            if i < len(ranks):
+                ranks[i] = rank_of((symbols[i], symbols[i + 1]), never)
+        return symbols
+
+    def _merged_long(self, symbols: list[int]) -> list[int]:
+        """The same with a heap of pairs and links between the symbols left."""
         after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
         heap: list[tuple[int, int, int, int]] = []
 
@@ -135,11 +154,11 @@ class Vocabulary:
         for i in range(len(symbols)):
             offer(i)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if symbols[i] != a or j >= len(symbols) or symbols[j] != b:
                 continue
-            symbols[i], symbols[j] = self.made[a, b], -1
+            symbols[i], symbols[j] = self.made[rank], -1
             after[i] = after[j]
             if after[i] < len(symbols):
                 before[after[i]] = i
@@ -191,8 +210,8 @@ class Coder:
         self.split = regex.compile(PATTERN).findall
         marks = sorted(map(regex.escape, self.vocabulary.special), key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(marks) + ")") if marks else None
-        self.known: dict[str, int] = {}
-        self.tokens: list[np.ndarray] = []
+        #: The tokens of each word as little-endian 32-bit numbers.
+        self.known: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         """The words of a text; a special token is a word of its own."""
@@ -210,21 +229,16 @@ class Coder:
         """Token numbers of each text."""
         words = [self.pieces(t) for t in texts]
         if len(self.known) > self.memory:
-            self.known, self.tokens = {}, []
-        fresh = list({w for ws in words for w in ws if w not in self.known})
+            self.known = {}
+        known = self.known
+        fresh = {w for w in set().union(*words) if w not in known}
         special = [w for w in fresh if w.startswith("\0special")]
-        plain = [w for w in fresh if not w.startswith("\0special")] if special else fresh
-        for w, ids in zip(plain, self.vocabulary.encode_words(plain), strict=True):
-            self.known[w] = len(self.tokens)
-            self.tokens.append(np.array(ids, np.uint32))
         for w in special:
-            self.known[w] = len(self.tokens)
-            self.tokens.append(np.array([self.vocabulary.special[w[8:]]], np.uint32))
-        known, tokens = self.known, self.tokens
-        empty = np.zeros(0, np.uint32)
-        return [
-            np.concatenate([tokens[known[w]] for w in ws]) if ws else empty for ws in words
-        ]
+            known[w] = np.array([self.vocabulary.special[w[8:]]], "<u4").tobytes()
+        plain = list(fresh.difference(special))
+        for w, ids in zip(plain, self.vocabulary.encode_words(plain), strict=True):
+            known[w] = np.array(ids, "<u4").tobytes()
+        return [np.frombuffer(b"".join(map(known.__getitem__, ws)), "<u4") for ws in words]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of token numbers; bytes that are not UTF-8 become U+FFFD."""
@@ -284,7 +298,5 @@ def _map(docs: DataFrame, path: str, text: str, rows, schema: str) -> DataFrame:
                 texts = [t or "" for t in block.column(1).to_pylist()]
                 yield rows(coder, block.column(0), coder.encode(texts))
 
-    from pyspark.sql import functions as F
-
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     return slim.mapInArrow(run, schema)
