@@ -17,6 +17,8 @@ BLOCK_BYTES = 2_000_000
 
 _BYTES = np.arange(256)
 SPACE = (_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13))
+#: Bytes of letters and digits; all of a letter outside ASCII counts.
+LETTERS = np.array([chr(b).isalnum() or b >= 128 for b in range(128)] + [True] * 128)
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
 _CODES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -47,10 +49,11 @@ class Words:
     """The words of a block of texts.
 
     ``start`` and ``end`` are byte positions in ``data``, ``doc`` is the row of
-    each word, and the words of row r are ``first[r]:first[r + 1]``.
+    each word, and the words of row r are ``first[r]:first[r + 1]``.  ``solid``
+    says which bytes a word is made of.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, solid: np.ndarray = ~SPACE):
         if texts.null_count:
             texts = pa.compute.fill_null(texts, "")
         n = len(texts)
@@ -61,7 +64,7 @@ class Words:
         whole = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
         self.data = whole[offsets[0] : offsets[-1]] if n else whole[:0]
         self.offsets = offsets - offsets[0] if n else np.zeros(1, np.int64)
-        solid = ~SPACE[self.data]
+        solid = solid[self.data]
         opens = solid.copy()
         opens[1:] &= ~solid[:-1]
         closes = solid.copy()
