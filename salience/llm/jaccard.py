@@ -337,3 +337,14 @@ def near_copies(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+    """The rows, with all columns, whose doc_id is the smallest of their component.
+
+    Rows without an id are kept, as nothing names them; rows that share a doc_id
+    go or stay together.
+    """
+    found = near_copies(docs, size, percent, text).where("component_id <> doc_id").select(
+        F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(found, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
