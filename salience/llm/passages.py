@@ -277,7 +277,8 @@ def repeated_passages(
     pairs = _matches(table).where(
         F.expr("array_max(seeds).p - array_min(seeds).p") + 2 * (SEED + WINDOW) >= min_words
     )
-    told = pairs.join(words, "uid").join(
+    # The same joins at every size: no side is bounded.
+    told = pairs.hint("merge").join(words, "uid").hint("merge").join(
         words.select(F.col("uid").alias("lead"), F.col("words").alias("lead_words")), "lead"
     ).select("uid", "text_key", "lead", "words", "lead_words", "seeds")
     found = told.mapInArrow(run, schema)
@@ -299,7 +300,7 @@ def without_repeats(docs: DataFrame, passages: DataFrame, text: str = "text") ->
     )
     keyed = docs.withColumns({"_key": F.xxhash64(text), "_id": F.col("doc_id").cast("long")})
     joined = keyed.join(
-        spans.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"), "_spans"),
+        spans.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"), "_spans").hint("merge"),
         F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text")), "left",
     ).drop("_doc", "_text", "_key", "_id")
     names = docs.columns
