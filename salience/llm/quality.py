@@ -111,7 +111,12 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     failed = bits[0]
     for bit in bits[1:]:
         failed = failed.bitwiseOR(bit)
-    return measured.withColumn("failed", failed)
+    # Exploding an array of one keeps a later filter on the bits from being pushed
+    # down, which would copy the measurements into it again and again.
+    entry = F.struct(*made[:-1], failed.alias("failed"))
+    return measured.select(
+        *[F.col(f"`{c}`") for c in kept], F.explode(F.array(entry)).alias("_entry")
+    ).select(*[F.col(f"`{c}`") for c in kept], "_entry.*")
 
 
 def verdict(policy: str) -> Column:
