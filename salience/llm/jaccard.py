@@ -202,7 +202,9 @@ def _dealt(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
         F.lit(0).cast("long").alias("doc_id"), "text"
     ).mapInArrow(named, "node long, text string")
     places = wanted.groupBy("node").agg(F.collect_list(F.struct("key", "size")).alias("places"))
-    return texts.join(places, "node").select("node", "text", "places").mapInArrow(deal, DEALT)
+    # The same join at every size: neither side is bounded.
+    joined = texts.join(places.hint("merge"), "node").select("node", "text", "places")
+    return joined.mapInArrow(deal, DEALT)
 
 
 DEALT = "key long, low int, high int, own int, node long, tokens binary"
@@ -347,4 +349,5 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "
     """
     found = near_copies(docs, size, percent, text).where("component_id <> doc_id").select(
         F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = F.col("doc_id").cast("long") == F.col("_gone")
+    return docs.join(found.hint("merge"), gone, "left_anti")
