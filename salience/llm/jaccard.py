@@ -16,7 +16,7 @@ from salience.session import cut_lineage
 #: Documents that share a token at most so often that the token alone is an index key.
 RARE = 64
 #: Nodes in a block of a large bucket; two blocks at a time meet in one task.
-BLOCK = 128
+BLOCK = 512
 
 
 class Bounds:
