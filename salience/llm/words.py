@@ -22,7 +22,6 @@ LETTERS = np.array([chr(b).isalnum() or b >= 128 for b in range(128)] + [True] *
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
 _CODES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,15 +33,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first powers of the base and of its inverse modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-            steps = np.full(size, base, dtype=np.uint64)
+class Powers:
+    """The first powers of the base and of its inverse modulo 2**64.
+
+    Tables stay in the process that made them; a pickled copy starts empty.
+    """
+
+    def __init__(self):
+        self.up = self.down = np.zeros(0, np.uint64)
+
+    def __reduce__(self):
+        return Powers, ()
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            steps = np.full(max(n, BLOCK_BYTES + 1), _BASE, dtype=np.uint64)
             steps[0] = 1
-            _powers[name] = np.cumprod(steps)
-    return _powers["up"], _powers["down"]
+            self.up = np.cumprod(steps)
+            steps[1:] = pow(_BASE, -1, 2**64)
+            self.down = np.cumprod(steps)
+        return self.up, self.down
+
+
+_powers = Powers()
 
 
 class Words:
@@ -81,7 +94,7 @@ class Words:
 
     def prefix_sums(self, lower: bool) -> np.ndarray:
         data = LOWER[self.data] if lower else self.data
-        up, _ = _power(len(data) + 1)
+        up, _ = _powers.upto(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_CODES[data] * up[: len(data)], out=sums[1:])
         return sums
@@ -89,7 +102,7 @@ class Words:
     @staticmethod
     def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the byte spans start:end of the data that ``sums`` runs over."""
-        _, down = _power(len(sums))
+        _, down = _powers.upto(len(sums))
         return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
     def hashes(self, lower: bool = True) -> np.ndarray:
