@@ -14,8 +14,8 @@ from salience.llm.passages import _common
 from salience.llm.words import LETTERS, Words, blocks
 
 #: Hashed terms, and dimensions of the latent space.
-TERMS, RANK = 1 << 15, 128
-SHIFT = np.uint64(64 - 15)
+TERMS, RANK = 1 << 14, 128
+SHIFT = np.uint64(64 - 14)
 #: Words in a passage of the fit, and in the windows of the search (each moves by half).
 PASSAGE, WINDOWS = 32, (16, 32, 64)
 #: Benchmark items that one pass over the documents looks for.
@@ -34,7 +34,7 @@ class Space:
 
     def of(self, terms: np.ndarray) -> np.ndarray:
         """Latent coordinates of a passage whose TF-IDF vector has length 1."""
-        return self.basis[terms].sum(axis=0) / max(float(self.squares[terms].sum()) ** 0.5, 1e-9)
+        return self.basis[terms].sum(axis=0, dtype=np.float32) / max(float(self.squares[terms].sum()) ** 0.5, 1e-9)
 
 
 def _terms(texts: pa.Array, step: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -86,7 +86,7 @@ def _gram_product(docs: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np
     Each task adds up its passages; partial sums meet in groups of ``FAN_IN``.
     """
     spark = docs.sparkSession
-    told = spark.sparkContext.broadcast((weights, basis.astype(np.float32)))  # TERMS x RANK
+    told = spark.sparkContext.broadcast((weights, basis.astype(np.float16)))  # TERMS x RANK
     chunk = 1024
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +101,7 @@ def _gram_product(docs: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np
                 if total is None:
                     weights, basis = told.value
                     heavy = np.append(weights, 0).astype(np.float32)
-                    scaled = np.vstack([basis * weights[:, None], np.zeros((1, RANK))]).astype(np.float32)
+                    scaled = np.vstack([basis.astype(np.float32) * weights[:, None], np.zeros((1, RANK))]).astype(np.float32)
                     total = np.zeros((TERMS + 1, RANK))
                 rows = laid.reshape(-1, PASSAGE)
                 norm = np.maximum((heavy[rows] ** 2).sum(axis=1, keepdims=True), 1e-9)
@@ -131,7 +131,7 @@ def _gram_product(docs: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np
     out = np.zeros((TERMS, RANK))
     for row in sums.collect():  # TERMS / chunk rows
         out[row.chunk * chunk : (row.chunk + 1) * chunk] = np.frombuffer(row.total, np.float32).reshape(chunk, RANK)
-    told.unpersist()
+    told.destroy()
     return out
 
 
@@ -154,7 +154,7 @@ def fit_space(docs: DataFrame, items: DataFrame) -> Space:
     values, turn = np.linalg.eigh((small + small.T) / 2)
     basis = basis @ turn[:, np.argsort(-values)]
     return Space(
-        np.vstack([basis * weights[:, None], np.zeros((1, RANK))]).astype(np.float32),
+        np.vstack([basis * weights[:, None], np.zeros((1, RANK))]).astype(np.float16),
         np.append(weights**2, 0).astype(np.float32),
     )
 
@@ -202,7 +202,7 @@ def _find(
     words, hashes, laid, at = _terms(texts, STEP)
     if not len(laid):
         return []
-    total = basis[laid[::STEP]]
+    total = basis[laid[::STEP]].astype(np.float32)
     for k in range(1, STEP):
         total += basis[laid[k::STEP]]
     owner = np.repeat(np.arange(words.n), np.diff(at))
