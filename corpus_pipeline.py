@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from salience.llm import bpe, decontaminate, jaccard, passages, quality
 from salience.llm.queries import TOKENIZER
-from salience.session import scratch_path
+from salience.session import cut_lineage, scratch_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier text has too."""
-    return passages.without_repeats(docs, passages.repeated_passages(docs))
+    return passages.without_repeats(docs, cut_lineage(passages.repeated_passages(docs)))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
