@@ -63,7 +63,10 @@ def scan(
         ],
         *[F.sum(f"_part_{n}").over(W.partitionBy(*keys)).alias(n) for n in wholes],
     )
-    return local.join(offsets, place).select(
+    # Null keys are keys as others, so the join must find them.
+    named = offsets.withColumnsRenamed({c: f"_at_{i}" for i, c in enumerate(place)})
+    same = [F.col(c).eqNullSafe(F.col(f"_at_{i}")) for i, c in enumerate(place)]
+    return local.join(named, same).select(
         *df.columns,
         *[
             _COMBINE[kind][1](
@@ -111,12 +114,12 @@ def tie_ranks(
 def exact_quantiles(
     df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation, null-skipping, per key.
+    """Exact quantiles with linear interpolation, per key; nulls and NaN are skipped.
 
     ``F.percentile`` keeps every distinct value of a group in one task; here
     the order statistics come from running counts of distinct values.
     """
-    values = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+    values = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("_n")
     )
     placed = scan(
@@ -128,8 +131,12 @@ def exact_quantiles(
         at = (F.col("_total") - 1) * F.lit(float(p))
         low, high = F.floor(at), F.ceil(at)
         part = at - low
-        hit = lambda i: ((before <= i) & (i < F.col("_upto"))).cast("double")
-        picks.append(
-            F.sum(F.col(value) * (hit(low) * (1 - part) + hit(high) * part)).alias(name)
-        )
+        # Values are picked, not multiplied by 0 or 1: infinity times 0 is NaN.
+        weight = {"low": (low, 1 - part), "high": (high, part)}
+        share = [
+            F.when((before <= i) & (i < F.col("_upto")) & (w > 0), F.col(value) * w)
+            for i, w in weight.values()
+        ]
+        picks.append(F.sum(F.when(share[0].isNull(), share[1]).when(
+            share[1].isNull(), share[0]).otherwise(share[0] + share[1])).alias(name))
     return placed.groupBy(*keys).agg(*picks)

@@ -36,7 +36,8 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, group: str) -> Data
     n0, n1 = F.col("n0").cast("double"), F.col("n1").cast("double")
     n = n0 + n1
     u = F.col("rank_sum0") - n0 * (n0 + 1.0) / 2.0
-    gap = F.greatest(u, n0 * n1 - u) - n0 * n1 / 2.0 - 0.5
+    # The half-step correction must not carry the statistic past its mean.
+    gap = F.greatest(F.greatest(u, n0 * n1 - u) - n0 * n1 / 2.0 - 0.5, F.lit(0.0))
     sd = F.sqrt(n0 * n1 / 12.0 * ((n + 1.0) - F.col("tie_term") / (n * (n - 1.0))))
     return sums.select(
         *keys, "n0", "n1", "mean_0", "mean_1", u.alias("u"),

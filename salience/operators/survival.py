@@ -89,13 +89,13 @@ def cut_groups(df: DataFrame, value: str, cut: float | Column, name: str = "grp"
 def attach_survival(biomarkers: DataFrame, survival: DataFrame) -> DataFrame:
     """Left join by sample id after dropping repeated survival ids.
 
-    Of repeated ids the earliest time is kept.  The biomarker stays in its own
+    Of repeated ids the earliest time is kept, a missing one only for want of others.  The biomarker stays in its own
     row, so repeated ids cannot shift it.
     """
     rest = [c for c in survival.columns if c not in ("sample_id", "survival_day")]
     unique = survival.groupBy("sample_id").agg(
-        F.min(F.struct("survival_day", *rest)).alias("_s")
-    ).select("sample_id", "_s.*")
+        F.min(F.struct(F.isnull("survival_day").alias("_none"), "survival_day", *rest)).alias("_s")
+    ).select("sample_id", "_s.*").drop("_none")
     return biomarkers.join(unique, "sample_id", "left")
 
 

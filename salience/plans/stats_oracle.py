@@ -51,7 +51,7 @@ mw_u AS (
   SELECT *, r0 - n0 * (n0 + 1) / 2 AS u, (n0 + n1)::DOUBLE AS n,
          n0::DOUBLE * n1 AS nn FROM mw_sums),
 tests AS (
-  SELECT *, (greatest(u, nn - u) - nn / 2 - 0.5)
+  SELECT *, greatest(greatest(u, nn - u) - nn / 2 - 0.5, 0)
             / nullif(sqrt(nn / 12 * (n + 1 - ties / (n * (n - 1)))), 0) AS z FROM mw_u),
 signs AS (
   SELECT *, CASE WHEN z > {CRITICAL} THEN CASE WHEN mean_1 > mean_0 THEN 1 ELSE -1 END

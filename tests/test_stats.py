@@ -103,3 +103,28 @@ def test_repeated_survival_ids_do_not_shift_rows(spark):
     surv = spark.createDataFrame([(1, 5.0, 1), (1, 9.0, 0)], "sample_id bigint, survival_day double, survival_event int")
     got = {r.sample_id: (r.biomarker, r.survival_day) for r in survival.attach_survival(marks, surv).collect()}
     assert got == {1: (0.5, 5.0), 2: (0.7, None)}
+
+
+def test_equal_groups_are_no_evidence(spark):
+    rows = [(g, float(v)) for g in (0, 1) for v in (0, 1)]
+    got = stats.mann_whitney(spark.createDataFrame(rows, "y int, v double"), [], "v", "y").first()
+    assert got.z == 0.0
+
+
+def test_quantiles_skip_nan_and_pick_infinity(spark):
+    rows = [("a", v) for v in (1.0, 2.0, 3.0, float("inf"))] + [("b", v) for v in (1.0, 2.0, 3.0, float("nan"))]
+    got = scan.exact_quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"m": 0.5})
+    assert {r.k: r.m for r in got.collect()} == {"a": 2.5, "b": 2.0}
+
+
+def test_null_keys_are_scanned(spark):
+    rows = [(k, float(v)) for k in ("a", None) for v in range(3)]
+    got = scan.dense_position(spark.createDataFrame(rows, "k string, v double"), ["k"], "v")
+    assert sorted((r.k or "", r.v, r.position) for r in got.collect()) == [
+        (k, float(v), v + 1) for k in ("", "a") for v in range(3)]
+
+
+def test_a_missing_day_does_not_beat_a_real_one(spark):
+    marks = spark.createDataFrame([(1, 0.5)], "sample_id int, biomarker double")
+    days = spark.createDataFrame([(1, None, 0), (1, 5.0, 1)], "sample_id int, survival_day double, survival_event int")
+    assert survival.attach_survival(marks, days).first().survival_day == 5.0
