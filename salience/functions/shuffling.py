@@ -9,17 +9,20 @@ inputs never collide.
 
 from __future__ import annotations
 
+from itertools import count
+from math import gcd
+
 from pyspark.sql import Column, functions as F
 
 # Fixed values of the mixing function.
 MODULUS = 2147483647
 POSITION_FACTOR = 48271
-FEATURE_FACTOR = 1000003
 REPEAT_FACTOR = 7368787
 SEED_FACTOR = 15485863
 OFFSET = 12345
-# Low bits that carry a position inside a packed (hash, position) sort key.
-POSITION_BITS = 20
+# Starts of factors; factor times position stays below 2^63 for MAX_ROWS rows.
+FACTOR_RANGE = 1 << 20
+MAX_ROWS = 1 << 42
 
 
 def fifth_power(x: Column) -> Column:
@@ -28,17 +31,6 @@ def fifth_power(x: Column) -> Column:
     return ((square * square) % MODULUS * x) % MODULUS
 
 
-def stream_key(feature_id: Column, repeat: Column, seed: Column) -> Column:
-    """Starting point of the pseudo-random order of one (feature, repeat)."""
-    raw = (
-        feature_id.cast("bigint") * FEATURE_FACTOR
-        + repeat.cast("bigint") * REPEAT_FACTOR
-        + seed.cast("bigint") * SEED_FACTOR
-        + OFFSET
-    ) % MODULUS
-    return fifth_power(raw)
-
-
 def hash_id(key: Column, data_type: str, seed: int = 0) -> Column:
     """Uniform integer in [0, 2^31-1) from an integer or string key."""
     if data_type in ("tinyint", "smallint", "int", "bigint"):
@@ -49,15 +41,15 @@ def hash_id(key: Column, data_type: str, seed: int = 0) -> Column:
     return fifth_power((folded * POSITION_FACTOR + (seed * SEED_FACTOR + OFFSET)) % MODULUS)
 
 
-def permuted_positions(count: Column, key: Column) -> Column:
-    """Array holding a pseudo-random permutation of ``0 .. count-1``.
+def affine_shuffle(rows: int, repeat: int, seed: int) -> tuple[int, int]:
+    """Factor and shift of the permutation ``p -> (factor * p + shift) mod rows``.
 
-    Each position gets a hash; hash and position are packed into one long so
-    the sort runs on a primitive array.
+    The factor is the first number from a seeded start on that has no divisor in
+    common with ``rows``.
     """
-    positions = F.sequence(F.lit(0).cast("bigint"), count.cast("bigint") - 1)
-    linear = F.transform(positions, lambda p: (p * POSITION_FACTOR + key) % MODULUS)
-    packed = F.transform(linear, lambda x, p: F.shiftleft(fifth_power(x), POSITION_BITS) + p)
-    return F.transform(
-        F.sort_array(packed), lambda v: v.bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int")
-    )
+    if rows > MAX_ROWS:
+        raise ValueError(f"at most {MAX_ROWS} rows can be shuffled")
+    shift = pow((repeat * REPEAT_FACTOR + seed * SEED_FACTOR + OFFSET) % MODULUS, 5, MODULUS)
+    start = pow((shift * POSITION_FACTOR + OFFSET) % MODULUS, 5, MODULUS) % FACTOR_RANGE + 1
+    factor = next(a for a in count(start) if gcd(a, rows) == 1)
+    return factor, shift % rows

@@ -5,12 +5,9 @@ Edges are ``(src, dst, weight)`` with src < dst.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from salience.functions.expressions import clean_name, edge_colour, node_colour
 from salience.session import cut_lineage
@@ -23,21 +20,15 @@ def edge_list(similarity: DataFrame) -> DataFrame:
     )
 
 
-# A contracted graph with no more edges than this is finished in one task.
-FINISH_EDGES = 100_000
-
-
-def spanning_forest(
-    nodes: DataFrame, edges: DataFrame, cost: str, finish_edges: int = FINISH_EDGES
-) -> tuple[DataFrame, DataFrame]:
+def spanning_forest(nodes: DataFrame, edges: DataFrame, cost: str) -> tuple[DataFrame, DataFrame]:
     """Minimum spanning forest and component label of every node.
 
     Boruvka rounds: every component picks its cheapest leaving edge
-    (``min`` of a struct, combined map-side, so hubs are harmless), picks are
-    merged by pointer jumping, and parallel edges between components shrink to
-    the cheapest.  Ties break on (src, dst), which makes the order total.
-    Components at least halve each round, and every round is written out.  Once
-    the counted rest is at most ``finish_edges`` a single task sorts it.
+    (``min`` of a struct, combined map-side), picks are merged by pointer
+    jumping, and parallel edges between components shrink to the cheapest.  Ties
+    break on (src, dst), which makes the order total.  Components at least halve
+    each round, and every round is written out.  Edges of a giant component
+    share a key in two joins of a round, which are left to skew handling.
 
     Returns ``(tree(src, dst, cost), labels(node, component))``; a component
     is named after its smallest node.
@@ -51,15 +42,7 @@ def spanning_forest(
     trees: list[DataFrame] = [live.select("key").limit(0)]
     merges: list[DataFrame] = []
     while True:
-        left = live.limit(finish_edges + 1).count()
-        if left == 0:
-            break
-        if left <= finish_edges:
-            solved = cut_lineage(_finish(live))
-            trees.append(
-                solved.where("src is not null").select(F.struct("cost", "src", "dst").alias("key"))
-            )
-            merges.append(solved.where("c is not null").select("c", "root"))
+        if live.isEmpty():
             break
         ends = F.array(
             F.struct(F.col("a").alias("c"), F.col("b").alias("parent")),
@@ -94,43 +77,6 @@ def spanning_forest(
     return tree.select("key.src", "key.dst", "key.cost"), named
 
 
-def _finish(live: DataFrame) -> DataFrame:
-    """Tree edges (src, dst, cost) and merges (c, root) of a small edge table."""
-    flat = live.select("a", "b", "key.cost", "key.src", "key.dst")
-    kind = {f.name: f.dataType.simpleString() for f in flat.schema}
-    schema = (
-        f"c {kind['a']}, root {kind['a']}, src {kind['src']}, dst {kind['dst']}, "
-        f"cost {kind['cost']}"
-    )
-    types = {n: to_arrow_type(flat.schema[t].dataType) for n, t in
-             (("c", "a"), ("root", "a"), ("src", "src"), ("dst", "dst"), ("cost", "cost"))}
-
-    def sort_and_merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(column.to_pylist() for column in b.columns))]
-        rows.sort(key=lambda r: r[2:])
-        parent = {n: n for r in rows for n in r[:2]}
-
-        def top(n):
-            while parent[n] != n:
-                parent[n] = parent[parent[n]]
-                n = parent[n]
-            return n
-
-        tree = []
-        for a, b, cost, src, dst in rows:
-            low, high = sorted((top(a), top(b)))
-            if low != high:
-                parent[high] = low
-                tree.append((None, None, src, dst, cost))
-        out = [(n, top(n), None, None, None) for n in parent] + tree
-        if out:
-            yield pa.RecordBatch.from_pydict(
-                {name: pa.array(column, types[name]) for name, column in zip(types, zip(*out))}
-            )
-
-    return flat.coalesce(1).mapInArrow(sort_and_merge, schema)
-
-
 def _roots(picks: DataFrame) -> DataFrame:
     """Follow picks to a common root; two components picking each other end at the smaller."""
     back = picks.select(F.col("c").alias("parent"), F.col("parent").alias("grand"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from salience.functions.expressions import binarise, sigmoid
+from salience.functions.expressions import binarise, int_array, sigmoid
 from salience.operators.matrix import feature_count
-from salience.operators.permutation import draw_grid, feature_blocks, permuted_values
+from salience.operators.permutation import CHUNK, shuffled_pairs
 from salience.operators.scorers import attach_scorer, score_linear, score_with_model
 
 
@@ -31,34 +35,13 @@ def baseline_metrics(scored: DataFrame) -> DataFrame:
     )
 
 
-def _with_sizes(samples: DataFrame, options: dict) -> dict:
-    """Fill in width and row count from the unscored samples, the cheaper plan."""
-    full = dict(options)
-    if full.get("feature_ids") is None:
-        full["feature_ids"] = list(range(feature_count(samples)))
-    if full.get("sample_count") is None:
-        full["sample_count"] = samples.count()
-    return full
-
-
-def _drops(rescored: DataFrame, samples: DataFrame, repeats: int, model: str) -> DataFrame:
-    """Mean metric drops from rows holding ``p`` (baseline) and ``p_new``.
-
-    Each row contributes its own difference, so a feature whose shuffle
-    changes nothing gets an exact zero rather than rounding noise.
-    """
-    y = F.col("output")
-    hit = lambda p: (binarise(p) == y).cast("bigint")
-    gain = hit(F.col("p")) - hit(F.col("p_new"))
-    loss = (y - F.col("p_new")) * (y - F.col("p_new")) - (y - F.col("p")) * (y - F.col("p"))
+def _drops(sums: DataFrame, samples: DataFrame, repeats: int, model: str) -> DataFrame:
+    """Mean metric drops from the summed ``gain`` and ``loss`` of a run and feature."""
     totals = samples.agg(
         F.struct(
             F.count(F.lit(1)).alias("n"), F.sum(F.col("output").cast("double")).alias("sy")
         ).alias("t")
     ).scalar()
-    sums = rescored.groupBy("run_id", "feature_id").agg(
-        F.sum(gain).alias("gain"), F.sum(loss).alias("loss")
-    )
     spread = F.col("t.sy") - F.col("t.sy") * F.col("t.sy") / F.col("t.n")
     wide = sums.withColumn("t", totals).select(
         "run_id",
@@ -79,6 +62,13 @@ def _drops(rescored: DataFrame, samples: DataFrame, repeats: int, model: str) ->
     ).select("model", "run_id", "metric", "feature_id", "diff")
 
 
+def _weighted(samples: DataFrame, scorer: DataFrame) -> DataFrame:
+    """Samples with their margin and each feature's share of it as ``features``."""
+    return attach_scorer(score_linear(samples, scorer), scorer).withColumn(
+        "features", F.zip_with("features", "w", lambda v, w: v * w)
+    ).drop("w", "bias")
+
+
 def permutation_importance(
     samples: DataFrame,
     scorer: DataFrame,
@@ -86,29 +76,51 @@ def permutation_importance(
     runs: int = 1,
     seed: int = 0,
     model: str = "linear",
-    **block_options,
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """Importance table of a linear scorer.
 
-    The scorer is linear, so replacing one value moves the margin by
-    ``w_j * (x_new - x)``; nothing is projected again.
+    The scorer is linear, so a feature's new value moves the margin by the
+    difference of two shares and nothing is projected again.  A task rescores
+    whole Arrow batches and returns one sum per run and feature.
     """
-    scored = score_linear(samples, scorer).select(
-        "sample_id", "output", "features", "margin", F.col("probability").alias("p")
-    )
-    carry = ["output", "margin", "p"]
-    blocks = feature_blocks(scored, carry, **_with_sizes(samples, block_options))
-    # One weight per (feature, block) row, before shuffles multiply the rows.
-    weighted = (
-        attach_scorer(blocks, scorer)
-        .withColumn("x", F.transform("x", lambda v: v * F.get(F.col("w"), F.col("feature_id"))))
-        .drop("w", "bias")
+    pairs = shuffled_pairs(
+        _weighted(samples, scorer), ["output", "margin"], runs, repeats, seed, chunk=chunk
     )
-    rows = permuted_values(weighted, carry, draw_grid(runs, repeats, seed))
-    rescored = rows.withColumn(
-        "p_new", sigmoid(F.col("margin") + (F.col("x_new") - F.col("x")))
+
+    def rescore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            run, part, y, margin = (batch.column(i).to_numpy() for i in range(4))
+            for key in set(zip(run.tolist(), part.tolist())):
+                at = np.flatnonzero((run == key[0]) & (part == key[1]))
+                x, x_new = (
+                    batch.column(i).take(pa.array(at)).flatten().to_numpy().reshape(len(at), -1)
+                    for i in (4, 5)
+                )
+                own, truth = margin[at, None], y[at, None]
+                # Scored alike, so a shuffle that changes nothing drops exactly nothing.
+                with np.errstate(over="ignore"):
+                    p, p_new = (1 / (1 + np.exp(-m)) for m in (own, own + (x_new - x)))
+                hits = ((p > 0.5) == truth).astype(float) - ((p_new > 0.5) == truth)
+                loss = (truth - p_new) ** 2 - (truth - p) ** 2
+                found = np.stack([hits.sum(0), loss.sum(0)])
+                sums[key] = sums[key] + found if key in sums else found
+        for (run, part), found in sums.items():
+            width = found.shape[1]
+            yield pa.RecordBatch.from_pydict({
+                "run_id": pa.array([run] * width, pa.int32()),
+                "feature_id": pa.array(range(part * chunk, part * chunk + width), pa.int32()),
+                "gain": pa.array(found[0]), "loss": pa.array(found[1]),
+            })
+
+    sums = (
+        pairs.select("run_id", "chunk", "output", "margin", "x", "x_new")
+        .mapInArrow(rescore, "run_id int, feature_id int, gain double, loss double")
+        .groupBy("run_id", "feature_id")
+        .agg(F.sum("gain").alias("gain"), F.sum("loss").alias("loss"))
     )
-    return _drops(rescored, samples, repeats, model)
+    return _drops(sums, samples, repeats, model)
 
 
 def permutation_importance_model(
@@ -119,41 +131,61 @@ def permutation_importance_model(
     seed: int = 0,
     model: str = "model",
     loadings: DataFrame | None = None,
-    **block_options,
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """Importance table of any fitted MLlib classifier.
 
     ``samples`` carries ``z`` (reduced features) when ``loadings(feature_id,
     weights ARRAY<DOUBLE>)`` is given; a shuffled value then moves ``z`` by a
-    multiple of one loading row.  Without a reducer ``z`` is the feature array
-    itself and one element is replaced.
+    multiple of one loading row.  Loadings meet the pairs as one row per chunk,
+    before features multiply the rows.  Without a reducer one element of the
+    feature array is replaced; whole vectors arise in the task that scores them
+    and are never shuffled.
     """
     reduced = loadings is not None
-    base = samples if reduced else samples.withColumn("z", F.col("features"))
-    scored = score_with_model(base, classifier, "z").select(
+    width = chunk if reduced else max(1, feature_count(samples))
+    base = samples if reduced else samples.withColumn("z", F.lit(None).cast("array<double>"))
+    inputs = score_with_model(base, classifier, "z" if reduced else "features").select(
         "sample_id", "output", "features", "z", F.col("probability").alias("p")
     )
-    carry = ["output", "z", "p"]
-    blocks = feature_blocks(scored, carry, **_with_sizes(samples, block_options))
+    pairs = shuffled_pairs(inputs, ["output", "z", "p"], runs, repeats, seed, chunk=width)
     if reduced:
-        rows = permuted_values(blocks, carry, draw_grid(runs, repeats, seed)).join(
-            loadings, "feature_id"
-        )
-        moved = F.zip_with(
-            "z", "weights", lambda a, b: a + (F.col("x_new") - F.col("x")) * b
+        parts = loadings.groupBy((F.col("feature_id") / width).cast("int").alias("chunk")).agg(
+            F.transform(
+                F.array_sort(F.collect_list(F.struct("feature_id", "weights"))),
+                lambda row: row["weights"],
+            ).alias("weights")
         )
+        pairs = pairs.join(parts, "chunk")
+        cells = F.arrays_zip("x", "x_new", "weights")
+    else:
+        cells = F.arrays_zip("x", "x_new")
+    at = F.col("at")
+    rows = pairs.select(
+        "run_id", "chunk", "output", "p", "z", "x", F.posexplode(cells).alias("at", "cell")
+    )
+    if reduced:
+        step = F.col("cell.x_new") - F.col("cell.x")
+        moved = F.zip_with("z", "cell.weights", lambda a, b: a + step * b)
     else:
-        rows = permuted_values(blocks, carry, draw_grid(runs, repeats, seed))
         moved = F.transform(
-            "z", lambda v, i: F.when(i == F.col("feature_id"), F.col("x_new")).otherwise(v)
+            "x", lambda v, i: F.when(i == at, F.col("cell.x_new")).otherwise(v)
         )
-    moved_rows = rows.withColumn("z_new", moved).select(
-        "run_id", "feature_id", "output", "p", "z_new"
-    )
-    rescored = score_with_model(moved_rows, classifier, "z_new").withColumnRenamed(
-        "probability", "p_new"
+    rescored = score_with_model(
+        rows.select(
+            "run_id", (F.col("chunk") * width + at).cast("int").alias("feature_id"), "output", "p",
+            moved.alias("z_new"),
+        ),
+        classifier, "z_new",
+    ).withColumnRenamed("probability", "p_new")
+    y = F.col("output")
+    hit = lambda p: (binarise(p) == y).cast("bigint")
+    # Each row gives its own difference: a shuffle that changes nothing sums to zero.
+    loss = (y - F.col("p_new")) * (y - F.col("p_new")) - (y - F.col("p")) * (y - F.col("p"))
+    sums = rescored.groupBy("run_id", "feature_id").agg(
+        F.sum(hit(F.col("p")) - hit(F.col("p_new"))).alias("gain"), F.sum(loss).alias("loss")
     )
-    return _drops(rescored, samples, repeats, model)
+    return _drops(sums, samples, repeats, model)
 
 
 def sensitivity(samples: DataFrame, scorer: DataFrame) -> DataFrame:
@@ -177,26 +209,39 @@ def sensitivity(samples: DataFrame, scorer: DataFrame) -> DataFrame:
     return rows.groupBy("feature_id").agg(F.avg(change * change).alias("sensitivity"))
 
 
-def prediction_change(
-    samples: DataFrame,
-    scorer: DataFrame,
-    feature_ids: list[int],
-    simulations: int,
-    seed: int = 0,
-    **block_options,
+def prediction_changes(
+    samples: DataFrame, scorer: DataFrame, feature_ids: list[int], simulations: int, seed: int = 0
 ) -> DataFrame:
-    """Mean of (baseline - permuted probability) per sample and feature."""
-    scored = score_linear(samples, scorer).select(
-        "sample_id", "features", "margin", F.col("probability").alias("p")
+    """``(sample_id, features)``: mean of baseline minus shuffled probability, as arrays.
+
+    A sample's shuffles meet on its position, where their join has put them, and
+    are averaged there; ``features`` follows the order of ``feature_ids``.
+    """
+    pairs = shuffled_pairs(
+        _weighted(samples, scorer), ["sample_id", "margin"], 1, simulations, seed, feature_ids,
+        chunk=max(1, len(feature_ids)),
+    )
+    change = F.zip_with(
+        "x", "x_new",
+        lambda a, b: sigmoid(F.col("margin")) - sigmoid(F.col("margin") + (b - a)),
+    )
+    drawn = pairs.select("pos", "chunk", "sample_id", change.alias("change")).groupBy(
+        "pos", "chunk"
+    ).agg(F.first("sample_id").alias("sample_id"), F.collect_list("change").alias("drawn"))
+    total = F.reduce(
+        F.slice("drawn", 2, F.lit(simulations)), F.get("drawn", F.lit(0)),
+        lambda s, c: F.zip_with(s, c, lambda a, b: a + b),
+    )
+    return drawn.select(
+        "sample_id", F.transform(total, lambda v: v / F.lit(float(simulations))).alias("features")
     )
-    carry = ["margin", "p"]
-    options = _with_sizes(samples, {**block_options, "feature_ids": feature_ids})
-    blocks = feature_blocks(scored, carry, **options)
-    weighted = (
-        attach_scorer(blocks, scorer)
-        .withColumn("x", F.transform("x", lambda v: v * F.get(F.col("w"), F.col("feature_id"))))
-        .drop("w", "bias")
+
+
+def prediction_change(
+    samples: DataFrame, scorer: DataFrame, feature_ids: list[int], simulations: int, seed: int = 0
+) -> DataFrame:
+    """Mean of (baseline - shuffled probability) per sample and feature, long."""
+    arrays = prediction_changes(samples, scorer, feature_ids, simulations, seed)
+    return arrays.select("sample_id", F.posexplode("features").alias("_at", "avg_change")).select(
+        "sample_id", F.get(int_array(feature_ids), F.col("_at")).alias("feature_id"), "avg_change"
     )
-    rows = permuted_values(weighted, carry, draw_grid(1, simulations, seed))
-    change = F.col("p") - sigmoid(F.col("margin") + (F.col("x_new") - F.col("x")))
-    return rows.groupBy("sample_id", "feature_id").agg(F.avg(change).alias("avg_change"))

@@ -37,17 +37,34 @@ def to_long(samples: DataFrame) -> DataFrame:
 
 
 def to_arrays(long: DataFrame) -> DataFrame:
-    """Long rows back to one array per sample (a group is one sample's row)."""
-    packed = F.array_sort(F.collect_list(F.struct("feature_id", "value")))
-    return long.groupBy("sample_id", "output").agg(
-        F.transform(packed, lambda cell: cell["value"]).alias("features")
+    """Long rows back to one array per sample, in the order of all feature ids.
+
+    A cell that a sample lacks is null, so values never move to another place.
+    """
+    every = long.agg(F.array_sort(F.collect_set("feature_id"))).scalar()
+    cells = F.array_sort(F.collect_list(F.struct("feature_id", "value")))
+    packed = long.groupBy("sample_id", "output").agg(cells.alias("_c")).withColumn("_ids", every)
+    own = F.transform("_c", lambda cell: cell["feature_id"])
+    placed = F.transform(
+        "_ids", lambda i: F.try_element_at(F.map_from_entries("_c"), i)
+    )
+    return packed.select(
+        "sample_id",
+        "output",
+        F.when(own == F.col("_ids"), F.transform("_c", lambda cell: cell["value"]))
+        .otherwise(placed)
+        .alias("features"),
     )
 
 
 def feature_count(samples: DataFrame) -> int:
-    """Width of the matrix, from its first row."""
-    first = samples.select(F.size("features").alias("d")).first()
-    return first["d"] if first else 0
+    """Width of the matrix; rows of different widths are an error."""
+    found = samples.agg(
+        F.min(F.size("features")).alias("low"), F.max(F.size("features")).alias("high")
+    ).first()
+    if found["low"] != found["high"]:
+        raise ValueError(f"feature arrays of {found['low']} to {found['high']} values")
+    return found["high"] or 0
 
 
 def select_top(long: DataFrame, ranking: DataFrame, k: int) -> DataFrame:

@@ -1,126 +1,80 @@
-"""The permutation relation: every sample next to a shuffled feature value.
-
-Joining N shuffled copies of each column would move the matrix N times.  Here
-the matrix is shuffled once: samples get a random block by a hash of their id
-and rows of one (block, feature chunk) meet in one group.  Inside the group
-every (feature, repeat) draws its own permutation of the block.  Blocks hold
-about ``block_rows`` samples; with no more samples than that there is a single
-block and the result is a uniform shuffle of the whole column.  With more,
-each block is shuffled within itself, so the column keeps exactly its values
-and every sample is scored.
+"""Shuffles: every sample next to the sample whose values it tries on.
+
+A shuffle is one seeded permutation of the rows of the whole table, by the same
+rule at every size.  Samples get dense positions in hashed order, and a shuffle
+sends the values at position p to position ``(factor * p + shift) mod n``, so a
+draw is arithmetic and no draw is sorted.  One row permutation serves all
+features of a shuffle; each feature is still tried on alone, so its column keeps
+exactly its values.  Senders and receivers meet in one equi-join on the position,
+where no key is hot.
 """
 
 from __future__ import annotations
 
-import math
+import json
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from salience.functions.expressions import int_array
-from salience.functions.shuffling import hash_id, permuted_positions, stream_key
+from salience.functions.shuffling import affine_shuffle, hash_id
 from salience.operators.matrix import feature_count
-from salience.session import parallelism
-
-BLOCK_ROWS = 16_384
-MAX_CHUNK = 64
+from salience.operators.scan import dense_position
+
+# Features that travel in one row of the join.
+CHUNK = 128
+
+
+def draw_grid(runs: int, repeats: int, seed: int, rows: int) -> Column:
+    """Array of (run_id, repeat, factor, shift) for ``runs`` x ``repeats`` shuffles."""
+    draws = [
+        (run, repeat, *affine_shuffle(rows, repeat, seed + run))
+        for run in range(1, runs + 1)
+        for repeat in range(1, repeats + 1)
+    ]
+    names = ("run_id", "repeat", "factor", "shift")
+    return F.from_json(
+        F.lit(json.dumps([dict(zip(names, d)) for d in draws])),
+        "array<struct<run_id:int,repeat:int,factor:bigint,shift:bigint>>",
+    )
 
 
-def feature_blocks(
+def shuffled_pairs(
     samples: DataFrame,
     carry: list[str],
+    runs: int,
+    repeats: int,
+    seed: int,
     feature_ids: list[int] | None = None,
-    block_rows: int = BLOCK_ROWS,
-    sample_count: int | None = None,
+    chunk: int = CHUNK,
 ) -> DataFrame:
-    """One row per (feature, block): parallel arrays in ascending id order.
+    """Rows (pos, chunk, carry..., x, run_id, repeat, x_new), one per shuffle and chunk.
 
-    ``sample_count`` may be any upper bound on the number of samples; it is
-    counted when absent.
+    ``x`` holds the sample's own values of the features ``chunk * width ..`` of
+    ``feature_ids`` (all when absent), ``x_new`` those it receives.
     """
-    spark = samples.sparkSession
-    if feature_ids is None:
-        feature_ids = list(range(feature_count(samples)))
-    total = samples.count() if sample_count is None else sample_count
-    blocks = max(1, math.ceil(total / block_rows))
-    # Several groups per core, so that an unlucky hash does not pile them up.
-    tasks = 4 * parallelism(spark)
-    width = max(1, min(MAX_CHUNK, len(feature_ids) * blocks // tasks))
-    chunks = [feature_ids[i : i + width] for i in range(0, len(feature_ids), width)]
-    kind = samples.schema["sample_id"].dataType.simpleString()
-
-    cells = F.transform(
-        F.sequence(F.lit(0), F.lit(len(chunks) - 1)),
-        lambda c: F.struct(
-            c.alias("chunk"), F.slice(int_array(feature_ids), c * width + 1, F.lit(width)).alias("ids")
-        ),
-    )
-    # Slices are cut before the explode, so a row carries its own chunk only.
-    sliced = F.transform(
-        cells,
-        lambda cell: F.struct(
-            cell["chunk"].alias("chunk"),
-            F.transform(cell["ids"], lambda i: F.get(F.col("features"), i)).alias("x"),
-        ),
+    width = feature_count(samples) if feature_ids is None else len(feature_ids)
+    values = F.col("features") if feature_ids is None else F.transform(
+        int_array(feature_ids), lambda i: F.get(F.col("features"), i)
     )
-    pieces = (
+    kind = samples.schema["sample_id"].dataType.simpleString()
+    total = max(samples.count(), 1)
+    placed = dense_position(
         samples.select(
-            "sample_id",
-            *carry,
-            (hash_id(F.col("sample_id"), kind) % blocks).cast("int").alias("block"),
-            F.inline(sliced),
-        )
-        .select("block", "chunk", F.struct("sample_id", *carry, "x").alias("row"))
-        # An explicit count keeps AQE from merging CPU-heavy groups.
-        .repartition(tasks, "block", "chunk")
-    )
-    grouped = pieces.groupBy("block", "chunk").agg(
-        F.sort_array(F.collect_list("row")).alias("rows")
-    )
-    ids = F.element_at(cells, F.col("chunk") + 1)["ids"]
-    return grouped.select("block", "rows", F.posexplode(ids).alias("k", "feature_id")).select(
-        "block",
-        "feature_id",
-        F.size("rows").alias("n"),
-        *[_field_array(c) for c in ["sample_id", *carry]],
-        F.transform("rows", lambda r: F.get(r["x"], F.col("k"))).alias("x"),
-    )
-
-
-def _field_array(name: str) -> Column:
-    return F.transform("rows", lambda row: row[name]).alias(name)
-
-
-def permuted_values(blocks: DataFrame, carry: list[str], draws: Column) -> DataFrame:
-    """Long rows (feature_id, draw fields, sample_id, carry..., x, x_new).
-
-    ``draws`` is an array of structs with at least ``repeat`` and ``seed``;
-    each element is one shuffle of every feature.
-    """
-    # Keys are made before the explode, once per shuffle; written later they
-    # would be folded into the per-element lambda.
-    with_keys = F.transform(
-        draws,
-        lambda d: F.struct(
-            d.alias("draw"),
-            stream_key(F.col("feature_id"), d["repeat"], d["seed"]).alias("key"),
+            *carry, values.alias("x"),
+            F.struct(hash_id(F.col("sample_id"), kind), F.col("sample_id")).alias("_order"),
+        ),
+        [], "_order", "_number",
+    ).withColumn("pos", F.col("_number") - 1)
+    slices = F.transform(
+        F.sequence(F.lit(0), F.lit(max(0, (width - 1) // chunk))),
+        lambda c: F.struct(
+            c.alias("chunk"), F.slice("x", c * chunk + 1, F.lit(chunk)).alias("x")
         ),
     )
-    keyed = blocks.select("*", F.inline(with_keys))
-    return (
-        keyed.withColumn("_donor", permuted_positions(F.col("n"), F.col("key")))
-        .withColumn("x_new", F.transform("_donor", lambda i: F.get(F.col("x"), i)))
-        .select(
-            "feature_id",
-            "draw",
-            F.inline(F.arrays_zip("sample_id", *carry, "x", "x_new")),
-        )
-        .select("feature_id", "draw.*", "sample_id", *carry, "x", "x_new")
-    )
-
-
-def draw_grid(runs: int, repeats: int, seed: int) -> Column:
-    """Array of (run_id, repeat, seed) for ``runs`` x ``repeats`` shuffles."""
-    return F.expr(
-        f"flatten(transform(sequence(1, {runs}), run -> transform(sequence(1, {repeats}), "
-        f"again -> struct(run AS run_id, again AS repeat, {seed} + run AS seed))))"
+    pieces = placed.select("pos", *carry, F.inline(slices))
+    sent = placed.select("pos", F.inline(slices)).select(
+        "pos", "chunk", F.col("x").alias("x_new"), F.inline(draw_grid(runs, repeats, seed, total))
     )
+    target = (F.col("pos") * F.col("factor") + F.col("shift")) % total
+    sent = sent.select(target.alias("pos"), "chunk", "run_id", "repeat", "x_new")
+    return pieces.join(sent, ["pos", "chunk"])

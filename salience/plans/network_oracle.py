@@ -28,7 +28,7 @@ def _set(part: str, condition: str) -> str:
     text = f"""train AS (SELECT * FROM parts WHERE {condition}),
 {centroid('train', 'train')}, {CHANGE}, {CORRELATION}"""
     for name in ("train", "fit_long", "weights", "bias", "long", "margins", "placed", "draws",
-                 "keyed", "shuffled", "permuted", "change", "edges"):
+                 "sent", "permuted", "change", "edges"):
         text = re.sub(rf"\b{name}\b", f"{name}_{part}", text)
     return text
 

@@ -12,13 +12,6 @@ from salience.session import cut_lineage
 SIMULATIONS = 3
 
 
-def _change(spark: SparkSession, sf: str, data: DataFrame | None = None) -> DataFrame:
-    rows = fixtures.samples(spark, sf) if data is None else data
-    ids = _feature_ids(spark, sf)
-    scorer = scorers.fit_centroid(rows)
-    return importance.prediction_change(rows, scorer, ids, SIMULATIONS, SEED)
-
-
 def _feature_ids(spark: SparkSession, sf: str) -> list[int]:
     names = fixtures.feature_names(fixtures.samples(spark, sf))
     return [r[0] for r in names.select("feature_id").orderBy("feature_id").collect()]
@@ -26,14 +19,19 @@ def _feature_ids(spark: SparkSession, sf: str) -> list[int]:
 
 def prediction_change(spark: SparkSession, sf: str) -> DataFrame:
     """Mean prediction change per sample and feature."""
-    return _change(spark, sf).select(
+    data = fixtures.samples(spark, sf)
+    ids = _feature_ids(spark, sf)
+    scorer = scorers.fit_centroid(data)
+    return importance.prediction_change(data, scorer, ids, SIMULATIONS, SEED).select(
         "sample_id", "feature_id", F.round("avg_change", 9).alias("avg_change")
     )
 
 
 def _correlation(spark: SparkSession, sf: str, data: DataFrame | None = None) -> DataFrame:
+    samples = fixtures.samples(spark, sf) if data is None else data
     ids = _feature_ids(spark, sf)
-    rows = similarity.aligned_arrays(_change(spark, sf, data), ids, "avg_change")
+    scorer = scorers.fit_centroid(samples)
+    rows = importance.prediction_changes(samples, scorer, ids, SIMULATIONS, SEED)
     return cut_lineage(similarity.correlation_edges(rows, ids))
 
 

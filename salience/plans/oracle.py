@@ -61,37 +61,33 @@ margins AS (
   GROUP BY sample_id)"""
 
 
-def permuted(runs: int, repeats: int, seed: int, block_rows: int = 16384) -> str:
+def permuted(runs: int, repeats: int, seed: int) -> str:
     """CTE ``permuted``: every value of ``long`` next to a shuffled one."""
     return f"""placed AS (
-  SELECT l.*, m.margin, m.p, block,
-         row_number() OVER (PARTITION BY feature_id, block ORDER BY sample_id) - 1 AS pos
-  FROM long l JOIN margins m USING (sample_id)
-  JOIN (SELECT sample_id, {hashed_id('sample_id', 0)}
-                 % greatest(1, ceil((SELECT count(*) FROM margins) / {block_rows})::BIGINT) AS block
-        FROM margins) USING (sample_id)),
+  SELECT l.*, margin, p, pos
+  FROM long l JOIN (
+    SELECT sample_id, margin, p,
+           row_number() OVER (ORDER BY {hashed_id('sample_id', 0)}, sample_id) - 1 AS pos
+    FROM margins) USING (sample_id)),
 draws AS (
-  SELECT run_id, repeat, {seed} + run_id AS seed
-  FROM range(1, {runs + 1}) r(run_id), range(1, {repeats + 1}) s(repeat)),
-keyed AS (
-  SELECT p.*, run_id, repeat,
-         (pos * 48271 + {fifth(f"(feature_id * 1000003 + repeat * 7368787 + seed * 15485863 + 12345) % {M}")}) % {M} AS line
-  FROM placed p, draws),
-shuffled AS (
-  SELECT *, row_number() OVER (PARTITION BY feature_id, block, run_id, repeat
-                               ORDER BY {fifth('line')}) - 1 AS slot
-  FROM keyed),
+  SELECT run_id, repeat, n_rows, h % n_rows AS shift,
+         list_filter(range(g % 1048576 + 1, g % 1048576 + 2001), lambda a: gcd(a, n_rows) = 1)[1] AS factor
+  FROM (SELECT *, {fifth(f"(h * 48271 + 12345) % {M}")} AS g
+        FROM (SELECT run_id, repeat, n_rows,
+                     {fifth(f"(repeat * 7368787 + ({seed} + run_id) * 15485863 + 12345) % {M}")} AS h
+              FROM range(1, {runs + 1}) r(run_id), range(1, {repeats + 1}) s(repeat),
+                   (SELECT count(*) AS n_rows FROM margins)))),
+sent AS (
+  SELECT feature_id, value AS x_new, run_id, repeat, (pos * factor + shift) % n_rows AS pos
+  FROM placed, draws),
 permuted AS (
-  SELECT a.sample_id, a.output, a.feature_id, a.run_id, a.repeat, a.margin, a.p,
-         a.value AS x, b.value AS x_new
-  FROM shuffled a JOIN shuffled b
-    ON a.feature_id = b.feature_id AND a.block = b.block AND a.run_id = b.run_id
-   AND a.repeat = b.repeat AND a.pos = b.slot)"""
+  SELECT t.sample_id, t.output, t.feature_id, run_id, repeat, t.margin, t.p, t.value AS x, x_new
+  FROM sent JOIN placed t USING (feature_id, pos))"""
 
 
-def importance(runs: int, repeats: int, seed: int, block_rows: int = 16384) -> str:
+def importance(runs: int, repeats: int, seed: int) -> str:
     """CTE ``importance`` (run_id, metric, feature_id, diff)."""
-    return f"""{permuted(runs, repeats, seed, block_rows)},
+    return f"""{permuted(runs, repeats, seed)},
 rescored AS (
   SELECT *, 1 / (1 + exp(-(margin + w * (x_new - x)))) AS p_new
   FROM permuted JOIN weights USING (feature_id)),
@@ -273,7 +269,7 @@ FROM margins""",
     "permutation_importance": f"""{_ranked_runs(3, 5)}
 SELECT run_id::INT AS run_id, metric, feature_id::INT AS feature_id, round(diff, 8) AS diff
 FROM importance""",
-    "permutation_importance_blocks": f"""{BASE}, {importance(1, 5, 100, 128)}
+    "permutation_importance_blocks": f"""{BASE}, {importance(1, 5, 100)}
 SELECT run_id::INT AS run_id, metric, feature_id::INT AS feature_id, round(diff, 8) AS diff
 FROM importance""",
     "feature_ranking": flagship(4, 25, 100, 20),
@@ -350,8 +346,8 @@ FROM mean_sweep, best WHERE auroc BETWEEN best - 0.025::DOUBLE AND best + 0.025:
 SELECT dataset, model, method, printf('%.4f ± %.4f', auroc_mean, auroc_std) AS auroc,
        printf('%.4f', auroc_mean)::DOUBLE AS mean, printf('%.4f', auroc_std)::DOUBLE AS std
 FROM performance""",
-    "square_pad": """SELECT vec_id AS sample_id, 64 AS width,
-  round(list_sum(embedding[1:50]::DOUBLE[]) + 14, 6) AS total FROM embeddings""",
+    "square_pad": """SELECT vec_id AS sample_id, 81 AS width,
+  round(list_sum(embedding::DOUBLE[]) + (label >= 5)::INT + 16, 6) AS total FROM embeddings""",
     "drop_null_subset": """SELECT o_orderkey, o_totalprice, sum(l_quantity) AS returned
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey
 WHERE l_returnflag = 'R' GROUP BY o_orderkey, o_totalprice""",

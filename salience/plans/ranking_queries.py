@@ -14,7 +14,7 @@ from salience.sources import tables
 # The flagship workload: 4 runs of 25 shuffles.
 RUNS, REPEATS, SEED = 4, 25, 100
 SMALL_RUNS, SMALL_REPEATS = 3, 5
-BLOCK = 128
+NARROW = 24
 
 
 def long_explode(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,8 +85,8 @@ def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def permutation_importance_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """The same with several blocks of samples."""
-    diffs = _importance(spark, sf, 1, SMALL_REPEATS, block_rows=BLOCK)
+    """The same with features that travel in several chunks."""
+    diffs = _importance(spark, sf, 1, SMALL_REPEATS, chunk=NARROW)
     return diffs.select("run_id", "metric", "feature_id", F.round("diff", 8).alias("diff"))
 
 
@@ -96,10 +96,7 @@ def feature_ranking(spark: SparkSession, sf: str) -> DataFrame:
     parts = matrix.stratified_split(data)
     train, test = parts.where("is_train"), parts.where("not is_train")
     scorer = scorers.fit_centroid(train)
-    diffs = importance.permutation_importance(
-        test, scorer, REPEATS, RUNS, SEED, sample_count=data.count(),
-        feature_ids=list(range(matrix.feature_count(data))),
-    )
+    diffs = importance.permutation_importance(test, scorer, REPEATS, RUNS, SEED)
     # The importance runs are stored before they are ranked.
     ranks = ranking.aggregate_ranking(cut_lineage(diffs))
     top = ranking.top_features(ranks, fixtures.feature_names(data), 20)
@@ -333,7 +330,10 @@ def format_parse_pm(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def square_pad(spark: SparkSession, sf: str) -> DataFrame:
-    data = matrix.take_features(fixtures.samples(spark, sf), list(range(50)))
+    """All 64 values and the label, padded to 81."""
+    data = fixtures.samples(spark, sf).withColumn(
+        "features", F.array_append("features", F.col("output").cast("double"))
+    )
     total = F.aggregate("features", F.lit(0.0), lambda s, v: s + v)
     return matrix.square_padded(data).select(
         "sample_id", F.size("features").alias("width"), F.round(total, 6).alias("total")

@@ -23,8 +23,7 @@ def _reach(near):
         labels = new
 
 
-@pytest.mark.parametrize("finish", [0, 100_000])
-def test_spanning_forest_matches_brute_force(spark, finish):
+def test_spanning_forest_matches_brute_force(spark):
     rng = np.random.default_rng(5)
     n = 24
     pairs = {tuple(sorted(p)) for p in rng.integers(0, n, (40, 2)).tolist() if p[0] != p[1]}
@@ -33,7 +32,7 @@ def test_spanning_forest_matches_brute_force(spark, finish):
     edges = [(a, b, float(rng.integers(1, 9))) for a, b in sorted(pairs)]
     df = spark.createDataFrame(edges, "src bigint, dst bigint, weight double")
     nodes = spark.range(n).toDF("node")
-    tree, labels = graph.spanning_forest(nodes, df, "weight", finish_edges=finish)
+    tree, labels = graph.spanning_forest(nodes, df, "weight")
     parent = list(range(n))
 
     def top(v):
@@ -53,7 +52,7 @@ def test_spanning_forest_matches_brute_force(spark, finish):
 def test_long_chain_is_one_component(spark):
     edges = spark.range(40).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     nodes = spark.range(41).toDF("node")
-    _, labels = graph.spanning_forest(nodes, edges.withColumn("w", F.lit(1)), "w", finish_edges=0)
+    _, labels = graph.spanning_forest(nodes, edges.withColumn("w", F.lit(1)), "w")
     assert {r.component for r in labels.collect()} == {0}
 
 

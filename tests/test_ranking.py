@@ -47,25 +47,47 @@ def test_constant_feature_has_no_importance(spark):
     assert moved[0] == 0.0 and moved[1] > 0.0
 
 
-@pytest.mark.parametrize("block_rows", [1000, 9])
-def test_permutation_keeps_every_value(spark, block_rows):
-    data = _samples(spark)
-    blocks = permutation.feature_blocks(data, ["output"], block_rows=block_rows)
-    rows = permutation.permuted_values(blocks, ["output"], permutation.draw_grid(2, 2, 5)).toPandas()
+@pytest.mark.parametrize("chunk", [64, 2])
+def test_permutation_keeps_every_value(spark, chunk):
+    pairs = permutation.shuffled_pairs(_samples(spark), ["sample_id"], 2, 2, 5, chunk=chunk)
+    rows = pairs.select(
+        "run_id", "repeat", "chunk", "sample_id", F.posexplode(F.arrays_zip("x", "x_new"))
+    ).select("*", "col.*").toPandas()
     assert len(rows) == 60 * 5 * 4
-    for _, part in rows.groupby(["feature_id", "run_id", "repeat"]):
+    for _, part in rows.groupby(["chunk", "pos", "run_id", "repeat"]):
         assert sorted(part.x) == sorted(part.x_new)
         assert part.sample_id.nunique() == 60
-    moved = rows[rows.feature_id == 2]
-    assert (moved.x != moved.x_new).mean() > 0.5
+    moved = rows[rows.chunk * chunk + rows.pos == 2]
+    assert (moved.x != moved.x_new).mean() > 0.9
+
 
+def test_draws_differ_between_repeats(spark):
+    pairs = permutation.shuffled_pairs(_samples(spark), ["sample_id"], 1, 2, 5).toPandas()
+    wide = pairs.pivot(index="sample_id", columns="repeat", values="x_new")
+    assert not np.allclose(np.stack(wide[1]), np.stack(wide[2]))
 
-def test_draws_differ_between_repeats_and_features(spark):
+
+def test_importance_does_not_depend_on_chunks_or_partitions(spark):
     data = _samples(spark)
-    blocks = permutation.feature_blocks(data, [])
-    rows = permutation.permuted_values(blocks, [], permutation.draw_grid(1, 2, 5)).toPandas()
-    wide = rows[rows.feature_id > 0].pivot(index="sample_id", columns=["feature_id", "repeat"], values="x_new")
-    assert not np.allclose(wide[(1, 1)], wide[(1, 2)])
+    scorer = scorers.fit_centroid(data)
+    key = ["run_id", "metric", "feature_id"]
+    one = importance.permutation_importance(data, scorer, 3, 2)
+    two = importance.permutation_importance(data.repartition(7), scorer, 3, 2, chunk=2)
+    both = one.join(two.withColumnRenamed("diff", "other"), key).toPandas()
+    assert len(both) == 20
+    assert np.allclose(both["diff"], both["other"], atol=1e-12)
+
+
+def test_missing_cells_keep_their_place_and_ragged_rows_fail(spark):
+    long = spark.createDataFrame(
+        [(1, 0, 0, 4.0), (1, 0, 2, 6.0), (2, 1, 0, 1.0), (2, 1, 1, 2.0), (2, 1, 2, 3.0)],
+        "sample_id int, output int, feature_id int, value double",
+    )
+    got = {r.sample_id: r.features for r in matrix.to_arrays(long).collect()}
+    assert got == {1: [4.0, None, 6.0], 2: [1.0, 2.0, 3.0]}
+    ragged = spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "features array<double>")
+    with pytest.raises(ValueError, match="1 to 2"):
+        matrix.feature_count(ragged)
 
 
 def test_rank_one_update_equals_effective_weights(spark):
