@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from salience.functions.expressions import binarise
 from salience.operators.reduction import Reducer
-from salience.operators.scorers import attach_scorer
+from salience.operators.scan import dense_position
+from salience.operators.scorers import attach_scorer, score_with_model
 
 Predict = Callable[[np.ndarray], np.ndarray]
 
@@ -98,78 +99,62 @@ def inverse_shap_linear(
     return map_to_features(np.asarray(beta) * gaps, reducer, reduced.sparkSession)
 
 
-def inverse_shap_sampled(
-    reduced: DataFrame,
-    background: DataFrame,
-    predict: Predict,
-    reducer: Reducer,
-    orders: int = 10,
-    background_rows: int = 100,
-    seed: int = 0,
+def component_shap_sampled(
+    reduced: DataFrame, background: DataFrame, model, orders: int = 10, seed: int = 0
 ) -> DataFrame:
-    """Sampled Shapley values on ``z`` for any predictor, mapped back.
+    """Sampled Shapley values on ``z`` for any fitted classifier: (component, shap).
 
-    ``background_rows`` seeded rows stand for the background (the size the
-    method fixes); samples stay partitioned and only running sums leave a task.
+    Each sample meets ``orders`` rows drawn from the whole background by a seeded
+    hash.  In a seeded order the components of the background row are exchanged for
+    the sample's, one by one; a score after the t-th exchange counts for the t-th
+    component and against the next one, so no scores need to meet again.
     """
-    rows = background.orderBy(F.xxhash64("sample_id", F.lit(seed))).limit(background_rows)
-    base = np.array([r["z"] for r in rows.select("z").collect()])
-
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        width = base.shape[1]
-        total, n = np.zeros(width), 0
-        for batch in batches:
-            for key, z in zip(batch["sample_id"], batch["z"]):
-                rng = np.random.default_rng([seed, int(key) & 0xFFFFFFFF])
-                z = np.asarray(z)
-                for _ in range(orders):
-                    order = rng.permutation(width)
-                    steps = np.tile(base[rng.integers(len(base))], (width + 1, 1))
-                    for at, c in enumerate(order):
-                        steps[at + 1 :, c] = z[c]
-                    total[order] += np.diff(predict(steps)) / orders
-                n += 1
-        if n:
-            yield pd.DataFrame({"component": range(width), "total": total, "n": n})
-
-    sums = (
-        reduced.select("sample_id", "z")
-        .mapInPandas(explain, "component int, total double, n bigint")
-        .groupBy("component")
-        .agg((F.sum("total") / F.sum("n")).alias("shap"))
-        .orderBy("component")
-        .collect()
+    placed = dense_position(
+        background.select(F.col("z").alias("base"), F.struct(
+            F.xxhash64("sample_id", F.lit(seed)), F.col("sample_id")).alias("_by")),
+        [], "_by", "_at", size="_rows",
     )
-    return map_to_features(
-        np.array([r["shap"] for r in sums]), reducer, reduced.sparkSession
+    total = placed.agg(F.max("_rows")).scalar()
+    draws = reduced.select(
+        "sample_id", "z", F.explode(F.sequence(F.lit(1), F.lit(orders))).alias("draw")
+    ).withColumn(
+        "_at", F.pmod(F.xxhash64("sample_id", "draw", F.lit(seed + 1)), total) + 1
+    )
+    places = F.sequence(F.lit(0), F.size("z") - 1)
+    order = F.transform(
+        F.array_sort(F.transform(places, lambda c: F.struct(
+            F.xxhash64(F.col("sample_id"), F.col("draw"), c, F.lit(seed + 2)).alias("by"),
+            c.alias("c")))),
+        lambda s: s["c"],
+    )
+    steps = draws.join(placed, "_at").withColumn("order", order).select(
+        "z", "base", "order", F.explode(F.sequence(F.lit(0), F.size("z"))).alias("t")
+    )
+    mixed = F.transform("z", lambda v, c: F.when(
+        F.array_position("order", c) <= F.col("t"), v).otherwise(F.get("base", c)))
+    scored = score_with_model(steps.select("order", "t", mixed.alias("mixed")), model, "mixed")
+    moves = F.array(
+        F.struct(F.get("order", F.col("t") - 1).alias("component"), F.col("probability").alias("v")),
+        F.struct(F.get("order", F.col("t")).alias("component"), (-F.col("probability")).alias("v")),
+    )
+    rows = reduced.agg(F.count(F.lit(1))).scalar()
+    return (
+        scored.select(F.inline(moves)).where("component IS NOT NULL")
+        .groupBy("component").agg(F.sum("v").alias("v"))
+        .select("component", (F.col("v") / (rows * orders)).alias("shap"))
     )
 
 
-def perceptron_predict(model) -> Predict:
-    """Forward pass of a fitted MLlib perceptron as a numpy function."""
-    layers = list(model.getLayers())
-    flat = np.asarray(model.weights.toArray())
-    parts, at = [], 0
-    for i, o in zip(layers[:-1], layers[1:]):
-        # Weights are stored column by column, then the bias.
-        weights = flat[at : at + i * o].reshape(o, i, order="F")
-        parts.append((weights, flat[at + i * o : at + i * o + o]))
-        at += i * o + o
-
-    def predict(x: np.ndarray) -> np.ndarray:
-        h = x
-        for level, (w, b) in enumerate(parts):
-            h = _affine(h, w, b)
-            if level < len(parts) - 1:
-                h = 1.0 / (1.0 + np.exp(-h))
-        e = np.exp(h - h.max(axis=1, keepdims=True))
-        return e[:, 1] / e.sum(axis=1)
-
-    return predict
-
-
-def _affine(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return h @ w.T + b
+def inverse_shap_sampled(
+    reduced: DataFrame, background: DataFrame, model, reducer: Reducer, orders: int = 10,
+    seed: int = 0,
+) -> DataFrame:
+    """Sampled Shapley values of a classifier on ``z``, mapped back through the loadings."""
+    # One number per component, as wide as one row of z.
+    found = component_shap_sampled(reduced, background, model, orders, seed).orderBy("component")
+    return map_to_features(
+        np.array([r["shap"] for r in found.collect()]), reducer, reduced.sparkSession
+    )
 
 
 def linear_predict(weights, bias: float) -> Predict:

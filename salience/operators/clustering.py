@@ -65,6 +65,10 @@ def power_iteration(
     )
 
 
+def _no_rows(*names: str) -> pd.DataFrame:
+    return pd.DataFrame({n: [] for n in names}, dtype=object)
+
+
 def _prim(gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Edges of a minimum spanning tree of a full distance matrix."""
     n = len(gaps)
@@ -95,7 +99,7 @@ def minimum_spanning_tree(points: DataFrame, block_rows: int = BLOCK_ROWS) -> Da
     def reduce_tile(a, b):
         both = a if b is None else pd.concat([a, b], ignore_index=True)
         if len(both) < 2:
-            return pd.DataFrame({"src": [], "dst": [], "cost": []})
+            return _no_rows("src", "dst", "cost")
         m = matrix_of(both)
         left, right, cost = _prim(distances(m, m))
         ids = both["point_id"].to_numpy()
@@ -194,7 +198,7 @@ def dbscan(
     def link(a, b):
         both = a if b is None else pd.concat([a, b], ignore_index=True)
         if not len(both):
-            return pd.DataFrame({"src": [], "dst": []})
+            return _no_rows("src", "dst")
         m = matrix_of(both)
         labels = _tile_labels(distances(m, m) <= eps)
         ids = both["point_id"].to_numpy()
@@ -209,31 +213,30 @@ def dbscan(
     flagged = (
         flat.join(core, "point_id")
         .join(named.select(F.col("node").alias("point_id"), "component"), "point_id", "left")
+        # No nulls: pandas would turn whole ids into floats.
+        .withColumn("component", F.coalesce("component", "point_id"))
     )
 
     def reach(a, b):
-        def first(border, anchors, near):
-            names = anchors["component"].to_numpy(dtype=float)
-            found = np.where(near, names[None, :], np.inf).min(axis=1, initial=np.inf)
-            hit = np.isfinite(found)
-            return pd.DataFrame(
-                {"point_id": border["point_id"].to_numpy()[hit], "component": found[hit]}
-            )
-
         blocks = [(a, a)] if b is None else [(a, b), (b, a)]
         out = []
         for left, right in blocks:
             border = left[~left["core"]].reset_index(drop=True)
-            anchors = right[right["core"]].reset_index(drop=True)
+            anchors = right[right["core"]].sort_values("component").reset_index(drop=True)
             if len(border) and len(anchors):
                 near = distances(matrix_of(border), matrix_of(anchors)) <= eps
-                out.append(first(border, anchors, near))
-        return pd.concat(out) if out else pd.DataFrame({"point_id": [], "component": []})
+                hit = near.any(axis=1)
+                # Anchors are in order, so the first near one has the smallest name.
+                out.append(pd.DataFrame({
+                    "point_id": border["point_id"].to_numpy()[hit],
+                    "component": anchors["component"].to_numpy()[near.argmax(axis=1)[hit]],
+                }))
+        return pd.concat(out) if out else _no_rows("point_id", "component")
 
     borders = (
-        tiled(flagged, reach, f"point_id {kind}, component double", block_rows)
+        tiled(flagged, reach, f"point_id {kind}, component {kind}", block_rows)
         .groupBy("point_id")
-        .agg(F.min("component").cast(kind).alias("component"))
+        .agg(F.min("component").alias("component"))
     )
     labels = borders.select(F.col("point_id").alias("node"), "component").unionByName(named)
     clustered = _numbered(points, labels)
@@ -281,7 +284,7 @@ def run_configuration(
         thin = small_clusters(labelled).count()
         return (method, shown, sim, float(score), count, thin, "ok", None), labelled
     except Exception as failure:
-        return (method, shown, sim, None, None, None, "failed", str(failure)[:500]), None
+        return (method, shown, sim, None, None, None, "failed", str(failure)), None
 
 
 def grid_search(

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from salience.functions.expressions import squared_distance
 from salience.operators.tiles import BLOCK_ROWS, distances, matrix_of, tiled
-from salience.session import cut_lineage, join_checked
+from salience.session import cut_lineage
 
 
 def _cluster_sums(a: pd.DataFrame, b: pd.DataFrame, gaps: np.ndarray) -> pd.DataFrame:
@@ -121,7 +121,7 @@ def centroids(points: DataFrame) -> DataFrame:
 def _spread(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per cluster: centre, size, mean distance and squared distance to it."""
     centres = cut_lineage(centroids(points))
-    near = join_checked(points, centres, ["cluster"])
+    near = points.join(centres, "cluster")
     square = squared_distance(F.col("features"), F.col("centre"))
     stats = near.groupBy("cluster").agg(
         F.avg(F.sqrt(square)).alias("scatter"), F.sum(square).alias("within")

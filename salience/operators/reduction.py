@@ -11,19 +11,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.stat import Summarizer
-from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from salience.operators.matrix import to_long
 
-# MLlib's PCA forms a d x d matrix on the driver; wider data go through SVD.
-PCA_LIMIT = 10_000
-
 
 @dataclass
 class Reducer:
@@ -60,20 +57,17 @@ def _vectors(samples: DataFrame) -> DataFrame:
 
 
 def _fit_svd(vectors: DataFrame, k: int) -> np.ndarray:
-    rows = vectors.rdd.map(lambda r: OldVectors.fromML(r[0]))
+    rows = MLUtils.convertVectorColumnsFromML(vectors, *vectors.columns)
     return RowMatrix(rows).computeSVD(k, computeU=False).V.toArray()
 
 
 def fit_pca(samples: DataFrame, k: int) -> Reducer:
-    """Centred PCA; equal to kernel PCA with a linear kernel up to sign.
+    """Centred PCA as an SVD of centred rows; kernel PCA with a linear kernel up to sign.
 
-    MLlib's PCA does not centre what it transforms, so the mean is kept.
+    A matrix of a rank below ``k`` gives as many components as it has.
     """
     vectors = _vectors(samples)
     mean = vectors.agg(Summarizer.mean(F.col("v")).alias("m")).first()["m"].toArray()
-    if len(mean) <= PCA_LIMIT:
-        model = PCA(k=k, inputCol="v", outputCol="z").fit(vectors)
-        return Reducer(mean, model.pc.toArray())
     scaler = StandardScaler(withMean=True, withStd=False, inputCol="v", outputCol="c")
     centred = scaler.fit(vectors).transform(vectors).select("c")
     return Reducer(mean, _fit_svd(centred, k))

@@ -1,111 +1,102 @@
 """Feature correlation from per-sample columns.
 
-Each task multiplies its own rows into a partial Gram matrix and emits one row
-per feature pair; pairs are never emitted per sample.
+Values are standardised by a first pass, so a correlation is a plain sum of
+products and large means cancel nothing.  Each task multiplies its own rows into
+tiles of the Gram matrix; a tile travels as one array per feature and is summed as
+such, and pairs appear once, at the end.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from salience.functions.expressions import int_array
+from salience.session import cut_lineage
 
 # Features per panel: a task holds one panel pair, 32 MB of sums.
 PANEL = 2048
 
 
-def aligned_arrays(long: DataFrame, feature_ids: list[int], value: str) -> DataFrame:
-    """Long rows to one array per sample in the order of ``feature_ids``."""
-    packed = F.map_from_entries(F.collect_list(F.struct("feature_id", value)))
-    wanted = int_array(feature_ids)
-    return long.groupBy("sample_id").agg(packed.alias("_m")).select(
-        "sample_id",
-        F.transform(wanted, lambda i: F.try_element_at(F.col("_m"), i)).alias("features"),
-    )
-
-
-def _panel_sums(rows: DataFrame, first: list[int], second: list[int], ids: list[int]) -> DataFrame:
-    """Summed moments of every feature pair of two panels (positions)."""
-    a0, a1, b0, b1 = first[0], first[-1] + 1, second[0], second[-1] + 1
+def _tile(rows: DataFrame, mean: np.ndarray, unit: np.ndarray, a0: int, b0: int, panel: int) -> DataFrame:
+    """(row, start, products): each task's sums of row feature times b0.. features."""
+    a1, b1 = min(a0 + panel, len(mean)), min(b0 + panel, len(mean))
     slices = rows.select(
         F.slice("features", a0 + 1, a1 - a0).alias("xa"),
         F.slice("features", b0 + 1, b1 - b0).alias("xb"),
     )
+    mean_a, unit_a, mean_b, unit_b = mean[a0:a1], unit[a0:a1], mean[b0:b1], unit[b0:b1]
 
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width_a, width_b = a1 - a0, b1 - b0
-        cross = np.zeros((width_a, width_b))
-        sum_a, sum_b = np.zeros(width_a), np.zeros(width_b)
-        square_a, square_b = np.zeros(width_a), np.zeros(width_b)
-        n = 0
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cross, met = np.zeros((a1 - a0, b1 - b0)), False
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            xa = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width_a)
-            xb = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width_b)
-            cross += xa.T @ xb
-            sum_a += xa.sum(0)
-            sum_b += xb.sum(0)
-            square_a += (xa * xa).sum(0)
-            square_b += (xb * xb).sum(0)
-            n += len(xa)
-        if n == 0:
-            return
-        i, j = np.indices((width_a, width_b))
-        keep = (i + a0) < (j + b0)
-        names = np.asarray(ids)
-        left, right = i[keep], j[keep]
-        yield pa.RecordBatch.from_pydict(
-            {
-                "src": pa.array(names[left + a0], pa.int32()),
-                "dst": pa.array(names[right + b0], pa.int32()),
-                "n": pa.array(np.full(left.size, n), pa.int64()),
-                "sx": pa.array(sum_a[left]),
-                "sy": pa.array(sum_b[right]),
-                "sxx": pa.array(square_a[left]),
-                "syy": pa.array(square_b[right]),
-                "sxy": pa.array(cross[keep]),
-            }
-        )
-
-    return slices.mapInArrow(
-        moments,
-        "src int, dst int, n bigint, sx double, sy double, sxx double, syy double, sxy double",
-    )
+            met = True
+            xa, xb = (
+                batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                for i in (0, 1)
+            )
+            cross += ((xa - mean_a) * unit_a).T @ ((xb - mean_b) * unit_b)
+        if met:
+            ends = np.arange(0, cross.size + 1, b1 - b0, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(a0, a1), pa.int32()), pa.array([b0] * (a1 - a0), pa.int32()),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(cross.ravel()))],
+                names=["row", "start", "products"],
+            )
+
+    return slices.mapInArrow(products, "row int, start int, products array<double>")
 
 
 def correlation_edges(rows: DataFrame, feature_ids: list[int], panel: int = PANEL) -> DataFrame:
     """Pearson correlation of every feature pair: ``(src, dst, weight)``.
 
     ``rows`` has ``features`` in the order of ``feature_ids`` (ascending).
-    Null for a constant feature.
+    Null for a constant feature; no rows give no pairs.
     """
-    count = len(feature_ids)
-    panels = [list(range(i, min(i + panel, count))) for i in range(0, count, panel)]
-    parts = [
-        _panel_sums(rows, panels[i], panels[j], feature_ids)
-        for i in range(len(panels))
-        for j in range(i, len(panels))
-    ]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    sums = every.groupBy("src", "dst").agg(
-        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]
+    fixed = cut_lineage(rows.select("features"))
+    if fixed.isEmpty():
+        return rows.sparkSession.createDataFrame([], "src int, dst int, weight double")
+    names = ("mean", "variance", "min", "max")
+    found = (
+        fixed.select(array_to_vector("features").alias("v"))
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            Summarizer.metrics(*names).summary(F.col("v")).alias("m"),
+        )
+        .first()
     )
-    n = F.col("n")
-    vx = n * F.col("sxx") - F.col("sx") * F.col("sx")
-    vy = n * F.col("syy") - F.col("sy") * F.col("sy")
-    floor = 1e-12
-    spread = F.when(
-        (vx > floor * n * F.col("sxx")) & (vy > floor * n * F.col("syy")), F.sqrt(vx * vy)
+    shape = found["m"]
+    mean, variance = shape["mean"].toArray(), shape["variance"].toArray()
+    varies = (shape["max"].toArray() > shape["min"].toArray()) & (variance > 0)
+    unit = np.zeros(len(mean))
+    unit[varies] = 1 / np.sqrt(variance[varies] * (found["rows"] - 1))
+    starts = range(0, len(mean), panel)
+    tiles = [
+        _tile(fixed, mean, unit, a, b, panel) for a in starts for b in starts if a <= b
+    ]
+    every = tiles[0]
+    for tile in tiles[1:]:
+        every = every.unionByName(tile)
+    sums = every.groupBy("row", "start").agg(
+        vector_to_array(Summarizer.sum(array_to_vector("products"))).alias("products")
     )
-    return sums.select(
-        "src", "dst", ((n * F.col("sxy") - F.col("sx") * F.col("sy")) / spread).alias("weight")
+    pairs = sums.select("row", "start", F.posexplode("products").alias("at", "weight")).select(
+        "row", (F.col("start") + F.col("at")).alias("column"), "weight"
+    ).where(F.col("row") < F.col("column"))
+    varying = F.from_json(F.lit(json.dumps(varies.tolist())), "array<boolean>")
+    both = F.get(varying, F.col("row")) & F.get(varying, F.col("column"))
+    ids = int_array(feature_ids)
+    return pairs.select(
+        F.get(ids, F.col("row")).alias("src"), F.get(ids, F.col("column")).alias("dst"),
+        F.when(both, F.col("weight")).alias("weight"),
     )
 
 

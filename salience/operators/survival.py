@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from salience.operators.scan import exact_quantiles, scan
 from salience.operators.stats import at_or_below, mann_whitney
-from salience.session import join_checked
 
 
 def kaplan_meier(df: DataFrame, keys: list[str], time: str, event: str) -> DataFrame:
@@ -74,7 +73,7 @@ def median_groups(df: DataFrame, keys: list[str], value: str, name: str = "grp")
     """Add 0/1 for values at or below / above the median of their key."""
     medians = exact_quantiles(df, keys, value, {"_median": 0.5})
     if keys:
-        cut = join_checked(df, medians, keys, "left")
+        cut = df.join(medians, keys, "left")
     else:
         cut = df.withColumn("_median", medians.scalar())
     return cut.withColumn(name, at_or_below(F.col(value), F.col("_median"))).drop("_median")

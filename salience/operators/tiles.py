@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from salience.functions.shuffling import hash_id
+from salience.session import parallelism
 
 BLOCK_ROWS = 512
 
@@ -49,8 +50,8 @@ def tiled(
         second = pdf[pdf["_block"] == high].sort_values("point_id").reset_index(drop=True)
         return reduce_tile(first, second)
 
-    count = blocks * (blocks + 1) // 2
-    spread = tiles.repartition(count, "_low", "_high") if count <= 4096 else tiles
+    # An explicit count keeps AQE from merging CPU-heavy groups.
+    spread = tiles.repartition(4 * parallelism(points.sparkSession), "_low", "_high")
     return spread.groupBy("_low", "_high").applyInPandas(run, schema)
 
 
@@ -61,8 +62,11 @@ def matrix_of(frame: pd.DataFrame) -> np.ndarray:
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if not len(a) or not len(b):
         return np.zeros((len(a), len(b)))
+    same, centre = a is b, a.mean(0)
+    # Centred, so that far-off data do not cancel.
+    a, b = a - centre, b - centre
     square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
     out = np.sqrt(np.maximum(square, 0.0))
-    if a is b:
+    if same:
         np.fill_diagonal(out, 0.0)
     return out

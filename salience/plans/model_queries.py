@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from salience.operators import (
     attribution, clustering, importance, matrix, metrics, models, ranking, reduction, scorers, sweep,
 )
-from salience.operators.indices import cluster_sizes
 from salience.plans import fixtures
 from salience.plans.network_queries import _correlation, _feature_ids
 from salience.plans.ranking_queries import run_rankings, single_ranking
@@ -28,7 +27,7 @@ def _parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _width(samples: DataFrame) -> int:
-    return len(samples.first()["features"])
+    return matrix.feature_count(samples)
 
 
 def _scores(spark: SparkSession, sf: str, name: str, **options) -> DataFrame:
@@ -135,8 +134,7 @@ def inverse_mapped_shap_sampled(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _parts(spark, sf)
     ztrain, ztest, reducer = reduction.reduce_dimensions(train, test, "PCA", COMPONENTS)
     model = models.fit_model("mlp", ztrain, COMPONENTS, 1, features="z", max_iter=30)
-    predict = attribution.perceptron_predict(model.stages[-1])
-    table = attribution.inverse_shap_sampled(ztest, ztrain, predict, reducer)
+    table = attribution.inverse_shap_sampled(ztest, ztrain, model, reducer)
     return ranking.magnitude_ranking(table, "importance")
 
 
@@ -144,7 +142,7 @@ def local_surrogate(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _parts(spark, sf)
     model = models.fit_model("log", train, _width(train), max_iter=50).stages[-1]
     predict = attribution.linear_predict(model.coefficients.toArray(), model.intercept)
-    table = attribution.local_surrogate(test, train, predict, num_samples=1000)
+    table = attribution.local_surrogate(test, train, predict, num_samples=5000)
     return ranking.magnitude_ranking(table, "importance")
 
 
@@ -191,7 +189,7 @@ def _points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kmeans(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster_sizes(clustering.kmeans(_points(spark, sf), 6, seed=1))
+    return clustering.kmeans(_points(spark, sf), 6, seed=1).select("point_id", "cluster")
 
 
 def gaussian_mixture(spark: SparkSession, sf: str) -> DataFrame:
@@ -199,11 +197,11 @@ def gaussian_mixture(spark: SparkSession, sf: str) -> DataFrame:
         fixtures.samples(spark, sf), "features"
     )
     points = reduced.select(F.col("sample_id").alias("point_id"), "features")
-    return cluster_sizes(clustering.gmm(points, 3, max_iter=20, seed=1))
+    return clustering.gmm(points, 3, max_iter=20, seed=1).select("point_id", "cluster")
 
 
 def bisecting(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster_sizes(clustering.bisecting(_points(spark, sf), 6, seed=1))
+    return clustering.bisecting(_points(spark, sf), 6, seed=1).select("point_id", "cluster")
 
 
 def power_iteration(spark: SparkSession, sf: str) -> DataFrame:
@@ -230,7 +228,7 @@ def cluster_grid(spark: SparkSession, sf: str) -> DataFrame:
 def best_cluster(spark: SparkSession, sf: str) -> DataFrame:
     """Labels of the best of several seeded repeats."""
     labels, _ = clustering.rerun_best(
-        _points(spark, sf), "kmeans", {"n_clusters": 5, "max_iter": 10}, "calinski", 3
+        _points(spark, sf), "kmeans", {"n_clusters": 5, "max_iter": 10}, "calinski", 10
     )
     return labels.select("point_id", "cluster")
 

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import broadcast
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -42,20 +41,6 @@ def parallelism(spark: SparkSession) -> int:
     )
 
 
-def join_checked(
-    left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", max_rows: int = 100_000
-) -> DataFrame:
-    """Equi-join that broadcasts ``right`` only when it is counted as small.
-
-    ``right`` is materialised once so that the count costs no second pass.
-    Above ``max_rows`` the join is left to the optimizer (shuffle, AQE skew
-    handling).
-    """
-    fixed = cut_lineage(right)
-    small = fixed.limit(max_rows + 1).count() <= max_rows
-    return left.join(broadcast(fixed) if small else fixed, on, how)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared checkpoint folder for a written table."""
     ensure_checkpoint_dir(spark)

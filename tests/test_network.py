@@ -194,13 +194,41 @@ def test_linear_shap_sums_to_margin_gap(spark):
     assert shap.importance.sum() == pytest.approx(gap)
 
 
-def test_perceptron_forward_pass(spark):
+def test_sampled_shap_adds_up_for_string_ids(spark):
+    """With one background row the parts sum to the score's distance from it."""
     from salience.operators import models, scorers
 
     rng = np.random.default_rng(14)
-    rows = [(i, i % 2, rng.normal(size=4).tolist()) for i in range(40)]
-    data = spark.createDataFrame(rows, "sample_id bigint, output int, features array<double>")
-    model = models.fit_model("mlp", data, 4, 3, max_iter=5)
-    got = scorers.score_with_model(data, model).toPandas()
-    predict = attribution.perceptron_predict(model.stages[-1])
-    assert np.allclose(got.probability, predict(np.stack(got.features)))
+    rows = [(f"s{i}", i % 2, rng.normal(size=4).tolist()) for i in range(40)]
+    data = spark.createDataFrame(rows, "sample_id string, output int, z array<double>")
+    model = models.fit_model("mlp", data, 4, 3, max_iter=5, features="z")
+    base = data.where("sample_id = 's7'")
+    shap = attribution.component_shap_sampled(data, base, model, 3).toPandas()
+    score = lambda df: scorers.score_with_model(df, model, "z").toPandas().probability.mean()
+    assert sorted(shap.component) == [0, 1, 2, 3]
+    assert shap["shap"].sum() == pytest.approx(score(data) - score(base))
+
+
+def test_correlation_of_offset_columns(spark):
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(40, 3))
+    x[:, 1] += 0.5 * x[:, 0]
+    want = np.corrcoef(x.T)
+    rows = _points(spark, x + [1e7, 1e7, 0]).repartition(3)
+    for r in similarity.correlation_edges(rows, [4, 5, 9], 2).collect():
+        at = {4: 0, 5: 1, 9: 2}
+        assert r.weight == pytest.approx(want[at[r.src], at[r.dst]], abs=1e-6)
+    assert similarity.correlation_edges(rows.limit(0), [4, 5, 9]).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_density_clusters_of_large_and_string_ids(spark, kind):
+    """Names near 2**60 stay whole; block counts above one cross tiles."""
+    x = np.concatenate([np.linspace(0, 1, 12), np.linspace(5, 6, 12), [1.15, 20.0]])[:, None]
+    ids = [2**60 + i if kind == "bigint" else f"p{i:02d}" for i in range(len(x))]
+    rows = [(k, [float(v[0])]) for k, v in zip(ids, x)]
+    points = spark.createDataFrame(rows, f"point_id {kind}, features array<double>")
+    got = {r.point_id: r.cluster for r in clustering.dbscan(points, 0.2, 3, 5).collect()}
+    assert [got[k] for k in ids] == [0] * 12 + [1] * 12 + [0, -1]
+    cut = {r.point_id: r.cluster for r in clustering.linkage_threshold(points, 0.2, 5).collect()}
+    assert [cut[k] for k in ids] == [0] * 12 + [1] * 12 + [0, 2]
