@@ -54,12 +54,10 @@ def byte_shards(
         F.coalesce(F.sum("part_rows").over(before), F.lit(0)).alias("rows_before"),
         F.sum("part_bytes").over(Window.partitionBy()).alias("all_bytes"),
     ))
-    middle = F.expr("2 * (bytes_before + end) - size")
+    cut = F.expr(f"(2 * (bytes_before + end) - size) * {shards} div (2 * all_bytes)")
     placed = runs.join(F.broadcast(starts), "part").select(
         "doc_id", "size", "text_crc32",
-        F.least(
-            F.floor(middle * F.lit(shards) / (2 * F.col("all_bytes"))), F.lit(shards - 1)
-        ).cast("int").alias("shard"),
+        F.least(cut, F.lit(shards - 1)).cast("int").alias("shard"),
         (F.col("rows_before") + F.col("number") - 1).alias("place"),
     )
     firsts = placed.groupBy("shard").agg(F.min("place").alias("shard_start"))  # a row a shard
