@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from salience.llm import (
     bpe, decontaminate, jaccard, language, licenses, passages, quality, sharding, toxicity, warc,
 )
+from salience.llm.twins import ORACLE as ORACLE
 
 #: The tokenizer's file; executors have it at the same place.
 TOKENIZER = os.environ.get("BPE_FILE") or public_tokenizers.path("byte_bpe_50k.json")
@@ -74,4 +75,3 @@ QUERIES = {
         op7_licenses, op8_warc, op9_language, op10_passages,
     )
 }
-ORACLE: dict[str, str] = {}
