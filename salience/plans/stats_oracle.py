@@ -27,7 +27,7 @@ TWO_GROUPS = """twogroup AS (
   SELECT (l_returnflag = 'R')::INT AS output,
          UNNEST(['l_quantity', 'l_discount', 'l_tax', 'l_extendedprice']) AS feature,
          UNNEST([l_quantity, l_discount, l_tax, l_extendedprice]) AS value
-  FROM lineitem WHERE l_returnflag IN ('A', 'R'))"""
+  FROM lineitem)"""
 
 # The normal quantile behind the two-sided 5 % gate.
 CRITICAL = "1.959963984540054"

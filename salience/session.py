@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point checkpoints at the shared folder the cluster names.
 
-    ``spark.checkpoint.dir`` wins when it is set.  Only a session without it
-    (unit tests) gets a folder of its own.
+    ``spark.checkpoint.dir`` wins when it is set.  Without it only a session whose
+    tasks run in the driver's process (unit tests) gets a folder of its own; on a
+    cluster, where such a folder would not be shared, this raises a ValueError.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="salience-checkpoints-"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from salience.functions.expressions import int_array
@@ -12,12 +15,32 @@ SURVIVAL_SCHEMA = (
 )
 
 
+def _fields_of(header: str) -> list[str]:
+    return next(csv.reader([header]))
+
+
+def _fields(line: Column) -> Column:
+    """Fields of a CSV line; quoted ones may hold commas and doubled quotes."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("[^"]*(?:""[^"]*)*"|[^,]*)'), 1)
+    plain = F.transform(found, lambda x: F.when(
+        x.startswith('"'), F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
+    ).otherwise(x))
+    return F.when(line.contains('"'), plain).otherwise(F.split(line, ","))
+
+
+def _quoted(field: Column) -> Column:
+    """A field as it is, or in quotes if a reader would take it apart otherwise."""
+    whole = F.concat(F.lit('"'), F.replace(field, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(field.rlike('[,"]'), whole).otherwise(field)
+
+
 def _parse_lines(lines: DataFrame, header: str, names: list[str]) -> DataFrame:
     """Data lines to samples, features in the order of ``names`` (null if absent)."""
-    own = {n: i for i, n in enumerate(header.split(",")[2:])}
-    fields = F.split("value", ",")
+    own = {n: i for i, n in enumerate(_fields_of(header)[2:])}
+    fields = F.col("_fields")
     slots = int_array([own.get(n, -1) for n in names])
-    cells = lines.where((F.col("value") != header) & (F.length("value") > 0)).select(
+    data = lines.where((F.col("value") != header) & (F.length("value") > 0))
+    cells = data.select(_fields(F.col("value")).alias("_fields")).select(
         F.get(fields, F.lit(0)).alias("sample_id"),
         F.get(fields, F.lit(1)).cast("double").cast("int").alias("output"),
         F.slice(fields, 3, max(len(own), 1)).alias("_cells"),
@@ -41,11 +64,11 @@ def read_wide_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     """One wide CSV: ``(samples, features_dim)``.
 
     The first column is the sample id and the next the label, whatever it is
-    called.  Lines are read as text and split into an array, so a header with
+    called.  Fields may be quoted, but not hold line breaks.  Lines are read as text and split into an array, so a header with
     many thousand columns never becomes a schema.
     """
     header = spark.read.text(path).first()["value"]
-    names = header.split(",")[2:]
+    names = _fields_of(header)[2:]
     return _parse_lines(spark.read.text(path), header, names), _names(spark, names)
 
 
@@ -70,7 +93,7 @@ def read_csv_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     names: list[str] = []
     for head in heads:
         seen = set(names)
-        names += [n for n in head["header"].split(",")[2:] if n not in seen]
+        names += [n for n in _fields_of(head["header"])[2:] if n not in seen]
     if len(heads) == 1:
         return _parse_lines(lines, heads[0]["header"], names), _names(spark, names)
     parts = [_parse_lines(spark.read.text(h["files"]), h["header"], names) for h in heads]
@@ -84,11 +107,13 @@ def write_wide_csv(samples: DataFrame, names: list[str], path: str) -> None:
     """Samples back to CSV text with a header in every file."""
     line = F.concat_ws(
         ",",
-        F.col("sample_id").cast("string"),
+        _quoted(F.col("sample_id").cast("string")),
         F.col("output").cast("string"),
         F.array_join(F.transform("features", lambda v: v.cast("string")), ",", ""),
     )
-    header = ",".join(["sampleID", "output", *names])
+    text = io.StringIO()
+    csv.writer(text, lineterminator="").writerow(["sampleID", "output", *names])
+    header = text.getvalue()
     samples.select(line.alias(header)).write.mode("overwrite").option("header", True).option(
         "quote", ""
     ).option("sep", "\u0001").csv(path)

@@ -21,6 +21,23 @@ def test_wide_csv(spark, tmp_path):
     assert names.count() == 2
 
 
+def test_quoted_fields(spark, tmp_path):
+    path = tmp_path / "quoted.csv"
+    path.write_text('id,y,"g,1","say ""g2"""\n"x, ""1""",1,"0.5",\n,0,,"2"\n')
+    rows, names = tables.read_wide_csv(spark, str(path))
+    assert [(r.sample_id, r.output, r.features) for r in rows.collect()] == [
+        ('x, "1"', 1, [0.5, None]), ("", 0, [None, 2.0])]
+    assert [r.feature_name for r in names.orderBy("feature_id").collect()] == ["g,1", 'say "g2"']
+
+
+def test_commas_in_ids_survive_writing(spark, tmp_path):
+    rows = spark.createDataFrame([('a,"b"', 1, [1.0, 2.0])], "sample_id string, output int, features array<double>")
+    path = str(tmp_path / "wide")
+    tables.write_wide_csv(rows, ["g1", "g2"], path)
+    back, _ = tables.read_csv_folder(spark, path)
+    assert back.collect() == [('a,"b"', 1, [1.0, 2.0])]
+
+
 def test_run_store_numbers_runs(spark, tmp_path):
     store = str(tmp_path / "runs")
     assert tables.next_run_id(spark, store, "m") == 1
