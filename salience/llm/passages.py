@@ -216,10 +216,12 @@ def _matches(table: DataFrame) -> DataFrame:
     one = table.select(
         "uid", F.explode(F.arrays_zip(F.col("seeds").alias("s"), F.col("places").alias("p"))).alias("e")
     ).select(F.col("e.s").alias("seed"), "uid", F.col("e.p").alias("p"))
-    leaders = one.groupBy("seed").agg(
+    # Written first, so that both sides of the join are plain shuffles, of which a hot
+    # seed's partition is split.
+    leaders = cut_lineage(one.groupBy("seed").agg(
         F.min(F.struct("uid", "p")).alias("lead"), F.count("*").alias("n")
-    ).where("n > 1").select("seed", F.col("lead.uid").alias("lead"), F.col("lead.p").alias("q"))
-    return one.join(leaders, "seed").where("uid <> lead OR p <> q").groupBy("uid", "lead").agg(
+    ).where("n > 1").select("seed", F.col("lead.uid").alias("lead"), F.col("lead.p").alias("q")))
+    return one.join(leaders.hint("merge"), "seed").where("uid <> lead OR p <> q").groupBy("uid", "lead").agg(
         F.collect_set(F.struct("p", "q")).alias("seeds")
     )
 
