@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,30 +12,21 @@ from pyspark.sql import functions as F
 from salience.llm.passages import _common
 from salience.llm.words import LETTERS, Words, blocks
 
-#: Hashed terms, and dimensions of the latent space.
-TERMS, RANK = 1 << 14, 128
+#: Hashed terms.
+TERMS = 1 << 14
 SHIFT = np.uint64(64 - 14)
-#: Words in a passage of the fit, and in the windows of the search (each moves by half).
+#: Words in a passage of the document counts, and in the windows of the search (each moves by half).
 PASSAGE, WINDOWS = 32, (16, 32, 64)
-#: Benchmark items that one pass over the documents looks for.
-ITEMS = 4096
-#: Partial sums that meet in one group.
-FAN_IN = 32
+#: Benchmark items that one pass over the documents looks for, and pieces of items
+#: that share a latent space.
+ITEMS, PIECES = 4096, 256
+#: Share of an item's mass that makes a window a candidate at any cosine.  An item has
+#: at most 1.5 times its window's words, so three windows cover a copy and one of them
+#: holds a third of it.
+MASS = 0.33
 STEP = min(WINDOWS) // 2
 
 
-@dataclass
-class Space:
-    """Weighted basis of the latent space, and squared weights: a row for each term."""
-
-    basis: np.ndarray
-    squares: np.ndarray
-
-    def of(self, terms: np.ndarray) -> np.ndarray:
-        """Latent coordinates of a passage whose TF-IDF vector has length 1."""
-        return self.basis[terms].sum(axis=0, dtype=np.float32) / max(float(self.squares[terms].sum()) ** 0.5, 1e-9)
-
-
 def _terms(texts: pa.Array, step: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
     """Words, their hashes, and terms laid out so that each row starts a new step.
 
@@ -80,83 +70,34 @@ def _document_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
     return counts[:TERMS], int(counts[TERMS])
 
 
-def _gram_product(docs: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """(A^T A) basis for the matrix A of unit TF-IDF rows, one row a passage.
-
-    Each task adds up its passages; partial sums meet in groups of ``FAN_IN``.
-    """
-    spark = docs.sparkSession
-    told = spark.sparkContext.broadcast((weights, basis.astype(np.float16)))  # TERMS x RANK
-    chunk = 1024
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        total = None
-        for batch in batches:
-            for block in blocks(batch):
-                _, _, laid, _ = _terms(block.column(0), PASSAGE)
-                if not len(laid):
-                    continue
-                if total is None:
-                    weights, basis = told.value
-                    heavy = np.append(weights, 0).astype(np.float32)
-                    scaled = np.vstack([basis.astype(np.float32) * weights[:, None], np.zeros((1, RANK))]).astype(np.float32)
-                    total = np.zeros((TERMS + 1, RANK))
-                rows = laid.reshape(-1, PASSAGE)
-                norm = np.maximum((heavy[rows] ** 2).sum(axis=1, keepdims=True), 1e-9)
-                y = scaled[rows].sum(axis=1) / norm
-                order = np.argsort(laid, kind="stable")
-                terms, first = np.unique(laid[order], return_index=True)
-                total[terms] += np.add.reduceat(y[order // PASSAGE], first, axis=0)
-        if total is not None:
-            part = TaskContext.get().partitionId()
-            total = total[:TERMS] * weights[:, None]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(TERMS // chunk, dtype=np.int32)),
-                 pa.array(np.full(TERMS // chunk, part % FAN_IN, np.int32)),
-                 pa.array([total[k : k + chunk].astype(np.float32).tobytes() for k in range(0, TERMS, chunk)], pa.binary())],
-                names=["chunk", "part", "total"],
-            )
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), np.float32) for x in table.column("total"))
-        return pa.table({"chunk": table.column("chunk").slice(0, 1),
-                         "part": table.column("part").slice(0, 1), "total": [total.tobytes()]},
-                        schema=table.schema)
-
-    schema = "chunk int, part int, total binary"
-    sums = docs.mapInArrow(run, schema)
-    sums = sums.groupBy("chunk", "part").applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema)
-    out = np.zeros((TERMS, RANK))
-    for row in sums.collect():  # TERMS / chunk rows
-        out[row.chunk * chunk : (row.chunk + 1) * chunk] = np.frombuffer(row.total, np.float32).reshape(chunk, RANK)
-    told.destroy()
-    return out
+def fit_weights(docs: DataFrame, items: DataFrame) -> np.ndarray:
+    """Inverse document frequency of each term over every passage of all documents and items."""
+    texts = items.select("text").where("text is not null")
+    counts, passages = _document_counts(
+        docs.select("text").where("text is not null").unionByName(texts))
+    return np.append(np.log((1 + passages) / (1 + counts)), 0)
 
 
-def fit_space(docs: DataFrame, items: DataFrame) -> Space:
-    """Inverse document frequencies of the corpus and a randomised SVD of the items.
+def space_of(pieces: list[np.ndarray], weights: np.ndarray) -> dict:
+    """The latent space of some pieces' terms, and the pieces in it.
 
-    Frequencies count every passage of all documents and items.  The TF-IDF rows
-    of the items' passages are spread over tasks: a random projection spans their
-    range, one power step sharpens it, and the eigenvectors of the small matrix
-    turn it to the singular vectors.  A basis of the items tells items apart; one
-    of the corpus would keep the commonest words only.
+    Singular vectors of the TF-IDF rows of the pieces; their number follows the
+    pieces, so the space holds each piece whole.  The basis has a row for each term
+    that the pieces use and an empty one for all others; ``row_of`` names them.
     """
-    texts = items.select("text").where("text is not null")
-    counts, passages = _document_counts(
-        docs.select("text").where("text is not null").unionByName(texts))
-    weights = np.log((1 + passages) / (1 + counts))
-    basis = np.random.default_rng(11).standard_normal((TERMS, RANK))
-    basis, _ = np.linalg.qr(_gram_product(texts, weights, basis))
-    small = basis.T @ _gram_product(texts, weights, basis)
-    values, turn = np.linalg.eigh((small + small.T) / 2)
-    basis = basis @ turn[:, np.argsort(-values)]
-    return Space(
-        np.vstack([basis * weights[:, None], np.zeros((1, RANK))]).astype(np.float16),
-        np.append(weights**2, 0).astype(np.float32),
-    )
+    used = np.unique(np.concatenate(pieces))
+    row_of = np.full(TERMS + 1, len(used), np.int32)
+    row_of[used] = np.arange(len(used))
+    rows = np.stack([np.bincount(row_of[p], minlength=len(used)) for p in pieces]) * weights[used]
+    unit = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+    values, turn = np.linalg.eigh(unit @ unit.T)
+    kept = values > 1e-9
+    basis = unit.T @ (turn[:, kept] / np.sqrt(values[kept]))
+    latent = rows @ basis
+    size = np.linalg.norm(latent, axis=1)
+    return {"row_of": row_of, "size": size.astype(np.float32),
+            "basis": np.vstack([basis * weights[used][:, None], np.zeros((1, kept.sum()))]).astype(np.float32),
+            "vectors": (latent / np.maximum(size, 1e-9)[:, None]).astype(np.float32)}
 
 
 def window_of(length: int) -> int:
@@ -164,18 +105,29 @@ def window_of(length: int) -> int:
     return min(WINDOWS, key=lambda s: abs(np.log(s / length)))
 
 
-def item_block(rows: list[tuple[int, str]], space: Space) -> dict:
-    """Items in plain arrays, to broadcast: words, answers, latent vectors by window size."""
+def pieces_of(length: int) -> list[tuple[int, int]]:
+    """Ends of the overlapping pieces, no longer than the largest window, of an item."""
+    size = max(WINDOWS)
+    first = [*range(0, max(length - size, 0), size // 2), max(length - size, 0)]
+    return [(a, min(a + size, length)) for a in first]
+
+
+def item_block(rows: list[tuple[int, str]], weights: np.ndarray) -> dict:
+    """Items in plain arrays, to broadcast: words, answers, latent spaces of their pieces."""
     words = Words(pa.array([t or "" for _, t in rows], pa.string()), LETTERS)
     hashes = words.hashes(lower=True)
     own = [hashes[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-    of_size = {}
-    for size in WINDOWS:
-        fit = [k for k, w in enumerate(own) if len(w) and window_of(len(w)) == size]
-        if fit:
-            terms = [(own[k] >> SHIFT).astype(np.int64) for k in fit]
-            of_size[size] = fit, np.stack([space.of(t) for t in terms])
-    return {"ids": [i for i, _ in rows], "words": own, "of_size": of_size,
+    pieces = [(k, w[a:b]) for k, w in enumerate(own) if len(w) for a, b in pieces_of(len(w))]
+    spaces = []
+    for low in range(0, len(pieces), PIECES):
+        part = pieces[low : low + PIECES]
+        space = space_of([(w >> SHIFT).astype(np.int64) for _, w in part], weights)
+        sizes = np.array([window_of(len(w)) for _, w in part])
+        of_size = {s: np.flatnonzero(sizes == s) for s in WINDOWS if (sizes == s).any()}
+        spaces.append(space | {"of_size": of_size, "item": np.array([k for k, _ in part])})
+    return {"ids": [i for i, _ in rows], "words": own, "spaces": spaces,
+            "kinds": [np.unique(w, return_counts=True) for w in own],
+            "squares": (weights**2).astype(np.float32),
             "answers": [w[-max(3, len(w) // 5) :] for w in own]}
 
 
@@ -195,43 +147,60 @@ def _places(
         yield current
 
 
-def _find(
-    texts: pa.Array, basis: np.ndarray, squares: np.ndarray, items: dict, cosine: float, coverage: float
-) -> list[tuple[int, int, float, float, int, int]]:
-    """(row, item, cosine, coverage, start, end) of the best place of each leaked item."""
-    words, hashes, laid, at = _terms(texts, STEP)
-    if not len(laid):
-        return []
-    total = basis[laid[::STEP]].astype(np.float32)
+def _close(
+    space: dict, laid: np.ndarray, mass: np.ndarray, at: np.ndarray, owner: np.ndarray, cosine: float
+) -> Iterator[tuple[int, list[tuple[int, int, int, float]]]]:
+    """By window size, the windows (row, item, first word, cosine) that are candidates."""
+    places = space["row_of"][laid].reshape(-1, STEP)
+    basis = space["basis"]
+    total = basis[places[:, 0]]
     for k in range(1, STEP):
-        total += basis[laid[k::STEP]]
-    owner = np.repeat(np.arange(words.n), np.diff(at))
-    mass = squares[laid].reshape(-1, STEP).sum(axis=1)
-    best: dict[tuple[int, int], tuple[float, float, int, int]] = {}
-    for size, (own, vectors) in items["of_size"].items():
+        total += basis[places[:, k]]
+    for size, own in space["of_size"].items():
         width = size // STEP
+        vectors, least = space["vectors"][own].T, MASS * space["size"][own]
         starts = np.flatnonzero((np.arange(len(owner)) - at[owner]) % (width // 2) == 0)
         ends = np.minimum(starts + width, at[owner[starts] + 1])
         close = []
         for low in range(0, len(starts), 2048):
             s, e = starts[low : low + 2048], ends[low : low + 2048]
-            latent, norm = np.zeros((len(s), RANK), np.float32), np.zeros(len(s), np.float32)
-            for k in range(width):
-                inside = s + k < e
+            latent, norm = total[s], mass[s]
+            for k in range(1, width):
+                inside = np.flatnonzero(s + k < e)
                 latent[inside] += total[s[inside] + k]
                 norm[inside] += mass[s[inside] + k]
-            near = (latent @ vectors.T) / np.sqrt(np.maximum(norm, 1e-9))[:, None]
-            i, j = np.nonzero(near >= cosine)
+            # Repeated words of a piece weigh more in its own space than in the sum.
+            norm = np.sqrt(np.maximum(np.maximum(norm, (latent**2).sum(axis=1)), 1e-9))
+            near = latent @ vectors
+            i, j = np.nonzero(near >= np.minimum(cosine * norm[:, None], least))
             row = owner[s[i]]
-            close += zip(row.tolist(), np.array(own)[j].tolist(), ((s[i] - at[row]) * STEP).tolist(), near[i, j].tolist(), strict=True)
+            close += zip(row.tolist(), space["item"][own[j]].tolist(), ((s[i] - at[row]) * STEP).tolist(), (near[i, j] / norm[i]).tolist(), strict=True)
+        yield size, close
+
+
+def _find(
+    texts: pa.Array, items: dict, cosine: float, coverage: float
+) -> list[tuple[int, int, float, float, int, int]]:
+    """(row, item, cosine, coverage, start, end) of the best place of each leaked item."""
+    words, hashes, laid, at = _terms(texts, STEP)
+    if not len(laid):
+        return []
+    owner = np.repeat(np.arange(words.n), np.diff(at))
+    mass = items["squares"][laid].reshape(-1, STEP).sum(axis=1)
+    best: dict[tuple[int, int], tuple[float, float, int, int]] = {}
+    search = (x for space in items["spaces"] for x in _close(space, laid, mass, at, owner, cosine))
+    for size, close in search:
         for row, item, first, last, likeness in _places(close, size):
             wanted = items["words"][item]
             n = int(words.first[row + 1] - words.first[row])
             wide = max(size, len(wanted))
             a, b = max(0, first - wide), min(n, last + wide)
             region = hashes[words.first[row] + a : words.first[row] + b]
-            shared = np.isin(region, wanted)
-            if shared.sum() < coverage * len(wanted):
+            kinds, held = items["kinds"][item]
+            kind = np.minimum(np.searchsorted(kinds, region), len(kinds) - 1)
+            shared = kinds[kind] == region
+            # No common subsequence has a word more often than both sides do.
+            if np.minimum(np.bincount(kind[shared], minlength=len(kinds)), held).sum() < coverage * len(wanted):
                 continue
             part, answer = _common(wanted, region) / len(wanted), items["answers"][item]
             if part < coverage or 2 * _common(answer, region) < len(answer):
@@ -242,17 +211,17 @@ def _find(
     return [(r, items["ids"][k], c, p, s, e) for (r, k), (p, c, s, e) in sorted(best.items())]
 
 
-def _item_blocks(items: DataFrame, space: Space) -> Iterator[dict]:
+def _item_blocks(items: DataFrame, weights: np.ndarray) -> Iterator[dict]:
     """The items in blocks of bounded size, in the order of their ids."""
     rows = items.select(F.col("item_id").cast("long"), "text").where("text is not null")
     block: list[tuple[int, str]] = []
     for row in rows.sort("item_id", "text").toLocalIterator():
         block.append((row[0], row[1]))
         if len(block) == ITEMS:
-            yield item_block(block, space)
+            yield item_block(block, weights)
             block = []
     if block:
-        yield item_block(block, space)
+        yield item_block(block, weights)
 
 
 def leaks(
@@ -260,9 +229,10 @@ def leaks(
 ) -> DataFrame:
     """doc_id, item_id, cosine, coverage, start_word and end_word of leaked items.
 
-    Documents are searched in overlapping windows of about an item's length; a
-    window whose latent vector has a cosine of ``cosine`` with an item is a
-    candidate.  The words around it must hold a common subsequence of ``coverage``
+    Documents are searched in overlapping windows of about the length of an item, or
+    of each of its overlapping pieces if it has over 64 words.  A window whose latent
+    vector has a cosine of ``cosine`` with one is a candidate, and so is one that
+    holds a third of its mass: every exact copy is, however large the benchmark.  The words around it must hold a common subsequence of ``coverage``
     of the item's words, and half of the item's answer (its last fifth, three
     words at least) in order.  Words are runs of letters and digits, without case
     of A-Z.  Each document names an item once, at its best place.
@@ -271,19 +241,19 @@ def leaks(
     results; a null doc_id is given as null.  Without items or documents there are
     no rows.
     """
-    space = fit_space(docs, items)
+    weights = fit_weights(docs, items)
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     schema = "doc_id long, item_id long, cosine double, coverage double, start_word int, end_word int"
     out = spark.createDataFrame([], schema)
-    for block in _item_blocks(items, space):
-        told = spark.sparkContext.broadcast((space.basis, space.squares, block))
+    for block in _item_blocks(items, weights):
+        told = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
-            basis, squares, block = told.value
+            block = told.value
             for batch in batches:
                 for part in blocks(batch):
-                    rows = _find(part.column(1), basis, squares, block, cosine, coverage)
+                    rows = _find(part.column(1), block, cosine, coverage)
                     ids = part.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
                     columns = list(zip(*rows, strict=True)) or [()] * 6
                     kinds = [pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.int32()]
@@ -300,18 +270,18 @@ def without_leaks(
     docs: DataFrame, items: DataFrame, cosine: float = 0.15, coverage: float = 0.6
 ) -> DataFrame:
     """The rows, with all their columns, in which :func:`leaks` finds no item."""
-    space = fit_space(docs, items)
+    weights = fit_weights(docs, items)
     spark = docs.sparkSession
     at = docs.columns.index("text")
-    for block in _item_blocks(items, space):
-        told = spark.sparkContext.broadcast((space.basis, space.squares, block))
+    for block in _item_blocks(items, weights):
+        told = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
-            basis, squares, block = told.value
+            block = told.value
             for batch in batches:
                 for part in blocks(batch):
                     clean = np.ones(part.num_rows, bool)
-                    clean[[r[0] for r in _find(part.column(at), basis, squares, block, cosine, coverage)]] = False
+                    clean[[r[0] for r in _find(part.column(at), block, cosine, coverage)]] = False
                     yield part.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -221,6 +221,20 @@ def test_leaked_items_are_found(spark, edge, nothing):
     assert decontaminate.leaks(nothing, nothing.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
 
 
+def test_exact_copies_are_found_in_a_large_benchmark(spark):
+    rng = random.Random(15)
+    items = [(i, prose(rng, 150 if i % 10 == 0 else 32, 3000)) for i in range(1500)]
+    texts = [prose(rng, rng.randrange(40, 60), 3000) + " " + t + " " + prose(rng, 50, 3000) for _, t in items[:80]]
+    # An item of common words between rare ones has next to no cosine.
+    items.append((1500, "a b c d e a c b d e c a d b e a"))
+    texts += [" ".join(f"rare{i}x{k}" for k in range(20)) + " " + items[-1][1] + " " + " ".join(f"rare{i}y{k}" for k in range(20)) for i in range(80, 90)]
+    texts += ["a b c d e " * 8 + prose(rng, 24, 3000) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id int, text string")).collect()}
+    assert {(i, i) for i in range(80)} | {(i, 1500) for i in range(80, 90)} <= got
+    assert all(i == k for i, k in got if k < 1500)
+
+
 def test_toxic_words_are_learned(spark, edge, nothing):
     rng, rows = random.Random(10), []
     for i in range(400):
