@@ -167,15 +167,20 @@ def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return far, int(equal[:far].sum())
 
 
-def align(a: np.ndarray, b: np.ndarray, path: np.ndarray) -> tuple[int, int, int, int, int]:
-    """Ends of a chain's alignment in a and in b, after extension, and its equal words."""
-    same = 0
+def equal_words(a: np.ndarray, b: np.ndarray, path: np.ndarray) -> list[int]:
+    """Equal words of each block of a chain (even places) and of the gap after it (odd places)."""
+    out: list[int] = []
     for k, (s, e, q) in enumerate(path.tolist()):
-        same += int((a[s:e] == b[q : q + e - s]).sum())
         if k:
             x, y = a[path[k - 1, 1] : s], b[path[k - 1, 2] + path[k - 1, 1] - path[k - 1, 0] : q]
             straight = int((x == y).sum()) if len(x) == len(y) else 0
-            same += straight if straight == len(x) else _common(x, y)
+            out.append(straight if straight == len(x) else _common(x, y))
+        out.append(int((a[s:e] == b[q : q + e - s]).sum()))
+    return out
+
+
+def align(a: np.ndarray, b: np.ndarray, path: np.ndarray, same: int) -> tuple[int, int, int, int, int]:
+    """Ends of a chain's alignment in a and in b, after extension, and its equal words."""
     (start, _, lead), (last, end, q) = path[0].tolist(), path[-1].tolist()
     lead_end = q + end - last
     left, more = _extend(a[:start][::-1], b[:lead][::-1])
@@ -183,6 +188,21 @@ def align(a: np.ndarray, b: np.ndarray, path: np.ndarray) -> tuple[int, int, int
     return start - left, end + right, lead - left, lead_end + right, same + more + yet
 
 
+def halves(a: np.ndarray, b: np.ndarray, path: np.ndarray, same: list[int]) -> list[tuple[np.ndarray, list[int]]]:
+    """A chain cut at its costliest gap, or a block at its longest run of unequal words."""
+    if len(path) > 1:
+        between = path[1:, 0] - path[:-1, 1] + path[1:, 2] - (path[:-1, 2] + path[:-1, 1] - path[:-1, 0])
+        k = int(between.argmax()) + 1
+        return [(path[:k], same[: 2 * k - 1]), (path[k:], same[2 * k :])]
+    s, e, q = path[0].tolist()
+    equal = np.flatnonzero(a[s:e] == b[q : q + e - s])
+    if len(equal) < 2 or (np.diff(equal) == 1).all():
+        return []
+    k = int(np.diff(equal).argmax())
+    cut = [(s, s + equal[k] + 1, q), (s + equal[k + 1], e, q + equal[k + 1])]
+    return [(np.array([x]), [n]) for x, n in zip(cut, (k + 1, len(equal) - k - 1), strict=True)]
+
+
 def repeats_of(
     a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, min_words: int, identity: float
 ) -> list[tuple[int, int, int, int, int]]:
@@ -202,12 +222,14 @@ def repeats_of(
             f[0] <= made[k, 0] and made[k, 1] <= f[1] for f in out)]
         if not inside:
             continue
-        found = align(a, b, made[inside])
-        if long_and_equal(found):
-            out.append(found)
-        elif len(inside) > 1:
-            alone = (align(a, b, made[[k]]) for k in inside)
-            out += [f for f in dict.fromkeys(alone) if long_and_equal(f)]
+        parts = [(made[inside], equal_words(a, b, made[inside]))]
+        while parts:  # a part that fails is cut until its parts pass or have no gap
+            part, same = parts.pop()
+            found = align(a, b, part, sum(same))
+            if not long_and_equal(found):
+                parts += halves(a, b, part, same)[::-1]
+            elif found not in out:
+                out.append(found)
     return out
 
 

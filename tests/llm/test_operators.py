@@ -184,6 +184,27 @@ def test_passages_with_changes_are_found(spark, edge, nothing):
     assert passages.without_repeats(edge, passages.repeated_passages(edge)).count() >= 9
 
 
+def test_parts_of_a_failing_chain_are_found():
+    rng = np.random.default_rng(14)
+
+    def found(copy, leader):
+        copy, leader = (np.concatenate(w).astype("<u2") for w in (copy, leader))
+        places: dict[bytes, int] = {}
+        for q in range(len(leader) - passages.SEED, -1, -1):
+            places[leader[q : q + passages.SEED].tobytes()] = q
+        pairs = [(p, places[copy[p : p + passages.SEED].tobytes()]) for p in range(len(copy) - passages.SEED + 1)
+                 if copy[p : p + passages.SEED].tobytes() in places]
+        return passages.repeats_of(copy, leader, *np.array(pairs).T, 50, 0.8)
+
+    word = lambda n: rng.integers(0, 1 << 16, n)
+    first, second, third = word(40), word(40), word(40)
+    got = found([word(30), first, word(1), second, word(10), third], [word(20), first, second, word(60), third])
+    assert [(s, e) for s, e, *_ in got] == [(30, 111)]
+    run = word(55)  # and a block that holds a passage and more, on one diagonal
+    got = found([word(30), run, word(25), third[:8], word(30)], [word(20), run, word(25), third[:8]])
+    assert [(s, e) for s, e, *_ in got] == [(30, 85)]
+
+
 def test_chain_score_equals_all_orders():
     rng = np.random.default_rng(8)
     for _ in range(50):
