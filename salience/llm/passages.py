@@ -233,19 +233,45 @@ def repeats_of(
     return out
 
 
+def _leaders(rows: DataFrame, key: str, place: list[str]) -> DataFrame:
+    """The first occurrence of each key that occurs more than once.
+
+    Written first, so that both sides of the join with it are plain shuffles, of
+    which a hot key's partition is split.
+    """
+    return cut_lineage(rows.groupBy(key).agg(
+        F.min(F.struct("uid", *place)).alias("lead"), F.count("*").alias("n")
+    ).where("n > 1").select(
+        key, F.col("lead.uid").alias("lead"), *(F.col(f"lead.{c}").alias(c.replace("p", "q")) for c in place)))
+
+
 def _matches(table: DataFrame) -> DataFrame:
-    """For each row and each leader that it shares seeds with, the places on both sides."""
+    """For each row and each leader that it shares seeds with, the places on both sides.
+
+    A seed leads to its first occurrence.  Where two neighbouring seeds lead to
+    different places, the pair leads to the first place that has them as neighbours
+    too, so a passage whose parts occurred in different texts meets an earlier text
+    that holds it whole.  Pairs whose seeds lead to one place would lead there again.
+    """
     one = table.select(
-        "uid", F.explode(F.arrays_zip(F.col("seeds").alias("s"), F.col("places").alias("p"))).alias("e")
-    ).select(F.col("e.s").alias("seed"), "uid", F.col("e.p").alias("p"))
-    # Written first, so that both sides of the join are plain shuffles, of which a hot
-    # seed's partition is split.
-    leaders = cut_lineage(one.groupBy("seed").agg(
-        F.min(F.struct("uid", "p")).alias("lead"), F.count("*").alias("n")
-    ).where("n > 1").select("seed", F.col("lead.uid").alias("lead"), F.col("lead.p").alias("q")))
-    return one.join(leaders.hint("merge"), "seed").where("uid <> lead OR p <> q").groupBy("uid", "lead").agg(
-        F.collect_set(F.struct("p", "q")).alias("seeds")
-    )
+        "uid", F.shiftright("text_key", 32).cast("int").alias("tag"),
+        F.explode(F.arrays_zip(F.col("seeds").alias("s"), F.col("places").alias("p"))).alias("e")
+    ).select(F.col("e.s").alias("seed"), "uid", "tag", F.col("e.p").alias("p"))
+    met = cut_lineage(one.join(_leaders(one, "seed", ["p"]).hint("merge"), "seed").groupBy("uid", "tag").agg(
+        F.array_sort(F.collect_set(F.struct("p", "lead", "q"))).alias("met")))
+    # A seed is told by the place that it leads to.
+    pairs = met.select("uid", F.explode(F.expr(
+        "filter(transform(slice(met, 2, greatest(size(met) - 1, 0)), (y, k) -> struct(met[k] as x, y as y)), "
+        "e -> e.x.lead <> e.y.lead or e.y.q - e.x.q <> e.y.p - e.x.p)")).alias("e")).select(
+        F.xxhash64("e.x.lead", "e.x.q", "e.y.lead", "e.y.q").alias("pair"), "uid",
+        F.col("e.x.p").alias("p1"), F.col("e.y.p").alias("p2"))
+    joint = pairs.join(_leaders(pairs, "pair", ["p1", "p2"]).hint("merge"), "pair").where(
+        "uid <> lead OR p1 <> q1").select("uid", "lead", F.explode(F.array(
+            F.struct(F.col("p1").alias("p"), F.col("q1").alias("q")),
+            F.struct(F.col("p2").alias("p"), F.col("q2").alias("q")))).alias("at"))
+    single = met.select("uid", F.explode("met").alias("e")).where(
+        "uid <> e.lead OR e.p <> e.q").select("uid", "e.lead", F.struct("e.p", "e.q").alias("at"))
+    return single.unionByName(joint).groupBy("uid", "lead").agg(F.collect_set("at").alias("seeds"))
 
 
 def repeated_passages(
@@ -254,7 +280,8 @@ def repeated_passages(
     """Passages of ``min_words`` words or more that an earlier text has too.
 
     Sparse seeds of six words are joined to their first occurrence (smallest
-    doc_id, then place), the leader, never to each other.  Matches of a document
+    doc_id, then place), the leader, and neighbouring seeds with different leaders
+    to the first occurrence of both together, never all to each other.  Matches of a document
     with a leader are merged along diagonals, chained in ascending order with gap
     costs, and each chain is aligned word by word and extended at its ends, so
     passages with changed, added or missing words are found.  Case of A-Z is
@@ -285,8 +312,6 @@ def repeated_passages(
                 uid, key, lead, a, b, matched = (batch.column(c)[row] for c in range(6))
                 flat = matched.values.flatten()
                 p, q = (x.to_numpy().astype(np.int64) for x in flat)
-                if int(p.max() - p.min()) + 2 * (SEED + WINDOW) < min_words:
-                    continue
                 a, b = (np.frombuffer(x.as_buffer(), "<u2") for x in (a, b))
                 for s, e, u, v, n in repeats_of(a, b, p, q, min_words, identity):
                     out.append((uid.as_py(), key.as_py(), s, e, lead.as_py(), u, v, n))
@@ -298,9 +323,7 @@ def repeated_passages(
             )
 
     words = table.select("uid", "text_key", "words")
-    pairs = _matches(table).where(
-        F.expr("array_max(seeds).p - array_min(seeds).p") + 2 * (SEED + WINDOW) >= min_words
-    )
+    pairs = _matches(table)
     # The same joins at every size: no side is bounded.
     told = pairs.hint("merge").join(words, "uid").hint("merge").join(
         words.select(F.col("uid").alias("lead"), F.col("words").alias("lead_words")), "lead"

@@ -184,6 +184,16 @@ def test_passages_with_changes_are_found(spark, edge, nothing):
     assert passages.without_repeats(edge, passages.repeated_passages(edge)).count() >= 9
 
 
+def test_passages_of_parts_from_different_texts_are_found(spark):
+    rng, rows = random.Random(17), []
+    for i in range(20):
+        first, second = prose(rng, 26, 9000), prose(rng, 26, 9000)
+        rows += [(4 * i + k, " ".join([prose(rng, 30, 9000), t, prose(rng, 30, 9000)]))
+                 for k, t in enumerate([first, second, f"{first} {second}", f"{first} {second}"])]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert {(r.doc_id, r.lead_doc_id, r.start_word, r.end_word) for r in got} == {(4 * i + 3, 4 * i + 2, 30, 82) for i in range(20)}
+
+
 def test_parts_of_a_failing_chain_are_found():
     rng = np.random.default_rng(14)
 
