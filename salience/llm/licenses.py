@@ -128,6 +128,22 @@ def banded(a: np.ndarray, b: np.ndarray, diagonal: int) -> list[tuple[int, int]]
     return pairs[::-1]
 
 
+def close_parts(pairs: list[tuple[int, int]], least: int) -> list[list[tuple[int, int]]]:
+    """Parts of an alignment that are equal enough, cut at its longest runs of unequal words."""
+    out, parts = [], [pairs]
+    while parts:
+        part = parts.pop()
+        if len(part) < least:
+            continue
+        ways = np.diff(np.array(part), axis=0).max(axis=1)
+        if len(part) >= IDENTITY * max(part[-1][0] - part[0][0] + 1, part[-1][1] - part[0][1] + 1):
+            out.append(part)
+        else:
+            k = int(ways.argmax()) + 1
+            parts += [part[k:], part[:k]]
+    return out
+
+
 def _scan(texts: pa.Array, index: dict) -> list[tuple[int, str, float, int, int, int, int, int, int]]:
     """(row, name, coverage, first and last word of the template, words, characters)."""
     words = Words(texts, LETTERS)
@@ -137,29 +153,31 @@ def _scan(texts: pa.Array, index: dict) -> list[tuple[int, str, float, int, int,
         return []
     low = np.searchsorted(index["prints"], grams)
     high = np.searchsorted(index["prints"], grams, side="right")
-    near: dict[tuple[int, int, int], None] = {}
+    near: dict[tuple[int, int, int], list[int]] = {}
     for g in np.flatnonzero(high > low):
         row = int(words.doc[at[g]])
         for k in range(low[g], high[g]):
             place = int(at[g] - words.first[row])
-            near[row, int(index["template"][k]), place - int(index["place"][k])] = None
+            near.setdefault((row, int(index["template"][k]), place - int(index["place"][k])), []).append(place)
     found: dict[tuple[int, int], list[tuple[int, int, int, int, int]]] = {}
     for row, template, diagonal in sorted(near):
+        seeds = near[row, template, diagonal]
         told = found.setdefault((row, template), [])
         b = index["words"][template]
         start = max(0, diagonal - BAND)
-        a = hashes[words.first[row] + start : min(words.first[row + 1], words.first[row] + diagonal + len(b) + BAND)]
-        if any(abs(diagonal - t[4]) <= BAND for t in told):
-            continue
-        pairs = banded(a, b, diagonal - start)
-        if len(pairs) < min(LEAST, len(b)):
-            continue
-        ends = (start + pairs[0][0], start + pairs[-1][0] + 1, pairs[0][1], pairs[-1][1] + 1)
-        if len(pairs) >= IDENTITY * max(ends[1] - ends[0], ends[3] - ends[2]):
-            told.append((*ends, diagonal, len(pairs)))
+        a = hashes[words.first[row] + start : min(words.first[row + 1], words.first[row] + diagonal + len(b) + BAND)].copy()
+        for s, e, *_ in told:  # a word is told once
+            a[max(s - start, 0) : max(e - start, 0)] = 0
+        while any(not any(s <= x and x + GRAM <= e for s, e, *_ in told) for x in seeds):
+            parts = close_parts(banded(a, b, diagonal - start), min(LEAST, len(b)))
+            for part in parts:
+                told.append((start + part[0][0], start + part[-1][0] + 1, part[0][1], part[-1][1] + 1, len(part)))
+                a[part[0][0] : part[-1][0] + 1] = 0
+            if not parts:
+                break
     out = []
     for (row, template), places in sorted(found.items()):
-        for s, e, u, v, _, same in places:
+        for s, e, u, v, same in places:
             first, last = words.first[row] + s, words.first[row] + e - 1
             base = words.offsets[row]
             out.append((row, index["names"][template], same / len(index["words"][template]), u, v, s, e,
@@ -173,7 +191,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "
     Three-word fingerprints of the templates, winnowed, form an inverted index;
     every window of a document is looked up in it.  Around the diagonal of a hit a
     banded local alignment finds the equal words; four at least (or the whole
-    template) and 80 % of the aligned words make a finding.
+    template) and 80 % of the aligned words make a finding; an alignment of less is
+    cut at its longest run of unequal words and its parts are judged.
 
     Gives doc_id, license, coverage (equal words in the template's words),
     template_start and template_end, start_word and end_word, start_byte and

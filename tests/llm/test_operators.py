@@ -310,6 +310,20 @@ def test_licenses_are_found_in_place(spark, edge, nothing):
     assert licenses.scan(edge).count() == 0 and licenses.scan(nothing).count() == 0
 
 
+def test_parts_and_neighbouring_licenses_are_found(spark):
+    rng = random.Random(16)
+    own = prose(rng, 99).split()
+    own = [f"{w}x{k}" for k, w in enumerate(own)]
+    changed = own[:37] + prose(rng, 25, 9000).split() + own[62:]
+    rows = [(1, " ".join(prose(rng, 20).split() + changed)), (2, "Released under the MIT License. Released under the MIT License."),
+            (3, "Licensed under CC BY-NC 4.0. " * 2)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = licenses.scan(docs, licenses.TEMPLATES | {"own": " ".join(own)}).collect()
+    at = lambda d, name: sorted((r.start_word, r.end_word) for r in got if (r.doc_id, r.license) == (d, name))
+    assert at(1, "own") == [(20, 57), (82, 119)]
+    assert at(2, "MIT-notice") == [(0, 5), (5, 10)] and at(3, "CC-BY-NC-notice") == [(0, 7), (7, 14)]
+
+
 def test_audit_finds_the_damaged_records(spark):
     rng = random.Random(13)
     pages = [(i, f"http://a/{i}", prose(rng, 3000)) for i in range(120)] + [(None, None, None), (5, "http://a/5", "")]
