@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, over whole tables."""
+"""The registered queries of the operators, over whole tables."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salience.llm import (
-    bpe, decontaminate, jaccard, language, licenses, passages, quality, sharding, toxicity, warc,
+    bpe, decontaminate, jaccard, language, licenses, mixing, passages, quality, search, sharding,
+    spelling, toxicity, warc,
 )
 from salience.llm.twins import ORACLE as ORACLE
 
@@ -68,10 +69,23 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding, op2_bpe, op3_quality, op4_jaccard, op5_toxicity, op6_decontamination,
-        op7_licenses, op8_warc, op9_language, op10_passages,
+        op7_licenses, op8_warc, op9_language, op10_passages, op11_mixing,
+        op12_search, op13_spelling,
     )
 }
