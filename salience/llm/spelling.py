@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salience.session import cut_lineage
+from salience.session import cut_lineage, parallelism
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters of runs besides A-Z: all code points from U+00C0 to U+00FF.
@@ -88,7 +88,9 @@ def near_words(words: DataFrame) -> DataFrame:
     a frequent reduced form, and each match is verified on the original strings.
     A pair with equal fronts counts by its front alone, hence once.
     """
-    coded = words.select("word", "n", F.char_length("word").alias("size"), reduced(F.col("word")).alias("code"))
+    # A small table of words gives large neighbourhoods: all tasks take part.
+    spread = words.repartition(parallelism(words.sparkSession), "word")
+    coded = spread.select("word", "n", F.char_length("word").alias("size"), reduced(F.col("word")).alias("code"))
     asked = coded.select("word", "size", F.explode(_neighbours()).alias("e")).select(
         "word", "size", F.col("e.side").alias("side"), F.col("e.near").alias("near")
     ).where(F.char_length("near") >= LENGTH).select(
