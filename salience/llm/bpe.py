@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import functools
 import heapq
 import json
+import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +15,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex
+from tokenizers.pre_tokenizers import Split
 
 from salience.llm.words import blocks
 
@@ -202,17 +207,52 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
+@functools.cache
+def stand_ins() -> dict[int, str]:
+    """A code point of the right class for each one that ``regex`` classes otherwise than the library.
+
+    Their tables are of different Unicode versions.  The library is asked for the
+    runs of each class in one text of all code points.
+    """
+    whole = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    kinds = {r"\p{L}": "\u00e9", r"\p{N}": "\u00b2", r"\s": "\u00a0"}
+    other = "\ue000"
+    out: dict[int, str] = {}
+    for kind, sign in kinds.items():
+        told = Split(Regex(kind + "+"), "removed", invert=True).pre_tokenize_str(whole)
+        theirs = set("".join(piece for piece, _ in told))
+        ours = set("".join(regex.findall(kind + "+", whole)))
+        out |= {ord(c): sign for c in theirs - ours}
+        out |= {ord(c): out.get(ord(c), other) for c in ours - theirs}
+    return out
+
+
+def _class_of(codes: list[int]) -> re.Pattern | None:
+    """A pattern for any of the code points, which are ascending."""
+    cuts = [k for k in range(1, len(codes)) if codes[k] != codes[k - 1] + 1]
+    runs = zip([0, *cuts], [*cuts, len(codes)], strict=True)
+    spans = "".join(f"{re.escape(chr(codes[a]))}-{re.escape(chr(codes[b - 1]))}" for a, b in runs)
+    return re.compile(f"[{spans}]") if codes else None
+
+
 class Coder:
     """Encodes texts and keeps the tokens of the words it has met, up to a bound."""
 
     def __init__(self, path: str, memory: int = MEMORY):
         self.vocabulary, self.memory = vocabulary(path), memory
-        self.split = regex.compile(PATTERN).findall
+        self.pattern = regex.compile(PATTERN)
+        self.odd = _class_of(sorted(stand_ins()))
         marks = sorted(map(regex.escape, self.vocabulary.special), key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(marks) + ")") if marks else None
         #: The tokens of each word as little-endian 32-bit numbers.
         self.known: dict[str, bytes] = {}
 
+    def split(self, text: str) -> list[str]:
+        """The words of a text without special tokens."""
+        if text.isascii() or self.odd is None or not self.odd.search(text):
+            return self.pattern.findall(text)
+        return [text[slice(*m.span())] for m in self.pattern.finditer(text.translate(stand_ins()))]
+
     def pieces(self, text: str) -> list[str]:
         """The words of a text; a special token is a word of its own."""
         if self.marks is None or not any(s in text for s in self.vocabulary.special):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +13,7 @@ from salience.llm import (
 from salience.llm.twins import ORACLE as ORACLE
 
 #: The tokenizer's file; executors have it at the same place.
-TOKENIZER = os.environ.get("BPE_FILE") or public_tokenizers.path("byte_bpe_50k.json")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
