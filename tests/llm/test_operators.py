@@ -91,6 +91,51 @@ def test_tokens_equal_the_library(spark, edge, nothing):
     assert bpe.digests(edge, TOKENIZER).count() == 11 and bpe.digests(nothing, TOKENIZER).count() == 0
 
 
+def test_every_code_point_is_split_as_in_the_library():
+    from tokenizers import Tokenizer
+
+    cut, coder = Tokenizer.from_file(TOKENIZER).pre_tokenizer.pre_tokenize_str, bpe.Coder(TOKENIZER)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 512):
+        text = "".join(f"{c}'ll{c}1{c}a{c}. {c} \n" for c in points[at : at + 512])
+        assert [len(w) for w in coder.split(text)] == [b - a for _, (a, b) in cut(text)], hex(ord(points[at]))
+
+
+def test_convolution_equals_a_loop():
+    """Scores of the batch code against one text, one filter and one place at a time."""
+    rng = random.Random(13)
+    texts = [prose(rng, n, 50) for n in (0, 1, 2, 3, 40, 7)] + ["one two", ""]
+    model = toxicity.train(texts * 4, np.arange(len(texts) * 4) % 2, ["en", "de"] * 16)
+    raw, _ = toxicity.logits(model, pa.array(texts))
+    for row, text in enumerate(texts):
+        codes, _ = toxicity.features(pa.array([text]))
+        x = [sum(model.embed[c].astype(float) for c in word) for word in codes]
+        want = model.base
+        for w, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                best = 0.0  # of places where a filter reaches over the end, the rest counts as nothing
+                for at in range(len(x)):
+                    seen = x[at : at + width]
+                    out = model.bias[width][f] + sum(
+                        v @ model.filters[width][k * toxicity.DIM : (k + 1) * toxicity.DIM, f] for k, v in enumerate(seen))
+                    best = max(best, float(out))
+                want += best * model.dense[w * toxicity.FILTERS + f]
+        assert abs(raw[row] - want) < 1e-3
+
+
+def test_toxicity_draws_the_smallest_hashes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 40)
+    docs = spark.createDataFrame(
+        [(i, "x" * (20_000 if i % 10 == 0 else 5), "en", 0, "") for i in range(900)]
+        + [(i, None, "en", 0, "") for i in range(900, 950)] + [(3, "x", "en", 0, "")] * 30, SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1000)] + [(None, 1), (5, 0)], "doc_id long, toxic int")
+    usable = docs.where(~toxicity.held_out(F.col("doc_id")) & (F.length("text") < 100)).select("doc_id").distinct()
+    hashed = usable.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()
+    want = {(r.doc_id, t) for t in (0, 1) for r in sorted(
+        (r for r in hashed if int(r.doc_id % 4 == 0) == t), key=lambda r: r.h)[:40]}
+    assert {(r.doc_id, r.toxic) for r in toxicity.draw(docs, labels).collect()} == want
+
+
 def test_ledger_equals_counting(spark, edge, nothing):
     rng = random.Random(5)
     texts = [prose(rng, rng.randrange(80), rng.choice([3, 9, 500])) + rng.choice(["", "\nx\nx", " ## |"]) for _ in range(200)]
