@@ -21,6 +21,10 @@ CLOSE = 32
 GAP_COST = 0.25
 #: An extension ends when its score (match 1, mismatch -2) falls so far below its best.
 DROP = 10
+#: Words on either side of a pair's outermost seeds that are fetched at first.
+MARGIN = 64
+#: Bytes of the text's key before its words.
+KEY = 8
 #: Rows without an id are numbered from here down.
 NO_ID = -(2**62)
 
@@ -48,7 +52,7 @@ def seeds(grams: np.ndarray) -> np.ndarray:
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """Each text's words as 16-bit hashes, and its seeds with their positions."""
+    """Each text's key and words as 16-bit hashes in one binary, and its seeds with their positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,9 +68,11 @@ def _scan(docs: DataFrame) -> DataFrame:
                     places.append((own, grams[cuts[row] + own].view(np.int64)))
                 ends = np.concatenate([[0], np.cumsum([len(p) for p, _ in places])])
                 ends = pa.array(ends.astype(np.int32))
+                keys = block.column(1).to_numpy().astype("<i8")
                 yield pa.RecordBatch.from_arrays(
                     [block.column(0), block.column(1),
-                     pa.array([short[a:b].tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)], pa.binary()),
+                     pa.array([k.tobytes() + short[a:b].tobytes() for k, a, b in zip(
+                         keys, words.first[:-1], words.first[1:], strict=True)], pa.binary()),
                      pa.ListArray.from_arrays(ends, pa.array(np.concatenate([s for _, s in places]))),
                      pa.ListArray.from_arrays(ends, pa.array(np.concatenate([p for p, _ in places]).astype(np.int32)))],
                     names=["uid", "text_key", "words", "seeds", "places"],
@@ -150,8 +156,15 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return len(b) - row.bit_count()
 
 
-def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """How far equal words go on from the start of both, and how many are equal."""
+class Cut(Exception):
+    """An extension met the end of a slice that is not the end of the text."""
+
+
+def _extend(a: np.ndarray, b: np.ndarray, a_cut: bool = False, b_cut: bool = False) -> tuple[int, int]:
+    """How far equal words go on from the start of both, and how many are equal.
+
+    Raises Cut if the answer may depend on words behind a cut end.
+    """
     n, size = min(len(a), len(b)), 64
     while True:
         size = min(n, 4 * size)
@@ -161,6 +174,8 @@ def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
         if len(fallen) or size == n:
             score = score[: fallen[0]] if len(fallen) else score
             break
+    if not len(fallen) and (a_cut and len(a) == n or b_cut and len(b) == n):
+        raise Cut
     if not len(score) or score.max() <= 0:
         return 0, 0
     far = int(score.argmax()) + 1
@@ -179,12 +194,17 @@ def equal_words(a: np.ndarray, b: np.ndarray, path: np.ndarray) -> list[int]:
     return out
 
 
-def align(a: np.ndarray, b: np.ndarray, path: np.ndarray, same: int) -> tuple[int, int, int, int, int]:
-    """Ends of a chain's alignment in a and in b, after extension, and its equal words."""
+def align(
+    a: np.ndarray, b: np.ndarray, path: np.ndarray, same: int, cut: tuple[bool, bool, bool, bool] = (False,) * 4
+) -> tuple[int, int, int, int, int]:
+    """Ends of a chain's alignment in a and in b, after extension, and its equal words.
+
+    ``cut`` tells of the start of a, of b, the end of a, of b whether the text goes on there.
+    """
     (start, _, lead), (last, end, q) = path[0].tolist(), path[-1].tolist()
     lead_end = q + end - last
-    left, more = _extend(a[:start][::-1], b[:lead][::-1])
-    right, yet = _extend(a[end:], b[lead_end:])
+    left, more = _extend(a[:start][::-1], b[:lead][::-1], *cut[:2])
+    right, yet = _extend(a[end:], b[lead_end:], *cut[2:])
     return start - left, end + right, lead - left, lead_end + right, same + more + yet
 
 
@@ -204,7 +224,8 @@ def halves(a: np.ndarray, b: np.ndarray, path: np.ndarray, same: list[int]) -> l
 
 
 def repeats_of(
-    a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, min_words: int, identity: float
+    a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, min_words: int, identity: float,
+    cut: tuple[bool, bool, bool, bool] = (False,) * 4,
 ) -> list[tuple[int, int, int, int, int]]:
     """Aligned passages of ``min_words`` or more, from the seeds that a and b share."""
     fit = (p + SEED <= len(a)) & (q + SEED <= len(b))
@@ -225,7 +246,7 @@ def repeats_of(
         parts = [(made[inside], equal_words(a, b, made[inside]))]
         while parts:  # a part that fails is cut until its parts pass or have no gap
             part, same = parts.pop()
-            found = align(a, b, part, sum(same))
+            found = align(a, b, part, sum(same), cut)
             if not long_and_equal(found):
                 parts += halves(a, b, part, same)[::-1]
             elif found not in out:
@@ -274,6 +295,68 @@ def _matches(table: DataFrame) -> DataFrame:
     return single.unionByName(joint).groupBy("uid", "lead").agg(F.collect_set("at").alias("seeds"))
 
 
+def _aligned(
+    pairs: DataFrame, table: DataFrame, min_words: int, identity: float, margin: int | None
+) -> DataFrame:
+    """The passages of pairs (uid, lead, seeds); both joins read one exchange of the words.
+
+    Of both texts only the words from ``margin`` before the first to ``margin``
+    behind the last shared seed are shipped (all without a margin).  A pair whose
+    extension would go on behind such an end gives a row without places that
+    keeps the seeds, so that it can be aligned with whole texts.
+    """
+    schema = ("uid long, text_key long, start_word int, end_word int, lead long, lead_start int, "
+              "lead_end int, n_equal int, seeds array<struct<p:int,q:int>>")
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.int32()] * 3,
+             pa.list_(pa.struct([("p", pa.int32()), ("q", pa.int32())]))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in range(batch.num_rows):
+                uid, lead, key, a_from, b_from, a_size, b_size = (
+                    batch.column(c)[row].as_py() for c in range(7))
+                key = int.from_bytes(key, "little", signed=True)
+                a, b = (np.frombuffer(batch.column(c)[row].as_buffer(), "<u2") for c in (7, 8))
+                p, q = (x.to_numpy().astype(np.int64) for x in batch.column(9)[row].values.flatten())
+                cut = (a_from > 0, b_from > 0, a_from + len(a) < a_size, b_from + len(b) < b_size)
+                try:
+                    for s, e, u, v, n in repeats_of(a, b, p - a_from, q - b_from, min_words, identity, cut):
+                        out.append((uid, key, s + a_from, e + a_from, lead, u + b_from, v + b_from, n, None))
+                except Cut:
+                    while out and out[-1][:2] == (uid, key) and out[-1][4] == lead:
+                        out.pop()
+                    out.append((uid, key, None, None, lead, None, None, None, batch.column(9)[row].as_py()))
+            columns = list(zip(*out, strict=True)) or [()] * 9
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)],
+                names=["uid", "text_key", "start_word", "end_word", "lead", "lead_start", "lead_end",
+                       "n_equal", "seeds"])
+
+    def part(side: str, first: str) -> list:
+        """Words of the text from a place on, the place, and the size of the whole."""
+        length = F.expr(f"(octet_length(words) - {KEY}) div 2").cast("int")
+        if margin is None:
+            at, to = F.lit(0), length
+        else:
+            at = F.greatest(F.array_min(f"seeds.{first}") - margin, F.lit(0))
+            to = F.least(F.array_max(f"seeds.{first}") + SEED + margin, length)
+        to = F.greatest(to, at)
+        return [F.substring("words", KEY + 1 + 2 * at, 2 * (to - at)).alias(side),
+                at.alias(f"{side}_from"), length.alias(f"{side}_size")]
+
+    words = table.select("uid", "words")
+    # The same joins at every size: no side is bounded.
+    led = pairs.alias("pair").hint("merge").join(
+        words.alias("text"), F.col("pair.lead") == F.col("text.uid")
+    ).select("pair.uid", "lead", "seeds", *part("b", "q"))
+    told = led.hint("merge").join(words, "uid").select(
+        "uid", "lead", "seeds", "b", "b_from", "b_size",
+        F.substring("words", 1, KEY).alias("key"), *part("a", "p"))
+    return told.select("uid", "lead", "key", "a_from", "b_from", "a_size", "b_size", "a", "b", "seeds"
+                       ).mapInArrow(run, schema)
+
+
 def repeated_passages(
     docs: DataFrame, min_words: int = 50, identity: float = 0.8, text: str = "text"
 ) -> DataFrame:
@@ -284,7 +367,9 @@ def repeated_passages(
     to the first occurrence of both together, never all to each other.  Matches of a document
     with a leader are merged along diagonals, chained in ascending order with gap
     costs, and each chain is aligned word by word and extended at its ends, so
-    passages with changed, added or missing words are found.  Case of A-Z is
+    passages with changed, added or missing words are found.  Pairs are aligned on
+    the part of their texts around their seeds; the few whose extension reaches
+    the end of such a part are aligned again on whole texts.  Case of A-Z is
     ignored.
 
     Gives a row for each passage: doc_id, text_key (xxhash64 of the text),
@@ -302,33 +387,10 @@ def repeated_passages(
         ).alias("uid"),
         F.xxhash64(text).alias("text_key"), F.col(text).alias("text"),
     )))
-    schema = ("uid long, text_key long, start_word int, end_word int, lead long, lead_start int, "
-              "lead_end int, n_equal int")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in range(batch.num_rows):
-                uid, key, lead, a, b, matched = (batch.column(c)[row] for c in range(6))
-                flat = matched.values.flatten()
-                p, q = (x.to_numpy().astype(np.int64) for x in flat)
-                a, b = (np.frombuffer(x.as_buffer(), "<u2") for x in (a, b))
-                for s, e, u, v, n in repeats_of(a, b, p, q, min_words, identity):
-                    out.append((uid.as_py(), key.as_py(), s, e, lead.as_py(), u, v, n))
-            columns = list(zip(*out, strict=True)) or [()] * 8
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()] + [pa.int32()] * 3
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)],
-                names=[f.split()[0] for f in schema.split(", ")],
-            )
-
-    words = table.select("uid", "text_key", "words")
-    pairs = _matches(table)
-    # The same joins at every size: no side is bounded.
-    told = pairs.hint("merge").join(words, "uid").hint("merge").join(
-        words.select(F.col("uid").alias("lead"), F.col("words").alias("lead_words")), "lead"
-    ).select("uid", "text_key", "lead", "words", "lead_words", "seeds")
-    found = told.mapInArrow(run, schema)
+    near = cut_lineage(_aligned(_matches(table), table, min_words, identity, MARGIN))
+    rest = near.where("start_word IS NULL").select("uid", "lead", "seeds").distinct()
+    found = near.where("start_word IS NOT NULL").unionByName(
+        _aligned(rest, table, min_words, identity, None))
     real = lambda c: F.when(F.col(c) > NO_ID, F.col(c))
     return found.select(
         real("uid").alias("doc_id"), "text_key", "start_word", "end_word",

@@ -91,6 +91,26 @@ def test_tokens_equal_the_library(spark, edge, nothing):
     assert bpe.digests(edge, TOKENIZER).count() == 11 and bpe.digests(nothing, TOKENIZER).count() == 0
 
 
+def test_slices_give_what_whole_texts_give(spark, monkeypatch):
+    """Passages that go far beyond their seeds, with changed words, in long and short texts."""
+    rng = random.Random(21)
+    shared = [prose(rng, n, 5000).split() for n in (60, 90, 300, 700)]
+    rows = []
+    for i in range(60):
+        own = prose(rng, rng.randrange(400), 5000).split()
+        for part in rng.sample(shared, 2):
+            part = [w if rng.random() > 0.12 else f"x{rng.randrange(9999)}" for w in part]
+            at = rng.randrange(len(own) + 1)
+            own[at:at] = part[rng.randrange(20):]
+        rows.append((i // 2 if i > 50 else i + 100, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    told = []
+    for margin in (1, 64, 10**6):
+        monkeypatch.setattr(passages, "MARGIN", margin)
+        told.append(sorted(map(tuple, passages.repeated_passages(docs).collect())))
+    assert len(told[0]) > 30 and told[0] == told[1] == told[2]
+
+
 def test_every_code_point_is_split_as_in_the_library():
     from tokenizers import Tokenizer
 
