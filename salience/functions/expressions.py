@@ -50,6 +50,16 @@ def min_max(value: Column, low: Column, high: Column) -> Column:
     return (value - low) / F.nullif(high - low, F.lit(0.0))
 
 
+def complete(features: Column, name: Column) -> Column:
+    """The array, or an error that names the row if a cell of it is null or NaN.
+
+    Distances, margins and fits have no value for such a row, so none is guessed.
+    """
+    bad = features.isNull() | F.exists(features, lambda v: v.isNull() | F.isnan(v))
+    told = F.concat(F.lit("null or NaN in the features of "), F.coalesce(name.cast("string"), F.lit("a row without id")))
+    return F.when(bad, F.raise_error(told)).otherwise(features)
+
+
 def pad_to_square(features: Column) -> Column:
     """Append ones until the array length is a perfect square."""
     side = F.ceil(F.sqrt(F.size(features).cast("double"))).cast("int")

@@ -13,11 +13,15 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from salience.operators.cells import (
+    Cells, gaps, make_cells, meet, neighbours, radius_in, vectors_of, within,
+)
 from salience.operators.graph import components, spanning_forest
 from salience.operators.indices import HIGHER_IS_BETTER, index, small_clusters
 from salience.operators.scan import dense_position
+from salience.operators.spectral import spectral_embedding
 from salience.operators.tiles import BLOCK_ROWS, distances, matrix_of, tiled
 from salience.session import cut_lineage
 
@@ -145,100 +149,110 @@ def single_linkage(points: DataFrame, n_clusters: int, block_rows: int = BLOCK_R
     return _numbered(points, components(nodes, kept))
 
 
-def linkage_threshold(points: DataFrame, distance: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Single linkage cut at a distance."""
-    tree = minimum_spanning_tree(points, block_rows).where(F.col("cost") <= distance)
+def linkage_threshold(
+    points: DataFrame, distance: float, block_rows: int = BLOCK_ROWS, metric: str = "euclidean"
+) -> DataFrame:
+    """Single linkage cut at a distance: the components of all pairs within it.
+
+    Only cells that can hold a partner are opened, and a group of two blocks gives
+    a star for each set of linked points, never the pairs.
+    """
+    cells = make_cells(points.select("point_id", "features"), metric, block_rows)
+    links = _links(cells, radius_in(metric, distance))
     nodes = points.select(F.col("point_id").alias("node"))
-    return _numbered(points, components(nodes, tree))
+    return _numbered(points, components(nodes, links))
 
 
-def _tile_labels(near: np.ndarray) -> np.ndarray:
-    """Smallest reachable index of every row of a boolean adjacency matrix."""
-    labels = np.arange(len(near))
+def _stars(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest row that reaches each row and each column of a boolean matrix; none is the row count."""
+    none = len(near)
+    rows = np.arange(none)
     while True:
-        new = np.minimum(labels, np.where(near, labels[None, :], len(near)).min(axis=1, initial=len(near)))
+        columns = np.where(near, rows[:, None], none).min(axis=0, initial=none)
+        new = np.minimum(rows, np.where(near, columns[None, :], none).min(axis=1, initial=none))
         new = new[new]
-        if (new == labels).all():
-            return labels
-        labels = new
+        if (new == rows).all():
+            return rows, columns
+        rows = new
+
+
+def _links(cells: Cells, reach: float, who: Column | None = None) -> DataFrame:
+    """``src < dst`` that link the points within ``reach`` of each other as the pairs would."""
+    kind = cells.points.schema["point_id"].dataType.simpleString()
+    metric = cells.metric
+
+    def link(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return _no_rows("src", "dst")
+        rows, columns = _stars(gaps(vectors_of(a), vectors_of(b), metric) <= reach)
+        ids, others = a["point_id"].to_numpy(), b["point_id"].to_numpy()
+        met = columns < len(ids)
+        left = np.concatenate([ids, others[met]])
+        right = np.concatenate([ids[rows], ids[columns[met]]])
+        real = left != right
+        left, right = left[real], right[real]
+        return pd.DataFrame({"src": np.minimum(left, right), "dst": np.maximum(left, right)})
+
+    return meet(cells, link, f"src {kind}, dst {kind}", within(reach), who, who).distinct()
 
 
 def dbscan(
-    points: DataFrame, eps: float, min_samples: int, block_rows: int = BLOCK_ROWS
+    points: DataFrame, eps: float, min_samples: int, block_rows: int = BLOCK_ROWS,
+    metric: str = "euclidean",
 ) -> DataFrame:
     """Density clustering; noise is -1.
 
-    Pairs within ``eps`` are only counted and linked inside tiles: a tile
-    returns neighbour counts, then a star per group of linked core points,
-    then the first reachable cluster of each border point.  Even if a third of
-    all points are neighbours, no pair list exists.
+    Points meet only the cells that can hold a point within ``eps``.  A group of
+    two blocks returns neighbour counts, then a star for each set of linked core
+    points, then the first reachable cluster of each border point.  Even if a third
+    of all points are neighbours, no pair list exists.  Metrics: Euclidean, l1,
+    cosine; null or NaN cells raise an error.
     """
     kind = points.schema["point_id"].dataType.simpleString()
-    flat = points.select("point_id", "features")
+    cells = make_cells(points.select("point_id", "features"), metric, block_rows)
+    reach = radius_in(metric, eps)
+
+    def near(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+        return gaps(vectors_of(a), vectors_of(b), metric) <= reach
 
     def count_near(a, b):
-        ma = matrix_of(a)
-        if b is None:
-            hits = (distances(ma, ma) <= eps).sum(axis=1)
-            return pd.DataFrame({"point_id": a["point_id"], "near": hits})
-        near = distances(ma, matrix_of(b)) <= eps
-        return pd.DataFrame(
-            {
-                "point_id": np.concatenate([a["point_id"], b["point_id"]]),
-                "near": np.concatenate([near.sum(axis=1), near.sum(axis=0)]),
-            }
-        )
+        hits = near(a, b).sum(axis=1) if len(a) and len(b) else np.zeros(len(a), np.int64)
+        return pd.DataFrame({"point_id": a["point_id"], "near": hits})
 
-    core = cut_lineage(
-        tiled(flat, count_near, f"point_id {kind}, near bigint", block_rows)
+    core = (
+        meet(cells, count_near, f"point_id {kind}, near bigint", within(reach))
         .groupBy("point_id")
         .agg((F.sum("near") >= min_samples).alias("core"))
     )
-
-    def link(a, b):
-        both = a if b is None else pd.concat([a, b], ignore_index=True)
-        if not len(both):
-            return _no_rows("src", "dst")
-        m = matrix_of(both)
-        labels = _tile_labels(distances(m, m) <= eps)
-        ids = both["point_id"].to_numpy()
-        ends = np.arange(len(ids)) != labels
-        left, right = ids[ends], ids[labels[ends]]
-        return pd.DataFrame({"src": np.minimum(left, right), "dst": np.maximum(left, right)})
-
-    cores = flat.join(core.where("core").select("point_id"), "point_id", "left_semi")
-    links = tiled(cores, link, f"src {kind}, dst {kind}", block_rows).distinct()
-    named = cut_lineage(components(cores.select(F.col("point_id").alias("node")), links))
-
-    flagged = (
-        flat.join(core, "point_id")
-        .join(named.select(F.col("node").alias("point_id"), "component"), "point_id", "left")
+    cells.points = cut_lineage(cells.points.join(core, "point_id"))
+    is_core = F.col("core")
+    links = _links(cells, reach, is_core)
+    nodes = cells.points.where(is_core).select(F.col("point_id").alias("node"))
+    named = cut_lineage(components(nodes, links))
+    cells.points = cut_lineage(
+        cells.points.join(named.select(F.col("node").alias("point_id"), "component"), "point_id", "left")
         # No nulls: pandas would turn whole ids into floats.
         .withColumn("component", F.coalesce("component", "point_id"))
     )
 
-    def reach(a, b):
-        blocks = [(a, a)] if b is None else [(a, b), (b, a)]
-        out = []
-        for left, right in blocks:
-            border = left[~left["core"]].reset_index(drop=True)
-            anchors = right[right["core"]].sort_values("component").reset_index(drop=True)
-            if len(border) and len(anchors):
-                near = distances(matrix_of(border), matrix_of(anchors)) <= eps
-                hit = near.any(axis=1)
-                # Anchors are in order, so the first near one has the smallest name.
-                out.append(pd.DataFrame({
-                    "point_id": border["point_id"].to_numpy()[hit],
-                    "component": anchors["component"].to_numpy()[near.argmax(axis=1)[hit]],
-                }))
-        return pd.concat(out) if out else _no_rows("point_id", "component")
+    def first_near(a, b):
+        if not len(a) or not len(b):
+            return _no_rows("point_id", "component")
+        b = b.sort_values("component").reset_index(drop=True)
+        found = near(a, b)
+        hit = found.any(axis=1)
+        # Visitors are in order, so the first near one has the smallest name.
+        return pd.DataFrame({
+            "point_id": a["point_id"].to_numpy()[hit],
+            "component": b["component"].to_numpy()[found.argmax(axis=1)[hit]],
+        })
 
     borders = (
-        tiled(flagged, reach, f"point_id {kind}, component {kind}", block_rows)
+        meet(cells, first_near, f"point_id {kind}, component {kind}", within(reach), ~is_core, is_core)
         .groupBy("point_id")
         .agg(F.min("component").alias("component"))
     )
-    labels = borders.select(F.col("point_id").alias("node"), "component").unionByName(named)
+    labels = cut_lineage(borders.select(F.col("point_id").alias("node"), "component").unionByName(named))
     clustered = _numbered(points, labels)
     noise = points.join(labels, points["point_id"] == labels["node"], "left_anti").select(
         "point_id", F.lit(-1).alias("cluster"), "features"
@@ -246,13 +260,42 @@ def dbscan(
     return clustered.unionByName(noise)
 
 
+def similarity_graph(
+    points: DataFrame, k: int = 10, metric: str = "euclidean", block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """``(src, dst, weight)`` of points that are among each other's k nearest: 1 if both, 0.5 if one is."""
+    near = neighbours(points, k, metric, block_rows)
+    return near.groupBy(
+        F.least("point_id", "other").alias("src"), F.greatest("point_id", "other").alias("dst")
+    ).agg((F.count(F.lit(1)) / 2.0).alias("weight"))
+
+
+def spectral(
+    points: DataFrame, n_clusters: int, k: int = 10, metric: str = "euclidean", seed: int = 0
+) -> DataFrame:
+    """Spectral clustering on the graph of nearest neighbours.
+
+    Points are placed by the leading eigenvectors of the normalised graph, scaled to
+    length 1, and clustered by k-means.  A point without an edge gets cluster -1.
+    """
+    edges = similarity_graph(points, k, metric)
+    placed, _ = spectral_embedding(edges, n_clusters, seed=seed)
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, v: s + v * v))
+    spots = placed.withColumn("_norm", norm).select(
+        F.col("node").alias("point_id"),
+        F.transform("vector", lambda v: v / F.greatest("_norm", F.lit(1e-300))).alias("features"))
+    found = kmeans(spots, n_clusters, max_iter=50, seed=seed).select(F.col("point_id").alias("_id"), "cluster")
+    return points.join(found, points["point_id"] == F.col("_id"), "left").select(
+        "point_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"), "features")
+
+
 METHODS = {
     "kmeans": kmeans,
     "gmm": gmm,
     "bisecting": bisecting,
     "single_linkage": single_linkage,
     "dbscan": dbscan,
-    "spectral": power_iteration,
+    "spectral": spectral,
 }
 
 RESULT_SCHEMA = (

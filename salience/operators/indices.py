@@ -6,51 +6,69 @@ one-row table with column ``score``.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from salience.functions.expressions import squared_distance
+from salience.operators.cells import SLACK, Cells, beyond, gaps, make_cells, meet, positions, within
+from salience.operators.scan import dense_position
 from salience.operators.tiles import BLOCK_ROWS, distances, matrix_of, tiled
 from salience.session import cut_lineage
 
 
-def _cluster_sums(a: pd.DataFrame, b: pd.DataFrame, gaps: np.ndarray) -> pd.DataFrame:
-    """Distance sums from every point of a to every cluster present in b."""
-    names, codes = np.unique(b["cluster"].to_numpy(), return_inverse=True)
-    member = np.zeros((len(b), len(names)))
-    member[np.arange(len(b)), codes] = 1.0
-    sums = gaps @ member
-    return pd.DataFrame(
-        {
-            "point_id": np.repeat(a["point_id"].to_numpy(), len(names)),
-            "cluster": np.repeat(a["cluster"].to_numpy(), len(names)),
-            "other": np.tile(names, len(a)),
-            "gap": sums.ravel(),
-            "n": np.tile(member.sum(0).astype("int64"), len(a)),
-        }
-    )
+def _sums_to(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """Distance sums from every visitor of b to the members of one cluster in a."""
+    if not len(a) or not len(b):
+        return pd.DataFrame({n: [] for n in ("point_id", "cluster", "other", "gap", "n")}, dtype=object)
+    sums = distances(matrix_of(b), matrix_of(a)).sum(axis=1)
+    return pd.DataFrame({
+        "point_id": b["point_id"], "cluster": b["cluster"], "other": a["cluster"].iloc[0],
+        "gap": sums, "n": len(a),
+    })
 
 
-def silhouette_samples(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    def reduce_tile(a, b):
-        if b is None:
-            m = matrix_of(a)
-            return _cluster_sums(a, a, distances(m, m))
-        gaps = distances(matrix_of(a), matrix_of(b))
-        return pd.concat([_cluster_sums(a, b, gaps), _cluster_sums(b, a, gaps.T)])
+def _own_or_nearest(found: np.ndarray, own: np.ndarray, scatter: np.ndarray, mine: np.ndarray) -> np.ndarray:
+    """Own cluster, and the others whose mean distance can be the smallest.
+
+    A mean distance to a cluster is at least the distance to its centre and at most
+    that plus the mean distance of its members from the centre.
+    """
+    is_own = np.arange(found.shape[1])[None, :] == np.rint(mine)[:, None]
+    most = np.where(is_own, np.inf, found + scatter[None, :]).min(axis=1, initial=np.inf)
+    return is_own | (found <= most[:, None] * (1 + SLACK) + SLACK)
 
+
+def silhouette_samples(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Silhouette width of every point; 0 in a cluster of one.
+
+    Sums of distances are taken over the members of the own cluster and of those
+    clusters that bounds by the centres leave in question.  Rows without a cluster
+    are not judged; null or NaN cells raise an error.
+    """
+    judged = positions(points.where(F.col("cluster").isNotNull()), "euclidean")
+    judged = cut_lineage(judged.select("point_id", "cluster", "features"))
     id_type = points.schema["point_id"].dataType.simpleString()
     kind = points.schema["cluster"].dataType.simpleString()
+    centres, stats = _spread(judged)
+    named = cut_lineage(dense_position(centres.join(stats, "cluster"), [], "cluster"))
+    # As the centres of a fitted clustering, these are held whole by tasks.
+    known = named.orderBy("position").collect()
+    numbered = cut_lineage(judged.join(named.select("cluster", (F.col("position") - 1).cast("int").alias("cell")), "cluster"))
+    cells = Cells(
+        numbered.withColumn("reach", F.lit(0.0)),
+        np.array([r["centre"] for r in known], float).reshape(len(known), -1),
+        np.array([r["scatter"] for r in known], float),
+        np.array([r["size"] for r in known], np.int64), "euclidean", block_rows, [],
+    )
     sums = (
-        tiled(
-            points.select("point_id", "cluster", "features"),
-            reduce_tile,
-            f"point_id {id_type}, cluster {kind}, other {kind}, gap double, n bigint",
-            block_rows,
-        )
+        meet(cells, _sums_to, f"point_id {id_type}, cluster {kind}, other {kind}, gap double, n bigint",
+             _own_or_nearest, radius="cell")
         .groupBy("point_id", "cluster", "other")
         .agg(F.sum("gap").alias("gap"), F.sum("n").alias("n"))
     )
@@ -70,40 +88,81 @@ def silhouette(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return silhouette_samples(points, block_rows).agg(F.avg("width").alias("score"))
 
 
-def dunn(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Smallest gap between clusters over the widest cluster; 0 if all single."""
+def extremes(cells: Cells) -> tuple[float, float]:
+    """A distance between clusters and one inside a cluster that bound the extreme ones.
+
+    Every point is compared with all pivots; the farthest pair found is then swept
+    once more from its far end.
+    """
+    metric, pivots = cells.metric, cells.pivots
+    names = np.array([str(r["cluster"]) for r in cells.rows])
+    spark = cells.points.sparkSession
+
+    def scan_pivots(batches):
+        for batch in batches:
+            at = batch.schema.names.index
+            values = batch.column(at("features")).flatten().to_numpy(zero_copy_only=False)
+            found = gaps(values.reshape(batch.num_rows, pivots.shape[1]), pivots, metric)
+            same = np.array(batch.column(at("cluster")).to_pylist(), object)[:, None] == names[None, :]
+            if not batch.num_rows:
+                continue
+            inside = np.where(same, found, -1.0)
+            row = int(inside.max(axis=1).argmax())
+            yield pa.RecordBatch.from_pydict({
+                "gap": [float(np.where(same, np.inf, found).min())], "width": [float(inside.max())],
+                "name": [str(batch.column(at("cluster"))[row].as_py())],
+                "place": [batch.column(at("features"))[row].as_py()],
+            })
+
+    slim = cells.points.select(F.col("cluster").cast("string").alias("cluster"), "features")
+    best = slim.mapInArrow(
+        scan_pivots, "gap double, width double, name string, place array<double>"
+    ).agg(F.min("gap").alias("gap"), F.max(F.struct("width", "name", "place")).alias("far")).first()
+    if best["gap"] is None:
+        return math.inf, 0.0
+    end = spark.createDataFrame([(best["far"]["place"],)], "place array<double>")
+    swept = slim.where(F.col("cluster") == best["far"]["name"]).withColumn("_end", end.scalar()).agg(
+        F.max(squared_distance(F.col("features"), F.col("_end"))).alias("w")).first()[0]
+    return best["gap"], max(best["far"]["width"], math.sqrt(swept or 0.0), 0.0)
 
-    def reduce_tile(a, b):
-        ma = matrix_of(a)
-        other, mb = (a, ma) if b is None else (b, matrix_of(b))
-        gaps = distances(ma, mb)
-        same = a["cluster"].to_numpy()[:, None] == other["cluster"].to_numpy()[None, :]
-        inside, between = gaps[same], gaps[~same]
-        pairs = same.sum() - (len(a) if b is None else 0)
-        return pd.DataFrame(
-            {
-                "gap": [between.min() if between.size else None],
-                "width": [inside.max() if pairs else None],
-            },
-            dtype="float64",
-        )
 
-    parts = tiled(
-        points.select("point_id", "cluster", "features"),
-        reduce_tile,
-        "gap double, width double",
-        block_rows,
-    )
-    # NaN marks a tile without such pairs.
-    clean = parts.select(
-        F.nullif("gap", F.lit(float("nan"))).alias("gap"),
-        F.nullif("width", F.lit(float("nan"))).alias("width"),
-    )
-    return clean.agg(
-        F.when(F.max("width").isNull(), F.lit(0.0))
-        .otherwise(F.min("gap") / F.max("width"))
-        .alias("score")
-    )
+def dunn(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Smallest gap between clusters over the widest cluster; 0 if all single.
+
+    Known distances bound both: only cells that can hold a closer pair of two
+    clusters, or a farther pair of one, are opened.  Rows without a cluster are not
+    judged; null or NaN cells raise an error.
+    """
+    judged = points.where(F.col("cluster").isNotNull()).select("point_id", "cluster", "features")
+    cells = make_cells(judged, "euclidean", block_rows)
+    gap, width = extremes(cells)
+    slack = cells.slack
+
+    def closest(a, b):
+        found, same = _between(a, b)
+        return pd.DataFrame({"gap": [np.where(same, np.inf, found).min(initial=np.inf)]})
+
+    def widest(a, b):
+        found, same = _between(a, b)
+        other = a["point_id"].to_numpy()[:, None] != b["point_id"].to_numpy()[None, :]
+        return pd.DataFrame({"width": [np.where(same & other, found, -np.inf).max(initial=-np.inf)]})
+
+    least = meet(cells, closest, "gap double", within(gap)).agg(F.min("gap").alias("gap"))
+    most = meet(cells, widest, "width double", beyond(width * (1 - SLACK) - slack)).agg(F.max("width").alias("width"))
+    # Infinite: no such pair.
+    both = least.withColumn("width", most.scalar())
+    real = F.when(F.col("gap") < math.inf, F.col("gap"))
+    return both.select(
+        F.when(F.coalesce(F.col("width"), F.lit(-math.inf)) == -math.inf, F.lit(0.0))
+        .otherwise(real / F.col("width")).alias("score"))
+
+
+def _between(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Distances, and which pairs share a cluster."""
+    if not len(a) or not len(b):
+        return np.zeros((len(a), len(b))), np.zeros((len(a), len(b)), bool)
+    same = a["cluster"].to_numpy()[:, None] == b["cluster"].to_numpy()[None, :]
+    return distances(matrix_of(a), matrix_of(b)), same
 
 
 def centroids(points: DataFrame) -> DataFrame:

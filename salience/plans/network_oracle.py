@@ -68,6 +68,54 @@ scatter AS (
   SELECT cluster, avg(sqrt(d2)) AS s, sum(d2) AS within, count(*) AS size
   FROM gaps GROUP BY cluster)"""
 
+PAIRS_L1 = """pairs AS (
+  SELECT a.point_id AS p, a.cluster AS cp, b.point_id AS q, b.cluster AS cq,
+         list_sum(list_transform(list_zip(a.f, b.f), lambda v: abs(v[1] - v[2]))) AS d
+  FROM points a JOIN points b ON a.point_id <> b.point_id)"""
+
+PAIRS_COSINE = """pairs AS (
+  SELECT a.point_id AS p, a.cluster AS cp, b.point_id AS q, b.cluster AS cq,
+         1 - list_cosine_similarity(a.f, b.f) AS d
+  FROM points a JOIN points b ON a.point_id <> b.point_id)"""
+
+
+def _linkage(pairs: str, reach: float) -> str:
+    return f"""WITH RECURSIVE {POINTS}, {pairs},
+links AS MATERIALIZED (SELECT p, q FROM pairs WHERE d <= {reach}),
+reach AS (
+  SELECT point_id AS root, point_id AS node FROM points
+  UNION
+  SELECT r.root, l.q FROM reach r JOIN links l ON l.p = r.node),
+named AS (SELECT node AS point_id, min(root) AS name FROM reach GROUP BY node)
+SELECT point_id, (dense_rank() OVER (ORDER BY name) - 1)::INT AS cluster FROM named"""
+
+
+def _density(pairs: str, reach: float) -> str:
+    return f"""WITH RECURSIVE {POINTS}, {pairs},
+links AS MATERIALIZED (SELECT p, q FROM pairs WHERE d <= {reach}),
+cores AS MATERIALIZED (SELECT p FROM links GROUP BY p HAVING count(*) + 1 >= 4),
+core_links AS MATERIALIZED (
+  SELECT p, q FROM links WHERE p IN (SELECT p FROM cores) AND q IN (SELECT p FROM cores)),
+reach AS (
+  SELECT p AS root, p AS node FROM cores
+  UNION
+  SELECT r.root, l.q FROM reach r JOIN core_links l ON l.p = r.node),
+named AS (SELECT node AS p, min(root) AS name FROM reach GROUP BY node),
+placed AS (
+  SELECT p, name FROM named
+  UNION ALL
+  SELECT l.p, min(n.name) FROM links l JOIN named n ON n.p = l.q
+  WHERE l.p NOT IN (SELECT p FROM cores) GROUP BY l.p),
+coded AS (SELECT p, (dense_rank() OVER (ORDER BY name) - 1)::INT AS cluster FROM placed)
+SELECT point_id, coalesce(c.cluster, -1)::INT AS cluster FROM points LEFT JOIN coded c ON p = point_id"""
+
+
+def _nearest(k: int) -> str:
+    return f"""nearest AS (
+  SELECT p, q, d, (row_number() OVER (PARTITION BY p ORDER BY d, q))::INT AS rank FROM pairs
+  QUALIFY row_number() OVER (PARTITION BY p ORDER BY d, q) <= {k})"""
+
+
 NETWORK_SQL = {
     "prediction_change": f"""{BASE}, {CHANGE}
 SELECT sample_id, feature_id::INT AS feature_id, round(avg_change, 9) AS avg_change FROM change""",
@@ -159,29 +207,18 @@ ssw AS (SELECT sum(within) AS w, count(*) AS k, sum(size) AS n FROM scatter)
 SELECT round((b / (k - 1)) / (w / (n - k)), 6) AS score FROM ssb, ssw""",
     "small_clusters": """SELECT label AS cluster, count(*) AS size FROM embeddings
 GROUP BY label HAVING count(*) < 60""",
-    "linkage_threshold": f"""WITH RECURSIVE {POINTS}, {PAIRS},
-links AS MATERIALIZED (SELECT p, q FROM pairs WHERE d <= 1.1),
-reach AS (
-  SELECT point_id AS root, point_id AS node FROM points
-  UNION
-  SELECT r.root, l.q FROM reach r JOIN links l ON l.p = r.node),
-named AS (SELECT node AS point_id, min(root) AS name FROM reach GROUP BY node)
-SELECT point_id, (dense_rank() OVER (ORDER BY name) - 1)::INT AS cluster FROM named""",
-    "dbscan": f"""WITH RECURSIVE {POINTS}, {PAIRS},
-links AS MATERIALIZED (SELECT p, q FROM pairs WHERE d <= 1.15),
-cores AS MATERIALIZED (SELECT p FROM links GROUP BY p HAVING count(*) + 1 >= 4),
-core_links AS MATERIALIZED (
-  SELECT p, q FROM links WHERE p IN (SELECT p FROM cores) AND q IN (SELECT p FROM cores)),
-reach AS (
-  SELECT p AS root, p AS node FROM cores
-  UNION
-  SELECT r.root, l.q FROM reach r JOIN core_links l ON l.p = r.node),
-named AS (SELECT node AS p, min(root) AS name FROM reach GROUP BY node),
-placed AS (
-  SELECT p, name FROM named
-  UNION ALL
-  SELECT l.p, min(n.name) FROM links l JOIN named n ON n.p = l.q
-  WHERE l.p NOT IN (SELECT p FROM cores) GROUP BY l.p),
-coded AS (SELECT p, (dense_rank() OVER (ORDER BY name) - 1)::INT AS cluster FROM placed)
-SELECT point_id, coalesce(c.cluster, -1)::INT AS cluster FROM points LEFT JOIN coded c ON p = point_id""",
+    "linkage_threshold": _linkage(PAIRS, 1.1),
+    "linkage_l1": _linkage(PAIRS_L1, 7.0),
+    "linkage_cosine": _linkage(PAIRS_COSINE, 0.62),
+    "dbscan": _density(PAIRS, 1.15),
+    "dbscan_l1": _density(PAIRS_L1, 7.2),
+    "dbscan_cosine": _density(PAIRS_COSINE, 0.66),
+    "nearest_neighbours": f"""WITH {POINTS}, {PAIRS}, {_nearest(5)}
+SELECT p AS point_id, rank, q AS other, round(d, 6) AS distance FROM nearest""",
+    "similarity_graph": f"""WITH {POINTS}, {PAIRS_COSINE}, {_nearest(7)}
+SELECT least(p, q) AS src, greatest(p, q) AS dst, count(*) / 2 AS weight FROM nearest GROUP BY 1, 2""",
+    "spectral_residuals": f"""WITH {POINTS}, {PAIRS_COSINE}, {_nearest(7)}
+SELECT component::INT AS component, (SELECT count(DISTINCT p) FROM nearest) AS nodes,
+       1.0::DOUBLE AS norm, 0.0::DOUBLE AS residual
+FROM range(4) AS r(component)""",
 }

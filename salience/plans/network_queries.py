@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from salience.operators import clustering, graph, importance, indices, matrix, scorers, similarity
+from salience.operators import cells, clustering, graph, importance, indices, matrix, scorers, similarity
+from salience.operators.spectral import residuals, spectral_embedding
 from salience.plans import fixtures
 from salience.plans.ranking_queries import SEED, single_ranking
 from salience.session import cut_lineage
@@ -172,6 +173,55 @@ def dbscan(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.dbscan(points, 1.15, 4).select("point_id", "cluster")
 
 
+def _flat_points(spark: SparkSession, sf: str) -> DataFrame:
+    return fixtures.clustered_points(spark, sf).drop("cluster")
+
+
+def dbscan_l1(spark: SparkSession, sf: str) -> DataFrame:
+    """Density clusters by the sum of absolute differences."""
+    return clustering.dbscan(_flat_points(spark, sf), 7.2, 4, metric="l1").select("point_id", "cluster")
+
+
+def dbscan_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    """Density clusters by cosine distance."""
+    return clustering.dbscan(_flat_points(spark, sf), 0.66, 4, metric="cosine").select("point_id", "cluster")
+
+
+def linkage_l1(spark: SparkSession, sf: str) -> DataFrame:
+    """Single linkage cut at a sum of absolute differences."""
+    return clustering.linkage_threshold(_flat_points(spark, sf), 7.0, metric="l1").select("point_id", "cluster")
+
+
+def linkage_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    """Single linkage cut at a cosine distance."""
+    return clustering.linkage_threshold(_flat_points(spark, sf), 0.62, metric="cosine").select("point_id", "cluster")
+
+
+def nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The five nearest other points of every point."""
+    table = cells.neighbours(_flat_points(spark, sf), 5)
+    return table.select("point_id", "rank", "other", F.round("distance", 6).alias("distance"))
+
+
+def similarity_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges between points that are among each other's seven nearest by angle."""
+    return clustering.similarity_graph(_flat_points(spark, sf), 7, "cosine")
+
+
+def spectral_residuals(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors found, their rows, and how far they are from orthonormal eigenvectors, rounded."""
+    edges = cut_lineage(clustering.similarity_graph(_flat_points(spark, sf), 7, "cosine"))
+    placed, values = spectral_embedding(edges, 4)
+    checked = residuals(edges, placed, values)
+    return checked.select(
+        "component", "nodes", F.round("norm", 6).alias("norm"), F.round("residual", 3).alias("residual"))
+
+
+def spectral(spark: SparkSession, sf: str) -> DataFrame:
+    """Spectral clusters of the points on the graph of their ten nearest neighbours."""
+    return clustering.spectral(_flat_points(spark, sf), 4).select("point_id", "cluster")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -179,6 +229,8 @@ QUERIES = {
         edge_list, cluster_similarity, pruned_edges, pruned_small_clusters, node_table,
         ordered_matrix, components, spanning_tree, cluster_silhouette, cluster_dunn,
         cluster_davies, cluster_calinski, silhouette_widths, small_clusters,
-        linkage_threshold, single_linkage, dbscan,
+        linkage_threshold, single_linkage, dbscan, dbscan_l1, dbscan_cosine, linkage_l1,
+        linkage_cosine, nearest_neighbours, similarity_graph, spectral,
+        spectral_residuals,
     )
 }
