@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, functions as F
 
 RESCALED_SUFFIX = ".rescaled"
 
@@ -60,6 +61,17 @@ def complete(features: Column, name: Column) -> Column:
     return F.when(bad, F.raise_error(told)).otherwise(features)
 
 
+def whole_vector(df: DataFrame, features: str = "features") -> Column:
+    """An array column of ``df`` as an MLlib vector; :func:`complete` names bad rows."""
+    name = next((F.col(c) for c in ("sample_id", "point_id") if c in df.columns), F.lit("a row"))
+    return array_to_vector(complete(F.col(features), name))
+
+
+def present(value: Column) -> Column:
+    """True for a number: neither null nor NaN."""
+    return value.isNotNull() & ~F.isnan(value)
+
+
 def pad_to_square(features: Column) -> Column:
     """Append ones until the array length is a perfect square."""
     side = F.ceil(F.sqrt(F.size(features).cast("double"))).cast("int")

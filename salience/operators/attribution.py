@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from salience.functions.expressions import binarise
+from salience.functions.expressions import binarise, whole_vector
 from salience.operators.reduction import Reducer
 from salience.operators.scan import dense_position
 from salience.operators.scorers import attach_scorer, score_with_model
@@ -26,7 +26,7 @@ def fit_surrogate(scored: DataFrame):
     summed loss.
     """
     rows = scored.select(
-        array_to_vector("features").alias("_features"),
+        whole_vector(scored).alias("_features"),
         binarise(F.col("probability")).alias("target"),
     )
     n = rows.count()
@@ -57,7 +57,7 @@ def linear_shap(
     """
     if agg not in ("mean", "mean_abs"):
         raise ValueError("agg must be 'mean' or 'mean_abs'")
-    centre = background.select(array_to_vector("features").alias("v")).agg(
+    centre = background.select(whole_vector(background).alias("v")).agg(
         vector_to_array(Summarizer.mean(F.col("v"))).alias("mu")
     )
     ready = attach_scorer(explained, scorer).withColumn("mu", centre.scalar())
@@ -185,7 +185,7 @@ def local_surrogate(
     ``num_features`` strongest features by a light ridge, and a weighted ridge
     on those.  Other features count as zero in the mean.  Explains class 1.
     """
-    stats = train.select(array_to_vector("features").alias("v")).agg(
+    stats = train.select(whole_vector(train).alias("v")).agg(
         Summarizer.mean(F.col("v")).alias("m"), Summarizer.std(F.col("v")).alias("s")
     ).first()
     mean, scale = stats["m"].toArray(), stats["s"].toArray()

@@ -12,9 +12,9 @@ from itertools import product
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
+from salience.functions.expressions import whole_vector
 from salience.operators.cells import (
     Cells, gaps, make_cells, meet, neighbours, radius_in, vectors_of, within,
 )
@@ -29,7 +29,7 @@ GRID_THREADS = 4
 
 
 def _predict(points: DataFrame, estimator) -> DataFrame:
-    vectors = points.withColumn("_v", array_to_vector("features"))
+    vectors = points.withColumn("_v", whole_vector(points))
     fitted = estimator.setFeaturesCol("_v").setPredictionCol("cluster").fit(vectors)
     return fitted.transform(vectors).select("point_id", "cluster", "features")
 

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
-from salience.functions.expressions import binarise, int_array, sigmoid
+from salience.functions.expressions import binarise, int_array, sigmoid, whole_vector
 from salience.operators.matrix import feature_count
 from salience.operators.permutation import CHUNK, shuffled_pairs
 from salience.operators.scorers import attach_scorer, score_linear, score_with_model
@@ -190,7 +190,7 @@ def permutation_importance_model(
 
 def sensitivity(samples: DataFrame, scorer: DataFrame) -> DataFrame:
     """Mean squared prediction change after adding 1 % of a feature's range."""
-    vectors = samples.select(array_to_vector("features").alias("v"))
+    vectors = samples.select(whole_vector(samples).alias("v"))
     steps = (
         vectors.agg(
             vector_to_array(Summarizer.max(F.col("v"))).alias("hi"),

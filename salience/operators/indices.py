@@ -11,11 +11,11 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
-from salience.functions.expressions import squared_distance
+from salience.functions.expressions import squared_distance, whole_vector
 from salience.operators.cells import SLACK, Cells, beyond, gaps, make_cells, meet, positions, within
 from salience.operators.scan import dense_position
 from salience.operators.tiles import BLOCK_ROWS, distances, matrix_of, tiled
@@ -168,7 +168,7 @@ def _between(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def centroids(points: DataFrame) -> DataFrame:
     """Mean vector and size per cluster; whole vectors combine map-side."""
     return (
-        points.select("cluster", array_to_vector("features").alias("_v"))
+        points.select("cluster", whole_vector(points).alias("_v"))
         .groupBy("cluster")
         .agg(
             vector_to_array(Summarizer.mean(F.col("_v"))).alias("centre"),
@@ -220,7 +220,7 @@ def davies_bouldin(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame
 def calinski_harabasz(points: DataFrame) -> DataFrame:
     """Between-cluster over within-cluster variance, by degrees of freedom."""
     centres, stats = _spread(points)
-    whole = points.select(array_to_vector("features").alias("_v")).agg(
+    whole = points.select(whole_vector(points).alias("_v")).agg(
         vector_to_array(Summarizer.mean(F.col("_v"))).alias("mu")
     )
     parts = centres.join(stats, "cluster").withColumn("mu", whole.scalar())

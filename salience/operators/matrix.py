@@ -119,14 +119,19 @@ def stratified_split(samples: DataFrame, test_size: float = 0.2, seed: int = 12)
     )
     # One row per class, written once for the two or three reads of a split.
     return (
-        samples.join(F.broadcast(cut_lineage(cuts)), "output", "left")
+        samples.join(
+            F.broadcast(cut_lineage(cuts.withColumnRenamed("output", "_class"))),
+            F.col("output").eqNullSafe(F.col("_class")), "left")
         .withColumn("is_train", F.coalesce(order <= F.col("_cut"), F.lit(False)))
-        .drop("_cut")
+        .drop("_cut", "_class")
     )
 
 
 def stratified_folds(samples: DataFrame, folds: int = 5) -> DataFrame:
-    """Add ``fold`` 1..k: contiguous, unshuffled, balanced inside each class."""
+    """Add ``fold`` 1..k: contiguous, unshuffled, balanced inside each class.
+
+    Samples without a label are a class of their own.
+    """
     placed = dense_position(
         samples.select("sample_id", "output"), ["output"], "sample_id", "_place", "_n"
     )
@@ -144,11 +149,13 @@ def stratified_folds(samples: DataFrame, folds: int = 5) -> DataFrame:
     )
     # One row per class, holding k fold starts.
     return (
-        samples.join(F.broadcast(cut_lineage(starts)), "output")
+        samples.join(
+            F.broadcast(cut_lineage(starts.withColumnRenamed("output", "_class"))),
+            F.col("output").eqNullSafe(F.col("_class")))
         .withColumn(
             "fold", F.size(F.filter("_starts", lambda start: start <= F.col("sample_id")))
         )
-        .drop("_starts")
+        .drop("_starts", "_class")
     )
 
 

@@ -8,9 +8,10 @@ from pyspark.ml.classification import (
     LogisticRegression,
     MultilayerPerceptronClassifier,
 )
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 
+from salience.functions.expressions import whole_vector
+
 # Hidden layer widths of the perceptron.
 HIDDEN_LAYERS = [64, 32, 32, 16]
 COLUMNS = {"featuresCol": "_features", "labelCol": "output"}
@@ -44,7 +45,7 @@ def create_model(name: str, input_dim: int, seed: int = 0, **options):
 
 
 def vectorised(samples: DataFrame, features: str = "features") -> DataFrame:
-    return samples.withColumn("_features", array_to_vector(features))
+    return samples.withColumn("_features", whole_vector(samples, features))
 
 
 def fit_model(

@@ -12,13 +12,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from salience.functions.expressions import whole_vector
 from salience.operators.matrix import to_long
 
 
@@ -53,7 +53,7 @@ class Reducer:
 
 
 def _vectors(samples: DataFrame) -> DataFrame:
-    return samples.select(array_to_vector("features").alias("v"))
+    return samples.select(whole_vector(samples).alias("v"))
 
 
 def _fit_svd(vectors: DataFrame, k: int) -> np.ndarray:

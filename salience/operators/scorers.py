@@ -7,11 +7,11 @@ MLlib classifier can be used through :func:`score_with_model`.
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from salience.functions.expressions import dot, sigmoid
+from salience.functions.expressions import dot, sigmoid, whole_vector
 from salience.session import cut_lineage
 
 
@@ -22,7 +22,7 @@ def class_means(samples: DataFrame) -> DataFrame:
     class and task is shuffled rather than one row per value.
     """
     per_class = (
-        samples.select("output", array_to_vector("features").alias("_v"))
+        samples.select("output", whole_vector(samples).alias("_v"))
         .groupBy("output")
         .agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("mu"))
     )
@@ -75,7 +75,7 @@ def score_linear(samples: DataFrame, scorer: DataFrame) -> DataFrame:
 
 def score_with_model(rows: DataFrame, model, features: str = "features") -> DataFrame:
     """Add ``probability`` from a fitted MLlib classifier or pipeline."""
-    vectors = rows.withColumn("_features", array_to_vector(features))
+    vectors = rows.withColumn("_features", whole_vector(rows, features))
     scored = model.transform(vectors)
     return scored.withColumn(
         "probability", F.get(vector_to_array("probability"), 1)

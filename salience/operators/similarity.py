@@ -17,7 +17,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
-from salience.functions.expressions import int_array
+from salience.functions.expressions import complete, int_array
 from salience.session import cut_lineage
 
 # Features per panel: a task holds one panel pair, 32 MB of sums.
@@ -59,9 +59,11 @@ def correlation_edges(rows: DataFrame, feature_ids: list[int], panel: int = PANE
     """Pearson correlation of every feature pair: ``(src, dst, weight)``.
 
     ``rows`` has ``features`` in the order of ``feature_ids`` (ascending).
-    Null for a constant feature; no rows give no pairs.
+    Null for a constant feature; no rows give no pairs; a null or NaN cell raises an
+    error that names its row.
     """
-    fixed = cut_lineage(rows.select("features"))
+    name = F.col("sample_id") if "sample_id" in rows.columns else F.lit("a row")
+    fixed = cut_lineage(rows.select(complete(F.col("features"), name).alias("features")))
     if fixed.isEmpty():
         return rows.sparkSession.createDataFrame([], "src int, dst int, weight double")
     names = ("mean", "variance", "min", "max")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from salience.functions.expressions import present
 from salience.functions.tails import critical_z
 from salience.operators.matrix import require_columns, to_long
 from salience.operators.scan import exact_quantiles, tie_ranks
@@ -13,10 +14,11 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, group: str) -> Data
     """Mann-Whitney U of group 0 for every key at once.
 
     Asymptotic z with tie and continuity correction.  Values collapse to
-    (key, value) counts before they are ranked.
+    (key, value) counts before they are ranked.  Null and NaN are no values, as in
+    the quantiles of the same column.
     """
     ranked = tie_ranks(
-        df.where(F.col(value).isNotNull()),
+        df.where(present(F.col(value))),
         keys,
         value,
         {
@@ -97,8 +99,12 @@ def density(
     df: DataFrame, value: str, group: str, bins: int, low: float | None = None,
     high: float | None = None,
 ) -> DataFrame:
-    """Histogram density per class, normalised within the class."""
+    """Histogram density per class, normalised within the class.
+
+    Null and NaN are no values: they move no edge and are in no bin.
+    """
     require_columns(df, [value, group])
+    df = df.where(present(F.col(value)))
     if low is None or high is None:
         edges = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
         ready = df.withColumn("_e", edges)
@@ -109,7 +115,7 @@ def density(
         F.floor((F.col(value) - F.col("_e.lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1)
     ).cast("int")
     counts = (
-        ready.where(F.col(value).isNotNull())
+        ready
         .groupBy(group, slot.alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"), F.max(width).alias("width"), F.max("_e.lo").alias("lo"))
     )

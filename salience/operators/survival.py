@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from salience.functions.expressions import present
 from salience.operators.scan import exact_quantiles, scan
 from salience.operators.stats import at_or_below, mann_whitney
 
 
 def kaplan_meier(df: DataFrame, keys: list[str], time: str, event: str) -> DataFrame:
-    """Survival table per key: one row per distinct time."""
-    steps = df.groupBy(*keys, time).agg(
+    """Survival table per key: one row per distinct time.
+
+    Rows whose time is null or NaN were not followed and are left out; a null event
+    counts as none.
+    """
+    steps = df.where(present(F.col(time))).groupBy(*keys, time).agg(
         F.count_if(F.col(event) == 1).alias("deaths"), F.count(F.lit(1)).alias("leaving")
     )
     sized = scan(
@@ -30,11 +35,12 @@ def kaplan_meier(df: DataFrame, keys: list[str], time: str, event: str) -> DataF
 def log_rank(df: DataFrame, keys: list[str], group: str, time: str, event: str) -> DataFrame:
     """Log-rank chi-square between group 0 and group 1, per key.
 
-    Null when the variance is zero (no events, or one empty group).
+    Null when the variance is zero (no events, or one empty group).  Rows whose time
+    is null or NaN, or whose group is neither, are left out; a null event counts as none.
     """
     in0, in1 = F.col(group) == 0, F.col(group) == 1
     died = F.col(event) == 1
-    steps = df.where(in0 | in1).groupBy(*keys, time).agg(
+    steps = df.where((in0 | in1) & present(F.col(time))).groupBy(*keys, time).agg(
         F.count_if(in0).alias("l0"),
         F.count_if(in1).alias("l1"),
         F.count_if(in0 & died).alias("d0"),

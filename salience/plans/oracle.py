@@ -258,6 +258,9 @@ SELECT sample_id, output, is_train::INT AS is_train FROM parts""",
     "stratified_folds": f"""WITH {SAMPLES}
 SELECT sample_id, output, ntile(7) OVER (PARTITION BY output ORDER BY sample_id)::INT AS fold
 FROM samples""",
+    "folds_unlabelled": f"""WITH {SAMPLES.replace("(label >= 5)::INT AS output", "CASE WHEN vec_id % 11 > 0 THEN (label >= 5)::INT END AS output")}, {split()}
+SELECT sample_id, output, ntile(7) OVER (PARTITION BY output ORDER BY sample_id)::INT AS fold,
+       is_train::INT AS is_train FROM parts""",
     "centroid_scorer": f"""{BASE}
 SELECT sample_id, output, round(margin, 6) AS margin, round(p, 6) AS probability,
        (p > 0.5)::INT AS predicted FROM margins""",

@@ -38,6 +38,14 @@ def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
     return parts.select("sample_id", "output", F.col("is_train").cast("int").alias("is_train"))
 
 
+def folds_unlabelled(spark: SparkSession, sf: str) -> DataFrame:
+    """Folds and a split of samples of which some have no label."""
+    rows = fixtures.samples(spark, sf).withColumn(
+        "output", F.when(F.col("sample_id") % 11 > 0, F.col("output")))
+    parts = matrix.stratified_split(matrix.stratified_folds(rows, 7))
+    return parts.select("sample_id", "output", "fold", F.col("is_train").cast("int").alias("is_train"))
+
+
 def stratified_folds(spark: SparkSession, sf: str) -> DataFrame:
     return matrix.stratified_folds(fixtures.samples(spark, sf), 7).select(
         "sample_id", "output", "fold"
@@ -361,7 +369,7 @@ def label_index(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        long_explode, wide_arrays, stratified_split, stratified_folds, centroid_scorer,
+        long_explode, wide_arrays, stratified_split, stratified_folds, folds_unlabelled, centroid_scorer,
         baseline_metrics, permutation_importance, permutation_importance_blocks,
         feature_ranking, aggregate_ranking, accuracy_ranking, top_feature_projection,
         sensitivity_importance, linear_shap, linear_shap_abs, venn_regions, venn_members,

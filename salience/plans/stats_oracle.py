@@ -171,6 +171,41 @@ SELECT sample_id, output, round(biomarker, 6) AS biomarker FROM marked""",
     "biomarker_counts": f"""{MATRIX_TESTS}
 SELECT count(*) FILTER (sign <> 0) AS significant, count(*) FILTER (sign = 1) AS over,
        count(*) FILTER (sign = -1) AS under FROM signs""",
+    "kaplan_meier_gaps": f"""WITH {SURVIVAL},
+steps AS (
+  SELECT c_mktsegment, survival_day, count(*) FILTER (survival_event = 1) AS deaths,
+         count(*) AS leaving
+  FROM surv WHERE sample_id % 6 > 1 GROUP BY c_mktsegment, survival_day),
+risk AS (
+  SELECT *, (sum(leaving) OVER (PARTITION BY c_mktsegment ORDER BY survival_day
+               ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS at_risk
+  FROM steps)
+SELECT c_mktsegment, survival_day, deaths, leaving, at_risk,
+       round(product(1 - deaths / at_risk)
+             OVER (PARTITION BY c_mktsegment ORDER BY survival_day ROWS UNBOUNDED PRECEDING), 6)
+         AS survival
+FROM risk""",
+    "feature_density_gaps": """WITH edges AS (
+  SELECT min(l_extendedprice) AS lo, (max(l_extendedprice) - min(l_extendedprice)) / 12 AS width
+  FROM lineitem WHERE l_partkey % 5 > 1),
+binned AS (
+  SELECT l_returnflag, least(floor((l_extendedprice - lo) / width), 11)::INT AS bin, lo, width
+  FROM lineitem, edges WHERE l_partkey % 5 > 1)
+SELECT l_returnflag, bin, round(lo + bin * width, 4) AS bin_start, count(*) AS n,
+       round(count(*) / (sum(count(*)) OVER (PARTITION BY l_returnflag) * width) * 1e6, 6)
+         AS density_e6
+FROM binned GROUP BY l_returnflag, bin, lo, width""",
+    "mann_whitney_gaps": f"""WITH priced AS (
+  SELECT l_linestatus, (l_returnflag = 'N')::INT AS output, l_extendedprice AS value
+  FROM lineitem WHERE l_partkey % 5 > 1), {rank_test('priced', 'l_linestatus')}
+SELECT l_linestatus, n0, n1, round(u, 1) AS u, round(z, 6) AS z, round(mean_0, 4) AS mean_0,
+       round(mean_1, 4) AS mean_1 FROM tests""",
+    "log_rank_gaps": f"""WITH {SURVIVAL}, split AS (
+  SELECT * FROM (
+    SELECT *, 1 AS one, (c_acctbal > (SELECT median(c_acctbal) FROM surv))::INT AS grp FROM surv)
+  WHERE sample_id % 6 > 1),
+{logrank('split', 'one')}
+SELECT n0, n1, round(chi2, 6) AS chi2 FROM lr""",
     "kaplan_meier": f"""WITH {SURVIVAL},
 steps AS (
   SELECT c_mktsegment, survival_day, count(*) FILTER (survival_event = 1) AS deaths,

@@ -107,6 +107,49 @@ def mann_whitney(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _with_gaps(df: DataFrame, value: str, key: str, every: int) -> DataFrame:
+    """Null in each ``every``-th row by a key, NaN in the row after it."""
+    left = F.pmod(F.col(key), F.lit(every))
+    return df.withColumn(
+        value, F.when(left == 0, None).when(left == 1, float("nan")).otherwise(F.col(value)))
+
+
+def mann_whitney_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Rank test of prices of which some are null or NaN."""
+    rows = _with_gaps(fixtures.load(spark, sf, "lineitem"), "l_extendedprice", "l_partkey", 5).select(
+        "l_linestatus", (F.col("l_returnflag") == "N").cast("int").alias("output"), "l_extendedprice")
+    table = stats.mann_whitney(rows, ["l_linestatus"], "l_extendedprice", "output")
+    return table.select(
+        "l_linestatus", "n0", "n1", F.round("u", 1).alias("u"), F.round("z", 6).alias("z"),
+        F.round("mean_0", 4).alias("mean_0"), F.round("mean_1", 4).alias("mean_1"))
+
+
+def feature_density_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Density of prices of which some are null or NaN."""
+    rows = _with_gaps(fixtures.load(spark, sf, "lineitem"), "l_extendedprice", "l_partkey", 5)
+    table = stats.density(rows, "l_extendedprice", "l_returnflag", 12)
+    return table.select(
+        "l_returnflag", "bin", F.round("bin_start", 4).alias("bin_start"), "n",
+        F.round(F.col("density") * 1e6, 6).alias("density_e6"))
+
+
+def kaplan_meier_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Survival table of customers of whom some have no time."""
+    rows = _with_gaps(fixtures.survival(spark, sf), "survival_day", "sample_id", 6)
+    table = survival.kaplan_meier(rows, ["c_mktsegment"], "survival_day", "survival_event")
+    return table.select(
+        "c_mktsegment", "survival_day", "deaths", "leaving", "at_risk",
+        F.round("survival", 6).alias("survival"))
+
+
+def log_rank_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Log-rank test of customers of whom some have no time."""
+    split = survival.median_groups(fixtures.survival(spark, sf), [], "c_acctbal")
+    rows = _with_gaps(split, "survival_day", "sample_id", 6)
+    table = survival.log_rank(rows, [], "grp", "survival_day", "survival_event")
+    return table.select("n0", "n1", F.round("chi2", 6).alias("chi2"))
+
+
 def mann_whitney_p(spark: SparkSession, sf: str) -> DataFrame:
     """The p-values of the same tests."""
     from salience.functions.tails import normal_two_sided
@@ -233,6 +276,7 @@ QUERIES = {
     for f in (
         label_metrics, ranking_metrics, ranking_metrics_all, line_ranking_metrics, curves_duo,
         mean_roc_grid, mean_pr_grid, feature_density, mann_whitney, mann_whitney_p,
+        mann_whitney_gaps, feature_density_gaps, kaplan_meier_gaps, log_rank_gaps,
         feature_tests, group_quartiles, biomarker, biomarker_counts, kaplan_meier, log_rank,
         log_rank_p, log_rank_segments, fixed_cut_survival, biomarker_survival, survival_inner,
         combined_analysis,
