@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from salience.plans import (
-    model_queries, network_oracle, network_queries, oracle, ranking_queries, source_oracle,
+    model_oracle, model_queries, network_oracle, network_queries, oracle, ranking_queries, source_oracle,
     source_queries, stats_oracle, stats_queries,
 )
 
@@ -19,4 +19,5 @@ ORACLE = {
     **stats_oracle.STATS_SQL,
     **network_oracle.NETWORK_SQL,
     **source_oracle.SOURCE_SQL,
+    **model_oracle.MODEL_SQL,
 }

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from salience.operators import (
     attribution, clustering, importance, matrix, metrics, models, ranking, reduction, scorers, sweep,
 )
+from salience.operators.rescoring import Linear
 from salience.plans import fixtures
-from salience.plans.network_queries import _correlation, _feature_ids
-from salience.plans.ranking_queries import run_rankings, single_ranking
+from salience.plans.network_queries import SIMULATIONS, _correlation, _feature_ids
+from salience.plans.ranking_queries import REPEATS, SEED, run_rankings, single_ranking
 from salience.session import cut_lineage
 
 COMPONENTS = 8
@@ -97,14 +98,55 @@ def perceptron_importance(spark: SparkSession, sf: str) -> DataFrame:
     ztrain, ztest, reducer = reduction.reduce_dimensions(train, test, "PCA", COMPONENTS)
     model = models.fit_model("mlp", ztrain, COMPONENTS, 1, features="z", max_iter=30)
     return importance.permutation_importance_model(
-        ztest, model, 3, model="mlp", loadings=reducer.loading_table(spark)
+        ztest, model, REPEATS, model="mlp", loadings=reducer.loading_table(spark)
     )
 
 
 def boosted_importance(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _parts(spark, sf)
-    model = models.fit_model("gbt", train, _width(train), 1, max_iter=5)
-    return importance.permutation_importance_model(test, model, 2, model="gbt")
+    model = models.fit_model("gbt", train, _width(train), 1)
+    return importance.permutation_importance_model(test, model, REPEATS, model="gbt")
+
+
+def _centroid(spark: SparkSession, sf: str) -> tuple[DataFrame, Linear]:
+    data = fixtures.samples(spark, sf)
+    return data, Linear.of_scorer(scorers.fit_centroid(data))
+
+
+def general_importance(spark: SparkSession, sf: str) -> DataFrame:
+    """Importance through the interface of any model, of the centroid scorer."""
+    data, model = _centroid(spark, sf)
+    diffs = importance.permutation_importance_model(data, model, 5, 3, SEED, chunk=24)
+    return diffs.select("run_id", "metric", "feature_id", F.round("diff", 8).alias("diff"))
+
+
+def general_change(spark: SparkSession, sf: str) -> DataFrame:
+    """Prediction change through the interface of any model, of the centroid scorer."""
+    data, model = _centroid(spark, sf)
+    table = importance.prediction_change_model(data, model, _feature_ids(spark, sf), SIMULATIONS, SEED)
+    return table.select("sample_id", "feature_id", F.round("avg_change", 9).alias("avg_change"))
+
+
+def general_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
+    """Sensitivity through the interface of any model, of the centroid scorer."""
+    data, model = _centroid(spark, sf)
+    table = importance.sensitivity_model(data, model)
+    return table.select("feature_id", F.round(F.col("sensitivity") * 1e9, 3).alias("sensitivity_e9"))
+
+
+def perceptron_change(spark: SparkSession, sf: str) -> DataFrame:
+    """Prediction change of a perceptron behind a reducer."""
+    train, test = _parts(spark, sf)
+    ztrain, ztest, reducer = reduction.reduce_dimensions(train, test, "PCA", COMPONENTS)
+    model = models.fit_model("mlp", ztrain, COMPONENTS, 1, features="z", max_iter=30)
+    return importance.prediction_change_model(
+        ztest, model, _feature_ids(spark, sf), SIMULATIONS, SEED, reducer.loadings)
+
+
+def boosted_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
+    """Sensitivity of boosted trees."""
+    train, test = _parts(spark, sf)
+    return importance.sensitivity_model(test, models.fit_model("gbt", train, _width(train), 1))
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -251,7 +293,8 @@ QUERIES = {
     for f in (
         logistic_scores, perceptron_scores, boosted_scores, pca_projection, pca_scores,
         svd_scores, nmf_factors, logistic_importance, perceptron_importance, boosted_importance,
-        surrogate_importance, surrogate_shap, inverse_mapped_shap, inverse_mapped_shap_sampled,
+        general_importance, general_change, general_sensitivity, perceptron_change,
+        boosted_sensitivity, surrogate_importance, surrogate_shap, inverse_mapped_shap, inverse_mapped_shap_sampled,
         local_surrogate, fold_evaluation, model_sweep, method_comparison, kmeans,
         gaussian_mixture, bisecting, power_iteration, cluster_grid, best_cluster,
         roundtrip_models,
