@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from salience.operators import (
-    attribution, clustering, importance, matrix, metrics, models, ranking, reduction, scorers, sweep,
+    attribution, clustering, importance, manyfits, matrix, models, ranking, reduction, scorers, sweep,
 )
 from salience.operators.rescoring import Linear
 from salience.plans import fixtures
@@ -188,42 +188,49 @@ def local_surrogate(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.magnitude_ranking(table, "importance")
 
 
+def _round_metrics(table: DataFrame) -> DataFrame:
+    return table.select("part", "fold", *[F.round(m, 6).alias(m) for m in manyfits.METRICS])
+
+
 def fold_evaluation(spark: SparkSession, sf: str) -> DataFrame:
-    """Per-fold metrics of a logistic model, one fit per fold."""
+    """Metrics of a logistic model on each of five folds, their mean and spread."""
+    return _round_metrics(manyfits.cross_validate(fixtures.samples(spark, sf), 5, "log"))
+
+
+def fold_evaluation_centroid(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of the centroid scorer."""
+    return _round_metrics(manyfits.cross_validate(fixtures.samples(spark, sf), 5, "centroid"))
+
+
+def fold_curve(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean ROC curve of the folds' logistic models."""
+    roc, _ = manyfits.mean_curves(manyfits.fold_scores(fixtures.samples(spark, sf), 5, "log"))
+    return roc.select("grid", F.round("mean_value", 6).alias("mean_value"), F.round("mean_area", 6).alias("mean_area"))
+
+
+def fold_optimum(spark: SparkSession, sf: str) -> DataFrame:
+    """For each left-out fold, the rows fitted on and the largest part of the loss's slope, rounded."""
     folded = cut_lineage(matrix.stratified_folds(fixtures.samples(spark, sf), 5))
-    scores = None
-    for fold in range(1, 6):
-        train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
-        model = models.fit_model("log", train, _width(train), max_iter=50)
-        part = scorers.score_with_model(test, model)
-        scores = part if scores is None else scores.unionByName(part)
-    scores = cut_lineage(
-        scores.select("fold", "sample_id", "output", "probability").withColumn(
-            "predicted", (F.col("probability") > 0.5).cast("int")
-        )
-    )
-    hard = metrics.label_metrics(scores, ["fold"], "output", "predicted")
-    return hard.join(metrics.ranking_metrics(scores, ["fold"], "output", "probability"), "fold")
+    fits = [manyfits.Fit(tuple(range(_width(folded))), fold) for fold in range(1, 6)]
+    slopes = manyfits.slopes(folded, fits, manyfits.fit_logistic(folded, fits))
+    return spark.createDataFrame(
+        [(f.fold, n, round(s, 4)) for f, (n, s) in zip(fits, slopes)], "fold int, n long, slope double")
 
 
 def model_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """Train on the top k features for several k."""
+    """Logistic models on the top k features for every k, fifty simulations each."""
     train, test = _parts(spark, sf)
-    curves = sweep.model_sweep(
-        train, test, "log", single_ranking(spark, sf), [4, 16, 64], simulations=1, max_iter=30
-    )
+    best = sweep.ordered_features(single_ranking(spark, sf), _width(train))
+    curves = manyfits.sweep_many(train, test, best, list(range(1, len(best) + 1)), 50)
     return sweep.mean_over_simulations(curves)
 
 
 def method_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    """Feature sets of three rankings compared on two data sets."""
+    """Feature sets of three rankings compared on two data sets, fifty simulations each."""
     train, test = _parts(spark, sf)
     ranks = run_rankings(spark, sf)
-    lists = [ranks.where(F.col("model") == m) for m in ("m1", "m2", "m3")]
-    table = sweep.compare_methods(
-        train, {"train": train, "test": test}, "log", lists, 10, 1, ["m1", "m2", "m3"], max_iter=30
-    )
-    return sweep.performance_cells(table)
+    chosen = {m: sweep.ordered_features(ranks.where(F.col("model") == m), 10) for m in ("m1", "m2", "m3")}
+    return sweep.performance_cells(manyfits.compare_many(train, {"train": train, "test": test}, chosen, 50))
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:
@@ -295,7 +302,7 @@ QUERIES = {
         svd_scores, nmf_factors, logistic_importance, perceptron_importance, boosted_importance,
         general_importance, general_change, general_sensitivity, perceptron_change,
         boosted_sensitivity, surrogate_importance, surrogate_shap, inverse_mapped_shap, inverse_mapped_shap_sampled,
-        local_surrogate, fold_evaluation, model_sweep, method_comparison, kmeans,
+        local_surrogate, fold_evaluation, fold_evaluation_centroid, fold_curve, fold_optimum, model_sweep, method_comparison, kmeans,
         gaussian_mixture, bisecting, power_iteration, cluster_grid, best_cluster,
         roundtrip_models,
     )
