@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from salience.functions.expressions import clean_name, edge_colour, node_colour
+from salience.operators import lookup
+from salience.operators.lookup import look_up
 from salience.session import cut_lineage
 
 
@@ -27,8 +29,8 @@ def spanning_forest(nodes: DataFrame, edges: DataFrame, cost: str) -> tuple[Data
     (``min`` of a struct, combined map-side), picks are merged by pointer
     jumping, and parallel edges between components shrink to the cheapest.  Ties
     break on (src, dst), which makes the order total.  Components at least halve
-    each round, and every round is written out.  Edges of a giant component
-    share a key in two joins of a round, which are left to skew handling.
+    each round, and every round is written out.  Joins on a component split a giant
+    one's rows (:func:`look_up`).
 
     Returns ``(tree(src, dst, cost), labels(node, component))``; a component
     is named after its smallest node.
@@ -60,28 +62,33 @@ def spanning_forest(nodes: DataFrame, edges: DataFrame, cost: str) -> tuple[Data
         near = pointers.select(F.col("c").alias("a"), F.col("root").alias("ra"))
         far = pointers.select(F.col("c").alias("b"), F.col("root").alias("rb"))
         live = cut_lineage(
-            live.join(near, "a")
-            .join(far, "b")
+            _twice(live, near, "a", far, "b")
             .where(F.col("ra") != F.col("rb"))
             .groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
             .agg(F.min("key").alias("key"))
         )
-    labels = nodes.select(F.col("node"), F.col("node").alias("component"))
+    labels = cut_lineage(nodes.select(F.col("node"), F.col("node").alias("component")))
     for merge in merges:
-        labels = labels.join(merge, labels["component"] == merge["c"], "left").select(
-            "node", F.coalesce("root", "component").alias("component")
-        )
+        moved = look_up(labels, merge.withColumnRenamed("c", "component"), "component", "left")
+        labels = cut_lineage(moved.select("node", F.coalesce("root", "component").alias("component")))
     names = labels.groupBy("component").agg(F.min("node").alias("name"))
-    named = labels.join(names, "component").select("node", F.col("name").alias("component"))
+    named = look_up(labels, names, "component").select("node", F.col("name").alias("component"))
     tree = reduce(DataFrame.unionByName, trees)
     return tree.select("key.src", "key.dst", "key.cost"), named
 
 
+def _twice(rows: DataFrame, one: DataFrame, key: str, two: DataFrame, other: str) -> DataFrame:
+    """Two look-ups in a row; the first adds no rows, so a small table needs no count between."""
+    if rows.count() <= lookup.HOT_ROWS:
+        return rows.join(one, key).join(two, other)
+    return look_up(cut_lineage(look_up(rows, one, key)), two, other)
+
+
 def _roots(picks: DataFrame) -> DataFrame:
     """Follow picks to a common root; two components picking each other end at the smaller."""
     back = picks.select(F.col("c").alias("parent"), F.col("parent").alias("grand"))
     pointers = cut_lineage(
-        picks.join(back, "parent", "left").select(
+        look_up(picks, back, "parent", "left").select(
             "c",
             F.when((F.col("grand") == F.col("c")) & (F.col("c") < F.col("parent")), F.col("c"))
             .otherwise(F.col("parent"))
@@ -92,7 +99,7 @@ def _roots(picks: DataFrame) -> DataFrame:
         ahead = pointers.select(F.col("c").alias("root"), F.col("root").alias("next"))
         beyond = pointers.select(F.col("c").alias("next"), F.col("root").alias("far"))
         stepped = cut_lineage(
-            pointers.join(ahead, "root").join(beyond, "next").select(
+            _twice(pointers, ahead, "root", beyond, "next").select(
                 "c", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")
             )
         )
