@@ -11,6 +11,7 @@ folded AS (
 
 MODEL_SQL = {
     "general_importance": RANKING_SQL["permutation_importance"],
+    "claimed_runs": RANKING_SQL["permutation_importance"],
     "general_change": NETWORK_SQL["prediction_change"],
     "general_sensitivity": f"""SELECT feature_id, sensitivity_e9
 FROM ({RANKING_SQL["sensitivity_importance"]})""",

@@ -81,6 +81,10 @@ def _importance(
     return cut_lineage(diffs)
 
 
+def importance_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return _importance(spark, sf, SMALL_RUNS, SMALL_REPEATS)
+
+
 def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
     """Importance table, appended to a run store and read back."""
     from salience.session import scratch_path

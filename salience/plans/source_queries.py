@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from salience.operators import matrix
-from salience.plans import fixtures
+from salience.plans import fixtures, ranking_queries
 from salience.plans.ranking_queries import feature_sweep
 from salience.session import scratch_path
 from salience.sources import tables
@@ -91,16 +91,26 @@ def roundtrip_json(spark: SparkSession, sf: str) -> DataFrame:
 
 def observed_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Row count and width of the matrix, reported with the load itself."""
-    data = fixtures.samples(spark, sf)
-    return data.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.max(F.size("features")).alias("n_columns")
-    )
+    _, seen = tables.store_observed(fixtures.samples(spark, sf), scratch_path(spark, "matrix"))
+    return spark.createDataFrame([(seen["n_rows"], seen["n_columns"])], "n_rows bigint, n_columns int")
+
+
+def claimed_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Importance runs appended one by one under numbers that are claimed first."""
+    diffs = ranking_queries.importance_runs(spark, sf)
+    store = scratch_path(spark, "claimed")
+    for run in range(1, ranking_queries.SMALL_RUNS + 1):
+        own = diffs.where(F.col("run_id") == run).drop("run_id")
+        number = tables.claim_run(spark, store, "linear")
+        tables.append_runs(own.withColumn("run_id", F.lit(number)), store)
+    return tables.read_runs(spark, store).select(
+        "run_id", "metric", "feature_id", F.round("diff", 8).alias("diff"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         size_chunks, roundtrip_split_csv, roundtrip_wide_csv, roundtrip_tsv, roundtrip_survival,
-        roundtrip_sweep, roundtrip_json, observed_counts,
+        roundtrip_sweep, roundtrip_json, observed_counts, claimed_runs,
     )
 }

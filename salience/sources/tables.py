@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import csv
 import io
+from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from salience.functions.expressions import int_array
 from salience.operators.scan import scan
@@ -186,6 +188,56 @@ def load_table(
     return (reader.option("header", True) if kind == "csv" else reader).load(path)
 
 
+def store_observed(samples: DataFrame, path: str) -> tuple[DataFrame, dict[str, int]]:
+    """Write samples as Parquet and count rows and features while they pass.
+
+    Returns the written table and ``n_rows`` and ``n_columns`` (0 without rows); the
+    input is read once.
+    """
+    seen = Observation()
+    samples.observe(
+        seen, F.count(F.lit(1)).alias("n_rows"),
+        F.coalesce(F.max(F.size("features")), F.lit(0)).alias("n_columns"),
+    ).write.parquet(path)
+    return samples.sparkSession.read.schema(samples.schema).parquet(path), dict(seen.get)
+
+
+def _create_new(spark: SparkSession, path: str) -> bool:
+    """Make an empty marker; False if it is there already.  One of several callers gets True.
+
+    A file system decides this itself on creation without overwriting; for local
+    folders, whose Hadoop wrapper looks first and creates later, the operating system
+    does.
+    """
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place.getParent())
+    if files.getScheme() == "file":
+        return jvm.java.io.File(place.toUri().getPath()).createNewFile()
+    try:
+        files.create(place, False).close()
+    except Py4JJavaError as error:
+        if "AlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def claim_run(spark: SparkSession, path: str, model: str) -> int:
+    """A run number of a model that no other writer of the store gets.
+
+    The first number that neither stored runs nor markers hold is claimed by creating
+    its marker; whoever comes second takes the next one.  Markers lie in a folder that
+    readers of the store do not see.  A claimed number that is never written stays unused.
+    """
+    name = quote(model, safe="")
+    number = next_run_id(spark, path, model)
+    while not _create_new(spark, f"{path}/_claims/{name}/{number}"):
+        number += 1
+    return number
+
+
 def next_run_id(spark: SparkSession, path: str, model: str) -> int:
     """First unused run number of a model in the run store."""
     from pyspark.errors import AnalysisException

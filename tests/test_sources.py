@@ -47,3 +47,26 @@ def test_run_store_numbers_runs(spark, tmp_path):
     assert tables.next_run_id(spark, store, "m") == 2
     assert tables.next_run_id(spark, store, "other") == 1
     assert sorted(map(tuple, tables.read_runs(spark, store).collect())) == rows
+
+
+def test_writers_claim_different_runs(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = str(tmp_path / "runs")
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda _: tables.claim_run(spark, store, "a/b"), range(16)))
+    assert sorted(got) == list(range(1, 17))
+    assert tables.claim_run(spark, store, "other") == 1
+    rows = spark.createDataFrame(
+        [("a/b", 40, "r2", 0, 0.25)], "model string, run_id int, metric string, feature_id int, diff double")
+    tables.append_runs(rows, store)
+    assert tables.claim_run(spark, store, "a/b") == 41
+    assert [tuple(r) for r in tables.read_runs(spark, store).collect()] == [("a/b", 40, "r2", 0, 0.25)]
+
+
+def test_counts_are_observed_while_writing(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(7)], "sample_id int, features array<double>")
+    table, seen = tables.store_observed(rows, str(tmp_path / "a"))
+    assert seen == {"n_rows": 7, "n_columns": 2} and table.count() == 7
+    _, none = tables.store_observed(rows.limit(0), str(tmp_path / "b"))
+    assert none == {"n_rows": 0, "n_columns": 0}
