@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salience.llm.links import components
-from salience.llm.words import Words, blocks, mix, windows
+from salience.llm.words import Words, blocks, mix, spare, windows
 from salience.session import cut_lineage
 
 #: Documents that share a token at most so often that the token alone is an index key.
@@ -347,7 +347,8 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "
     Rows without an id are kept, as nothing names them; rows that share a doc_id
     go or stay together.
     """
+    (name,) = spare(docs.columns, "gone")
     found = near_copies(docs, size, percent, text).where("component_id <> doc_id").select(
-        F.col("doc_id").alias("_gone")).distinct()
-    gone = F.col("doc_id").cast("long") == F.col("_gone")
+        F.col("doc_id").alias(name)).distinct()
+    gone = F.col("doc_id").cast("long") == F.col(name)
     return docs.join(found.hint("merge"), gone, "left_anti")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salience.llm.words import Words, blocks, windows
+from salience.llm.words import Words, blocks, spare, windows
 from salience.session import cut_lineage
 
 #: Words in a seed, and seeds among which the smallest is taken: a common run of
@@ -404,14 +404,15 @@ def without_repeats(docs: DataFrame, passages: DataFrame, text: str = "text") ->
     A row of which no word is left goes.  Rows without passages, null and wordless
     texts included, stay as they are.
     """
+    cut, key, number, other, other_key = spare(docs.columns, "spans", "key", "id", "doc", "text")
     spans = passages.groupBy("doc_id", "text_key").agg(
-        F.array_sort(F.collect_set(F.struct("start_word", "end_word"))).alias("_spans")
+        F.array_sort(F.collect_set(F.struct("start_word", "end_word"))).alias(cut)
     )
-    keyed = docs.withColumns({"_key": F.xxhash64(text), "_id": F.col("doc_id").cast("long")})
+    keyed = docs.withColumns({key: F.xxhash64(text), number: F.col("doc_id").cast("long")})
     joined = keyed.join(
-        spans.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"), "_spans").hint("merge"),
-        F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text")), "left",
-    ).drop("_doc", "_text", "_key", "_id")
+        spans.select(F.col("doc_id").alias(other), F.col("text_key").alias(other_key), cut).hint("merge"),
+        F.col(number).eqNullSafe(F.col(other)) & (F.col(key) == F.col(other_key)), "left",
+    ).drop(other, other_key, key, number)
     names = docs.columns
     schema = docs.schema
 
@@ -444,4 +445,4 @@ def without_repeats(docs: DataFrame, passages: DataFrame, text: str = "text") ->
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
-    return joined.select(*[f"`{c}`" for c in names], "_spans").mapInArrow(run, schema)
+    return joined.select(*[f"`{c}`" for c in names], cut).mapInArrow(run, schema)

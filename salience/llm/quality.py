@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from salience.llm.words import spare
+
 SPACE = "[\\x20\\x09-\\x0D]"
 
 
@@ -42,14 +44,14 @@ def mask_of(names: tuple[str, ...]) -> int:
     return sum(1 << r.bit for r in RULES if r.name in names)
 
 
-def _repeat_words() -> Column:
+def _repeat_words(grams: str) -> Column:
     """Words covered by windows of five words that occur twice or more.
 
     Texts whose windows all differ are told apart by one distinct count.  In
     the others equal windows become neighbours by sorting (window, position),
     and the covered words are summed over the sorted positions.
     """
-    pairs = "sort_array(transform(grams, (g, i) -> struct(g AS g, i AS i)))"
+    pairs = f"sort_array(transform({grams}, (g, i) -> struct(g AS g, i AS i)))"
     places = F.expr(
         f"""aggregate(array({pairs}), array(0), (none, s) ->
             sort_array(transform(filter(s, (x, i) ->
@@ -64,7 +66,7 @@ def _repeat_words() -> Column:
         ),
         lambda a: a.n,
     )
-    return F.when(F.size(F.array_distinct("grams")) == F.size("grams"), F.lit(0).cast("long")).otherwise(covered)
+    return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0).cast("long")).otherwise(covered)
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -79,34 +81,35 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
             "n_stutter", "failed"]
     kept = [c for c in docs.columns if c.lower() not in made]
+    words, lines, codes, grams, told = spare([*kept, *made], "words", "lines", "codes", "grams", "entry")
     content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     split = docs.select(
         *[F.col(f"`{c}`") for c in kept],
-        F.array_remove(F.split(content, f"{SPACE}+"), "").alias("_words"),
-        F.filter(F.split(content, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("_lines"),
+        F.array_remove(F.split(content, f"{SPACE}+"), "").alias(words),
+        F.filter(F.split(content, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias(lines),
         (F.char_length(content) - F.char_length(
             F.regexp_replace(content, "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
     )
     coded = split.select(
         *[F.col(f"`{c}`") for c in kept], "n_symbols",
-        F.size("_words").cast("long").alias("n_words"),
-        F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.transform("_words", lambda w: F.xxhash64(w)).alias("_codes"),
+        F.size(words).cast("long").alias("n_words"),
+        F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        F.size(lines).cast("long").alias("n_lines"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        F.transform(words, lambda w: F.xxhash64(w)).alias(codes),
     )
-    grams = coded.withColumns({
-        "grams": F.expr(
-            """CASE WHEN n_words < 5 THEN array() ELSE
-               transform(slice(_codes, 1, size(_codes) - 4), (c, i) ->
-                   xxhash64(c, _codes[i + 1], _codes[i + 2], _codes[i + 3], _codes[i + 4])) END"""
+    windowed = coded.withColumns({
+        grams: F.expr(
+            f"""CASE WHEN n_words < 5 THEN array() ELSE
+               transform(slice({codes}, 1, size({codes}) - 4), (c, i) ->
+                   xxhash64(c, {codes}[i + 1], {codes}[i + 2], {codes}[i + 3], {codes}[i + 4])) END"""
         ),
         "n_stutter": F.expr(
-            """cast(size(filter(_codes, (c, i) -> i > 0 AND c = _codes[greatest(i - 1, 0)]))
+            f"""cast(size(filter({codes}, (c, i) -> i > 0 AND c = {codes}[greatest(i - 1, 0)]))
                AS long)"""
         ),
-    }).drop("_codes")
-    measured = grams.withColumn("n_repeat_words", _repeat_words()).drop("grams")
+    }).drop(codes)
+    measured = windowed.withColumn("n_repeat_words", _repeat_words(grams)).drop(grams)
     bits = [F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)) for r in RULES]
     failed = bits[0]
     for bit in bits[1:]:
@@ -115,8 +118,8 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     # down, which would copy the measurements into it again and again.
     entry = F.struct(*made[:-1], failed.alias("failed"))
     return measured.select(
-        *[F.col(f"`{c}`") for c in kept], F.explode(F.array(entry)).alias("_entry")
-    ).select(*[F.col(f"`{c}`") for c in kept], "_entry.*")
+        *[F.col(f"`{c}`") for c in kept], F.explode(F.array(entry)).alias(told)
+    ).select(*[F.col(f"`{c}`") for c in kept], f"{told}.*")
 
 
 def verdict(policy: str) -> Column:

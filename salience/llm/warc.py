@@ -9,6 +9,8 @@ from salience.session import cut_lineage
 
 #: Bytes of an offset range that makes a leaf, and children of a node.
 LEAF_BYTES, FAN_OUT = 1 << 18, 8
+#: Numbers of surplus records that make a leaf.
+LEAF_RECORDS = 1024
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
@@ -95,24 +97,49 @@ def mismatching_leaves(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 
 
 def audit(records: DataFrame, replica: DataFrame) -> DataFrame:
-    """Each record of the manifest with the replica's state: intact, corrupt or missing.
+    """Each record with the replica's state: intact, corrupt, moved, missing or surplus.
 
     ``records`` is a :func:`manifest`; ``replica`` has number and digest of what a
-    replica holds.  Both are hashed into trees over the manifest's offset ranges;
-    equal roots end the audit, otherwise records are compared only in leaves that
-    differ.  Null pages and empty bodies are records as others; an empty archive
-    gives no rows.
+    replica holds and, if it tells them, its own ``offset`` of each record, which is
+    then hashed with the digest.  Both are hashed into trees over the manifest's offset
+    ranges, records that the manifest does not know into leaves behind its end; equal
+    roots end the audit, otherwise records are compared only in leaves that differ.
+
+    A record with the right digest at another offset is moved; one that only the
+    replica holds is surplus and has no page_id.  A number told twice alike counts
+    once; told with different digests it is corrupt.  Rows of the replica without a
+    number are left out.  Null pages and empty bodies are records as others; an empty
+    archive gives only surplus rows.
     """
-    placed = cut_lineage(
-        records.select("number", "node").join(replica.select("number", "digest"), "number"))
-    bad = mismatching_leaves(tree(records.select("number", "digest", "node")), tree(placed))
-    suspect = records.join(bad, "node", "left_semi").select("number", "digest").join(
-        placed.select("number", F.col("digest").alias("held")), "number", "left")
-    wrong = suspect.where(~F.col("digest").eqNullSafe(F.col("held"))).select(
-        "number", F.when(F.col("held").isNull(), "missing").otherwise("corrupt").alias("state"))
-    return records.join(wrong, "number", "left").select(
+    placed_by = "offset" in replica.columns
+    at = F.col("offset").cast("long") if placed_by else F.lit(None).cast("long")
+    told = replica.where("number IS NOT NULL").select(
+        F.col("number").cast("long").alias("number"), F.struct("digest", at.alias("at")).alias("entry")
+    ).groupBy("number").agg(F.min("entry").alias("low"), F.max("entry").alias("high")).select(
+        "number", F.when(F.col("low").eqNullSafe(F.col("high")), F.col("low.digest")).otherwise("").alias("held"),
+        F.col("low.at").alias("held_at"))
+    last = records.agg(F.coalesce(F.max("node"), F.lit(-1)).alias("m")).first().m
+    both = cut_lineage(records.select("number", "node", "digest", "offset").join(told, "number", "full").withColumn(
+        "node", F.coalesce("node", last + 1 + F.floor(F.abs("number") / LEAF_RECORDS))))
+
+    def leaves(digest: str, offset: str) -> DataFrame:
+        entry = F.concat_ws(":", F.col(offset).cast("string"), digest) if placed_by else F.col(digest)
+        return both.where(F.col(digest).isNotNull()).select("number", entry.alias("digest"), "node")
+
+    bad = mismatching_leaves(tree(leaves("digest", "offset")), tree(leaves("held", "held_at")))
+    suspect = both.join(bad, "node", "left_semi")
+    moved = ~F.col("held_at").eqNullSafe(F.col("offset")) if placed_by else F.lit(False)
+    state = (
+        F.when(F.col("digest").isNull(), "surplus").when(F.col("held").isNull(), "missing")
+        .when(F.col("held") != F.col("digest"), "corrupt").when(moved, "moved"))
+    wrong = suspect.select("number", "node", "held", "held_at", state.alias("state")).where("state IS NOT NULL")
+    known = records.join(wrong.where("state <> 'surplus'").select("number", "state"), "number", "left").select(
         "page_id", "number", "offset", "length", F.col("node").alias("leaf"), "digest",
         F.coalesce("state", F.lit("intact")).alias("state"))
+    return known.unionByName(wrong.where("state = 'surplus'").select(
+        F.lit(None).cast("long").alias("page_id"), "number", F.col("held_at").alias("offset"),
+        F.lit(None).cast("long").alias("length"), F.col("node").alias("leaf"),
+        F.col("held").alias("digest"), "state"))
 
 
 def damaged_replica(pages: DataFrame, records: DataFrame) -> DataFrame:

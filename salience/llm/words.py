@@ -121,6 +121,14 @@ def windows(hashes: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray,
     return mix(total[inside]), np.flatnonzero(inside)
 
 
+def spare(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores before them until no column has one of them."""
+    used, mark = {c.lower() for c in taken}, "_"
+    while any(mark + n.lower() in used for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def blocks(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of a batch of at most ``BLOCK_BYTES`` of text, or one row."""
     texts = batch.column(batch.schema.get_field_index(column))

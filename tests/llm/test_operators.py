@@ -412,3 +412,43 @@ def test_pipeline_stages_take_effect(spark):
     assert len(names) == 5
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()}
     assert 0 < len(got) < docs.count() and all(len(r.ids) > 0 for r in got.values())
+
+
+def test_audit_tells_surplus_and_moved_records(spark):
+    rng = random.Random(14)
+    pages = [(i, f"http://a/{i}", prose(rng, 3000)) for i in range(60)]
+    records = warc.manifest(spark.createDataFrame(pages, "page_id int, url string, html string"))
+    held = records.select("number", "digest", "offset")
+    more = spark.createDataFrame([(60, "new", 10**7), (None, "none", 0), (7, "twice", 0)], "number long, digest string, offset long")
+    swapped = held.withColumn("offset", F.when(F.col("number") == 20, F.col("offset") + 1).otherwise(F.col("offset")))
+    got = warc.audit(records, swapped.unionByName(more).unionByName(held.where("number = 30"))).collect()
+    assert {r.number: r.state for r in got if r.state != "intact"} == {60: "surplus", 20: "moved", 7: "corrupt"}
+    extra = next(r for r in got if r.state == "surplus")
+    assert (extra.page_id, extra.offset, extra.digest) == (None, 10**7, "new") and len(got) == 61
+    slim = warc.audit(records, held.drop("offset").unionByName(more.select("number", "digest").where("number = 60"))).collect()
+    assert {r.number: r.state for r in slim if r.state != "intact"} == {60: "surplus"}
+    empty = records.limit(0)
+    assert [r.state for r in warc.audit(empty, more.where("number = 60")).collect()] == ["surplus"]
+    # The tree's root is the digest of digests that hashlib gives.
+    one = warc.tree(records.where("node = 0").select("number", "digest", "node")).collect()
+    first = sorted((r.number, r.digest) for r in records.where("node = 0").collect())
+    assert one[0].digest == hashlib.sha256("".join(d for _, d in first).encode()).hexdigest()
+    body = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:0>\r\nWARC-Target-URI: http://a/0\r\nContent-Type: text/html\r\nContent-Length: {len(pages[0][2])}\r\n\r\n{pages[0][2]}\r\n\r\n"
+    assert records.where("number = 0").first().digest == hashlib.sha256(body.encode()).hexdigest()
+
+
+CLASHES = ["grams", "_words", "_Codes", "_lines", "_entry", "__words", "_grams", "_key", "_id", "_doc", "_text", "_spans", "_gone"]
+
+
+def test_stages_take_any_column_names(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    wide = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in CLASHES})
+    for run in (
+        lambda d: quality.ledger(d).drop("failed"),
+        lambda d: jaccard.one_of_each(d, 5, 80),
+        lambda d: passages.without_repeats(d, passages.repeated_passages(d)),
+    ):
+        plain = sorted(tuple(r) for r in run(docs).select("doc_id", "text").collect())
+        got = run(wide)
+        assert sorted(tuple(r) for r in got.select("doc_id", "text").collect()) == plain
+        assert all(got.where(F.col(f"`{c}`") != F.concat(F.lit(c), F.col("doc_id"))).isEmpty() for c in CLASHES)
