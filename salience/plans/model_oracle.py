@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from salience.plans.network_oracle import NETWORK_SQL
-from salience.plans.oracle import EXPR, RANKING_SQL, SAMPLES, areas
+from salience.plans.oracle import EXPR, RANKING_SQL, SAMPLES, areas, split
 
 FOLDED = f"""{SAMPLES}, {EXPR},
 folded AS (
@@ -12,6 +12,8 @@ folded AS (
 MODEL_SQL = {
     "general_importance": RANKING_SQL["permutation_importance"],
     "claimed_runs": RANKING_SQL["permutation_importance"],
+    "roundtrip_scores": f"""WITH {SAMPLES}, {split()}
+SELECT sample_id, output, 0.0::DOUBLE AS moved FROM parts WHERE NOT is_train""",
     "general_change": NETWORK_SQL["prediction_change"],
     "general_sensitivity": f"""SELECT feature_id, sensitivity_e9
 FROM ({RANKING_SQL["sensitivity_importance"]})""",

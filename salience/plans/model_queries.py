@@ -295,6 +295,20 @@ def roundtrip_models(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def roundtrip_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """How far the scores of a reloaded pipeline are from those of the fitted one."""
+    from salience.session import scratch_path
+    from salience.sources.models import load_model, save_model
+
+    train, test = _parts(spark, sf)
+    model, path = models.fit_model("log", train, _width(train), max_iter=30), scratch_path(spark, "model")
+    save_model(model, path)
+    first = scorers.score_with_model(test, model).withColumnRenamed("probability", "first")
+    again = scorers.score_with_model(first, load_model(path))
+    return again.select(
+        "sample_id", "output", F.round(F.abs(F.col("probability") - F.col("first")), 9).alias("moved"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -304,6 +318,6 @@ QUERIES = {
         boosted_sensitivity, surrogate_importance, surrogate_shap, inverse_mapped_shap, inverse_mapped_shap_sampled,
         local_surrogate, fold_evaluation, fold_evaluation_centroid, fold_curve, fold_optimum, model_sweep, method_comparison, kmeans,
         gaussian_mixture, bisecting, power_iteration, cluster_grid, best_cluster,
-        roundtrip_models,
+        roundtrip_models, roundtrip_scores,
     )
 }

@@ -116,6 +116,22 @@ def _nearest(k: int) -> str:
   QUALIFY row_number() OVER (PARTITION BY p ORDER BY d, q) <= {k})"""
 
 
+#: The minimum spanning tree, grown point by point; each step holds every point's nearest grown one.
+TREE = """grown AS (
+  SELECT 0 AS step, point_id AS node, point_id = f.first AS used, coalesce(d, 0) AS best, f.first AS origin
+  FROM points, (SELECT min(point_id) AS first FROM points) f
+  LEFT JOIN pairs ON p = f.first AND q = point_id
+  UNION ALL
+  SELECT step + 1, node, used OR node = next,
+         CASE WHEN NOT used AND node <> next AND d < best THEN d ELSE best END,
+         CASE WHEN NOT used AND node <> next AND d < best THEN next ELSE origin END
+  FROM (SELECT *, first_value(node) OVER (ORDER BY used, best, node) AS next FROM grown
+        WHERE step < (SELECT count(*) - 1 FROM points)) s
+  LEFT JOIN pairs ON p = s.next AND q = s.node),
+tree AS MATERIALIZED (
+  SELECT least(node, origin) AS src, greatest(node, origin) AS dst, best AS cost FROM grown
+  WHERE NOT used QUALIFY row_number() OVER (PARTITION BY step ORDER BY best, node) = 1)"""
+
 NETWORK_SQL = {
     "prediction_change": f"""{BASE}, {CHANGE}
 SELECT sample_id, feature_id::INT AS feature_id, round(avg_change, 9) AS avg_change FROM change""",
@@ -221,4 +237,16 @@ SELECT least(p, q) AS src, greatest(p, q) AS dst, count(*) / 2 AS weight FROM ne
 SELECT component::INT AS component, (SELECT count(DISTINCT p) FROM nearest) AS nodes,
        1.0::DOUBLE AS norm, 0.0::DOUBLE AS residual
 FROM range(4) AS r(component)""",
+    "spanning_tree": f"""WITH RECURSIVE {POINTS}, {PAIRS}, {TREE}
+SELECT src, dst, round(cost, 5) AS cost FROM tree""",
+    "single_linkage": f"""WITH RECURSIVE {POINTS}, {PAIRS}, {TREE},
+kept AS MATERIALIZED (
+  SELECT src, dst FROM tree QUALIFY row_number() OVER (ORDER BY cost DESC, src DESC, dst DESC) > 11),
+ways AS MATERIALIZED (SELECT src AS a, dst AS b FROM kept UNION ALL SELECT dst, src FROM kept),
+reach AS (
+  SELECT point_id AS root, point_id AS node FROM points
+  UNION
+  SELECT r.root, w.b FROM reach r JOIN ways w ON w.a = r.node),
+named AS (SELECT node AS point_id, min(root) AS name FROM reach GROUP BY node)
+SELECT point_id, (dense_rank() OVER (ORDER BY name) - 1)::INT AS cluster FROM named""",
 }
