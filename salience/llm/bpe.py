@@ -235,13 +235,24 @@ def _class_of(codes: list[int]) -> re.Pattern | None:
     return re.compile(f"[{spans}]") if codes else None
 
 
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Coder:
     """Encodes texts and keeps the tokens of the words it has met, up to a bound."""
 
-    def __init__(self, path: str, memory: int = MEMORY):
+    def __init__(self, path: str, memory: int = MEMORY, signs: dict[int, str] | None = None):
         self.vocabulary, self.memory = vocabulary(path), memory
         self.pattern = regex.compile(PATTERN)
-        self.odd = _class_of(sorted(stand_ins()))
+        self.signs = stand_ins() if signs is None else signs
+        self.odd = _class_of(sorted(self.signs))
+        #: Whether all code points of Latin-1 are classed alike, so that such texts need no search.
+        self.plain_latin = min(self.signs, default=256) >= 256
         marks = sorted(map(regex.escape, self.vocabulary.special), key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(marks) + ")") if marks else None
         #: The tokens of each word as little-endian 32-bit numbers.
@@ -249,9 +260,9 @@ class Coder:
 
     def split(self, text: str) -> list[str]:
         """The words of a text without special tokens."""
-        if text.isascii() or self.odd is None or not self.odd.search(text):
+        if self.odd is None or self.plain_latin and _is_latin(text) or not self.odd.search(text):
             return self.pattern.findall(text)
-        return [text[slice(*m.span())] for m in self.pattern.finditer(text.translate(stand_ins()))]
+        return [text[slice(*m.span())] for m in self.pattern.finditer(text.translate(self.signs))]
 
     def pieces(self, text: str) -> list[str]:
         """The words of a text; a special token is a word of its own."""
@@ -331,8 +342,10 @@ def _digest_rows(coder: Coder, doc_id: pa.Array, ids: list[np.ndarray]) -> pa.Re
 
 
 def _map(docs: DataFrame, path: str, text: str, rows, schema: str) -> DataFrame:
+    signs = docs.sparkSession.sparkContext.broadcast(stand_ins())  # a sign for a code point at most
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(path)
+        coder = Coder(path, signs=signs.value)
         for batch in batches:
             for block in blocks(batch):
                 texts = [t or "" for t in block.column(1).to_pylist()]
