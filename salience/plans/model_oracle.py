@@ -14,6 +14,11 @@ MODEL_SQL = {
     "claimed_runs": RANKING_SQL["permutation_importance"],
     "roundtrip_scores": f"""WITH {SAMPLES}, {split()}
 SELECT sample_id, output, 0.0::DOUBLE AS moved FROM parts WHERE NOT is_train""",
+    "roundtrip_breaks": f"""WITH {SAMPLES}, {EXPR}
+SELECT 'say "' || sample_id || '",' || chr(10) || chr(10) || 'not more' || chr(10) AS sample_id, output,
+       'g' || feature_id || ',' || chr(10) || feature_id AS feature_name, round(value, 6) AS value
+FROM expr WHERE feature_id BETWEEN CASE WHEN sample_id % 3 > 0 THEN 0 ELSE 12 END
+                               AND CASE WHEN sample_id % 3 > 0 THEN 23 ELSE 35 END""",
     "general_change": NETWORK_SQL["prediction_change"],
     "general_sensitivity": f"""SELECT feature_id, sensitivity_e9
 FROM ({RANKING_SQL["sensitivity_importance"]})""",

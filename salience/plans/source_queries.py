@@ -48,6 +48,20 @@ def roundtrip_wide_csv(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def roundtrip_breaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Two sets of files with differing headers, ids with line breaks and quotes, read back as one."""
+    data = fixtures.samples(spark, sf)
+    path = scratch_path(spark, "breaks")
+    for part, first, keep in (("a", 0, F.col("sample_id") % 3 > 0), ("b", 12, F.col("sample_id") % 3 == 0)):
+        rows = data.where(keep).select(
+            F.concat(F.lit('say "'), F.col("sample_id").cast("string"), F.lit('",\n\nnot more\n')).alias("sample_id"),
+            "output", F.slice("features", first + 1, 24).alias("features"))
+        tables.write_wide_csv(rows.repartition(2), [f"g{j},\n{j}" for j in range(first, first + 24)], f"{path}/{part}")
+    back, features = tables.read_csv_folder(spark, f"{path}/*")
+    return matrix.to_long(back).where("value IS NOT NULL").join(features, "feature_id").select(
+        "sample_id", "output", "feature_name", F.round("value", 6).alias("value"))
+
+
 def roundtrip_tsv(spark: SparkSession, sf: str) -> DataFrame:
     rows = fixtures.load(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
     path = scratch_path(spark, "tsv")
@@ -110,7 +124,7 @@ def claimed_runs(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        size_chunks, roundtrip_split_csv, roundtrip_wide_csv, roundtrip_tsv, roundtrip_survival,
+        size_chunks, roundtrip_split_csv, roundtrip_wide_csv, roundtrip_breaks, roundtrip_tsv, roundtrip_survival,
         roundtrip_sweep, roundtrip_json, observed_counts, claimed_runs,
     )
 }

@@ -4,21 +4,26 @@ from __future__ import annotations
 
 import csv
 import io
+from collections.abc import Iterator
 from urllib.parse import quote
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window as W, functions as F
 
 from salience.functions.expressions import int_array
 from salience.operators.scan import scan
+from salience.session import cut_lineage
 
+#: Characters of one record at most.
+RECORD_CHARACTERS = 1 << 26
 SURVIVAL_SCHEMA = (
     "sampleName string, survival_day double, survival_event int, ki67_status int"
 )
 
 
 def _fields_of(header: str) -> list[str]:
-    return next(csv.reader([header]))
+    return next(csv.reader(io.StringIO(header, newline="")))
 
 
 def _fields(line: Column) -> Column:
@@ -33,25 +38,55 @@ def _fields(line: Column) -> Column:
 def _quoted(field: Column) -> Column:
     """A field as it is, or in quotes if a reader would take it apart otherwise."""
     whole = F.concat(F.lit('"'), F.replace(field, F.lit('"'), F.lit('""')), F.lit('"'))
-    return F.when(field.rlike('[,"]'), whole).otherwise(field)
+    return F.when(field.rlike('[,"\\r\\n]'), whole).otherwise(field)
 
 
-def _parse_lines(lines: DataFrame, header: str, names: list[str]) -> DataFrame:
-    """Data lines to samples, features in the order of ``names`` (null if absent)."""
-    own = {n: i for i, n in enumerate(_fields_of(header)[2:])}
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, at, line, value)``: the records of CSV text, which may hold line breaks in quotes.
+
+    The text is read once and written as a table.  A line with an odd number of quotes
+    opens or closes a field that goes on; how many such lines come before a line tells
+    whether it lies in one.  Counts of earlier blocks of a file come through a join on
+    (file, block), so no task holds a whole file.  Lines of one record are joined by a
+    line feed; one of over ``RECORD_CHARACTERS`` raises an error, as its quote is not closed.
+    """
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    lines = cut_lineage(spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("line"), "value", (quotes % 2).cast("bigint").alias("odd")))
+    if lines.where("odd = 1").isEmpty():
+        return lines.drop("odd")
+    earlier = W.partitionBy("file").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    blocks = lines.groupBy("file", "at").agg(F.sum("odd").alias("n")).select(  # a row for each block
+        "file", "at", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = W.partitionBy("file", "at").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
+    upto = lines.join(blocks, ["file", "at"]).withColumn("upto", F.col("before") + F.sum("odd").over(inside))
+    # The k-th field that goes on: its first line makes the count odd, its last one even.
+    span = F.when(F.col("upto") % 2 == 1, (F.col("upto") + 1) / 2).when(F.col("odd") == 1, F.col("upto") / 2)
+    placed = upto.withColumn("span", span.cast("bigint"))
+    parts = F.sort_array(F.collect_list(F.struct("at", "line", "value")))
+    size = F.sum(F.length("value"))
+    joined = placed.where("span IS NOT NULL").groupBy("file", "span").agg(
+        F.when(size > RECORD_CHARACTERS, F.raise_error(F.concat(F.lit("a quote is not closed in "), F.col("file"))))
+        .otherwise(parts).alias("parts"))
+    return placed.where("span IS NULL").select("file", "at", "line", "value").unionByName(joined.select(
+        "file", F.get("parts", F.lit(0))["at"].alias("at"), F.get("parts", F.lit(0))["line"].alias("line"),
+        F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("value")))
+
+
+def _parse(records: DataFrame, slots: Column) -> DataFrame:
+    """Records to samples; ``slots`` tells for each feature its place among the cells, or -1."""
     fields = F.col("_fields")
-    slots = int_array([own.get(n, -1) for n in names])
-    data = lines.where((F.col("value") != header) & (F.length("value") > 0))
-    cells = data.select(_fields(F.col("value")).alias("_fields")).select(
+    cells = records.select(_fields(F.col("value")).alias("_fields"), slots.alias("_slots")).select(
         F.get(fields, F.lit(0)).alias("sample_id"),
         F.get(fields, F.lit(1)).cast("double").cast("int").alias("output"),
-        F.slice(fields, 3, max(len(own), 1)).alias("_cells"),
+        F.slice(fields, 3, F.greatest(F.size(fields) - 2, F.lit(1))).alias("_cells"), "_slots",
     )
     return cells.select(
         "sample_id",
         "output",
         F.transform(
-            slots,
+            "_slots",
             lambda i: F.when(i >= 0, F.nullif(F.get(F.col("_cells"), i), F.lit(""))).cast("double"),
         ).alias("features"),
     )
@@ -66,43 +101,33 @@ def read_wide_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     """One wide CSV: ``(samples, features_dim)``.
 
     The first column is the sample id and the next the label, whatever it is
-    called.  Fields may be quoted, but not hold line breaks.  Lines are read as text and split into an array, so a header with
-    many thousand columns never becomes a schema.
+    called.  Fields may be quoted and then hold commas, quotes and line breaks.
+    Records are split into an array, so a header with many thousand columns never
+    becomes a schema.
     """
-    header = spark.read.text(path).first()["value"]
-    names = _fields_of(header)[2:]
-    return _parse_lines(spark.read.text(path), header, names), _names(spark, names)
+    return read_csv_folder(spark, path)
 
 
 def read_csv_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Folder of CSV chunks, united by column name; missing cells are null."""
-    lines = spark.read.text(folder).select("value", F.col("_metadata.file_path").alias("file"))
-    starts = spark.read.text(folder).select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("at"),
-        F.monotonically_increasing_id().alias("line"),
-    )
-    heads = (
-        starts.where(F.col("at") == 0)
-        .groupBy("file")
-        .agg(F.min_by("value", "line").alias("header"))
-        .groupBy("header")
-        .agg(F.collect_list("file").alias("files"))
-        .orderBy("header")
-        .collect()
-    )
-    names: list[str] = []
-    for head in heads:
-        seen = set(names)
-        names += [n for n in _fields_of(head["header"])[2:] if n not in seen]
-    if len(heads) == 1:
-        return _parse_lines(lines, heads[0]["header"], names), _names(spark, names)
-    parts = [_parse_lines(spark.read.text(h["files"]), h["header"], names) for h in heads]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole, _names(spark, names)
+    """Folder of CSV chunks, united by column name; missing cells are null.
+
+    The first record of a file is its header.  Only the different headers come to
+    the driver; with several, each file's places of the features come through a join
+    on the file.
+    """
+    records = _records(spark, folder).where(F.length("value") > 0)
+    heads = cut_lineage(records.where(F.col("at") == 0).groupBy("file").agg(
+        F.min_by("value", F.struct("at", "line")).alias("header")))
+    headers = [r[0] for r in heads.select("header").distinct().orderBy("header").collect()]
+    own = {h: {n: i for i, n in enumerate(_fields_of(h)[2:])} for h in headers}
+    names = list(dict.fromkeys(n for h in headers for n in _fields_of(h)[2:]))
+    places = {h: [own[h].get(n, -1) for n in names] for h in headers}
+    if len(headers) == 1:
+        data = records.where(F.col("value") != headers[0])
+        return _parse(data, int_array(places[headers[0]])), _names(spark, names)
+    table = spark.createDataFrame(list(places.items()), "header string, slots array<int>")
+    data = records.join(heads, "file").where(F.col("value") != F.col("header"))
+    return _parse(data.join(table, "header"), F.col("slots")), _names(spark, names)
 
 
 def write_wide_csv(samples: DataFrame, names: list[str], path: str) -> None:
@@ -116,9 +141,17 @@ def write_wide_csv(samples: DataFrame, names: list[str], path: str) -> None:
     text = io.StringIO()
     csv.writer(text, lineterminator="").writerow(["sampleID", "output", *names])
     header = text.getvalue()
-    samples.select(line.alias(header)).write.mode("overwrite").option("header", True).option(
-        "quote", ""
-    ).option("sep", "\u0001").csv(path)
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        schema = pa.schema([("value", pa.string())]) if first is None else first.schema
+        yield pa.RecordBatch.from_arrays([pa.array([header], schema.field(0).type)], schema=schema)
+        if first is not None:
+            yield first
+            yield from batches
+
+    # As plain text: a CSV writer would quote once more.
+    samples.select(line.alias("value")).mapInArrow(headed, "value string").write.mode("overwrite").text(path)
 
 
 def with_chunk_ids(df: DataFrame, order: str, size: Column, limit: int) -> DataFrame:

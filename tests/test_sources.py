@@ -1,3 +1,5 @@
+import pytest
+
 from salience.sources import tables
 
 
@@ -70,3 +72,28 @@ def test_counts_are_observed_while_writing(spark, tmp_path):
     assert seen == {"n_rows": 7, "n_columns": 2} and table.count() == 7
     _, none = tables.store_observed(rows.limit(0), str(tmp_path / "b"))
     assert none == {"n_rows": 0, "n_columns": 0}
+
+
+def test_records_go_on_over_lines_and_blocks(spark, tmp_path, monkeypatch):
+    import csv
+    import random
+
+    rng = random.Random(3)
+    rows = [[rng.choice(["x", "a\nb", 'q"\n\n"q', ",\n,"]) + str(i), str(i % 2), "0.5", ""] for i in range(3000)]
+    for part in range(2):
+        with open(tmp_path / f"{part}.csv", "w", newline="") as file:
+            writer = csv.writer(file, lineterminator="\n")
+            writer.writerow(["id", "y", "one\nline", "two"])
+            writer.writerows(rows[part::2])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        table, names = tables.read_csv_folder(spark, str(tmp_path))
+        got = {r.sample_id: (r.output, r.features) for r in table.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {r[0]: (int(r[1]), [0.5, None]) for r in rows}
+    assert [r.feature_name for r in names.orderBy("feature_id").collect()] == ["one\nline", "two"]
+    monkeypatch.setattr(tables, "RECORD_CHARACTERS", 40)
+    (tmp_path / "open.csv").write_text('id,y,"one\n' + "never closed\n" * 9)
+    with pytest.raises(Exception, match="a quote is not closed in .*open.csv"):
+        tables.read_csv_folder(spark, str(tmp_path))
