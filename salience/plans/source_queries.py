@@ -104,7 +104,7 @@ def roundtrip_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def observed_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Row count and width of the matrix, reported with the load itself."""
+    """Row count and width of the matrix, from the pass that stores it."""
     _, seen = tables.store_observed(fixtures.samples(spark, sf), scratch_path(spark, "matrix"))
     return spark.createDataFrame([(seen["n_rows"], seen["n_columns"])], "n_rows bigint, n_columns int")
 

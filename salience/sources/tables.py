@@ -9,7 +9,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from salience.functions.expressions import int_array
 from salience.operators.scan import scan
@@ -222,17 +222,18 @@ def load_table(
 
 
 def store_observed(samples: DataFrame, path: str) -> tuple[DataFrame, dict[str, int]]:
-    """Write samples as Parquet and count rows and features while they pass.
+    """Write samples as Parquet together with each row's number of features, and count them.
 
-    Returns the written table and ``n_rows`` and ``n_columns`` (0 without rows); the
-    input is read once.
+    Returns the written table and ``n_rows`` and ``n_columns`` (0 without rows).  The
+    input is read once; the counts read one run-length encoded column of what was
+    written.  (An ``Observation`` would leave the session in a state in which closures of
+    MLlib models can no longer be shipped, so none is used.)
     """
-    seen = Observation()
-    samples.observe(
-        seen, F.count(F.lit(1)).alias("n_rows"),
-        F.coalesce(F.max(F.size("features")), F.lit(0)).alias("n_columns"),
-    ).write.parquet(path)
-    return samples.sparkSession.read.schema(samples.schema).parquet(path), dict(seen.get)
+    samples.withColumn("_width", F.size("features")).write.parquet(path)
+    written = samples.sparkSession.read.parquet(path)
+    seen = written.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.max("_width"), F.lit(0)).alias("n_columns")).first()
+    return written.drop("_width"), seen.asDict()
 
 
 def _create_new(spark: SparkSession, path: str) -> bool:
