@@ -1,7 +1,8 @@
 """Linear reducers: PCA (and linear kernel PCA), truncated SVD, NMF.
 
 A reducer is a driver-side ``Reducer`` of d x K loadings and a mean vector, the
-size of a fitted MLlib model.
+size of a fitted MLlib model.  Loadings come from a randomised range finder over the
+rows, so no d x d matrix is formed; each one's largest entry is positive.
 """
 
 from __future__ import annotations
@@ -11,15 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import StandardScaler
+import pyarrow as pa
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.stat import Summarizer
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from salience.functions.expressions import whole_vector
-from salience.operators.matrix import to_long
+from salience.functions.expressions import complete, whole_vector
+from salience.operators import rangefinder
+from salience.operators.matrix import feature_count, to_long
 
 
 @dataclass
@@ -52,13 +52,14 @@ class Reducer:
         return w, float(intercept - self.mean @ w)
 
 
-def _vectors(samples: DataFrame) -> DataFrame:
-    return samples.select(whole_vector(samples).alias("v"))
+def _rows(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    if batch.num_rows:
+        yield batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
 
 
-def _fit_svd(vectors: DataFrame, k: int) -> np.ndarray:
-    rows = MLUtils.convertVectorColumnsFromML(vectors, *vectors.columns)
-    return RowMatrix(rows).computeSVD(k, computeU=False).V.toArray()
+def _loadings(samples: DataFrame, k: int, mean: np.ndarray) -> np.ndarray:
+    cells = samples.select(complete(F.col("features"), F.col("sample_id")).alias("features"))
+    return rangefinder.singular_vectors(cells, _rows, len(mean), k, mean)[1]
 
 
 def fit_pca(samples: DataFrame, k: int) -> Reducer:
@@ -66,17 +67,15 @@ def fit_pca(samples: DataFrame, k: int) -> Reducer:
 
     A matrix of a rank below ``k`` gives as many components as it has.
     """
-    vectors = _vectors(samples)
+    vectors = samples.select(whole_vector(samples).alias("v"))
     mean = vectors.agg(Summarizer.mean(F.col("v")).alias("m")).first()["m"].toArray()
-    scaler = StandardScaler(withMean=True, withStd=False, inputCol="v", outputCol="c")
-    centred = scaler.fit(vectors).transform(vectors).select("c")
-    return Reducer(mean, _fit_svd(centred, k))
+    return Reducer(mean, _loadings(samples, k, mean))
 
 
 def fit_svd(samples: DataFrame, k: int) -> Reducer:
     """Truncated SVD of the uncentred rows."""
-    loadings = _fit_svd(_vectors(samples), k)
-    return Reducer(np.zeros(loadings.shape[0]), loadings)
+    none = np.zeros(feature_count(samples))
+    return Reducer(none, _loadings(samples, k, none))
 
 
 REDUCERS = {"PCA": fit_pca, "KernelPCA": fit_pca, "SVD": fit_svd}
