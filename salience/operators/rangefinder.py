@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 #: Bytes of one chunk of a partial sum, and partial sums that meet in one group.
 CHUNK_BYTES, FAN_IN = 1 << 20, 32
@@ -24,8 +24,6 @@ Rows = Callable[[pa.RecordBatch], Iterator[np.ndarray]]
 
 def gram_product(table: DataFrame, rows: Rows, block: np.ndarray, centre: np.ndarray | None = None) -> np.ndarray:
     """``(A - centre)ᵀ (A - centre) block``, where ``rows`` makes rows of A from a batch."""
-    from pyspark.sql import functions as F
-
     spark = table.sparkSession
     told = spark.sparkContext.broadcast((block, 0.0 if centre is None else centre))
     step = max(1, CHUNK_BYTES // (8 * block.shape[1]))
@@ -87,13 +85,15 @@ def singular_vectors(
     vectors, one pass a round, until ``AᵀA v - s² v`` is below ``tolerance`` of the largest
     s² for each of them, or for ``rounds`` passes.  Fewer come back when the rank is
     lower (s above 1e-7 of the largest).  Each vector's largest entry is positive.  A
-    table without rows gives none.
+    table without rows, or rows without columns, give none.
     """
     size = min(width, k + oversample)
     fresh = _orthonormal(np.random.default_rng(seed).normal(size=(width, size)), None, 1e-12)
     basis, products = np.zeros((width, 0)), np.zeros((width, 0))
     vectors, squares = basis, np.zeros(0)
     for _ in range(rounds):
+        if not fresh.shape[1]:
+            break
         basis = np.hstack([basis, fresh])
         products = np.hstack([products, gram_product(table, rows, fresh, centre)])
         inner = basis.T @ products
@@ -107,8 +107,6 @@ def singular_vectors(
         if basis.shape[1] >= BLOCKS * size:
             basis, products = vectors, images
         fresh = _orthonormal(residual, basis, 1e-13 * top)
-        if not fresh.shape[1]:
-            break
     kept = np.flatnonzero(squares[:k] > 1e-14 * squares[:1].sum())
     vectors = vectors[:, kept]
     signs = np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(len(kept))]) if len(kept) else np.ones(0)

@@ -40,3 +40,5 @@ def test_low_rank_and_no_rows(spark):
     assert reduction.fit_svd(_table(spark, x), 5).loadings.shape == (20, 2)
     none = _table(spark, x).limit(0).select("features")
     assert rangefinder.singular_vectors(none, reduction._rows, 20, 3)[1].shape == (20, 0)
+    empty = _table(spark, x).select("features")
+    assert rangefinder.singular_vectors(empty, reduction._rows, 0, 3)[1].shape == (0, 0)
