@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,19 +12,22 @@ from pyspark.sql import functions as F
 
 from salience.llm.passages import _common
 from salience.llm.words import LETTERS, Words, blocks
+from salience.operators.rangefinder import singular_vectors
 
 #: Hashed terms.
 TERMS = 1 << 14
 SHIFT = np.uint64(64 - 14)
 #: Words in a passage of the document counts, and in the windows of the search (each moves by half).
 PASSAGE, WINDOWS = 32, (16, 32, 64)
-#: Benchmark items that one pass over the documents looks for, and pieces of items
-#: that share a latent space.
-ITEMS, PIECES = 4096, 256
-#: Share of an item's mass that makes a window a candidate at any cosine.  An item has
-#: at most 1.5 times its window's words, so three windows cover a copy and one of them
-#: holds a third of it.
-MASS = 0.33
+#: Benchmark items that one pass over the documents looks for.
+ITEMS = 4096
+#: Dimensions of the latent space, passes of its fit, passages that are one dense block.
+RANK, ROUNDS, DENSE = 384, 2, 256
+#: Cosine inside the latent space that makes a window a candidate, the share of a
+#: piece's latent length along it that does so at any cosine, and the share without
+#: which none is.  A window moves by half of itself and an item has at most 1.5 times
+#: its words, so one window holds two thirds of a copy.
+COSINE, MASS, LEAST = 0.45, 0.5, 0.33
 STEP = min(WINDOWS) // 2
 
 
@@ -70,34 +74,50 @@ def _document_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
     return counts[:TERMS], int(counts[TERMS])
 
 
-def fit_weights(docs: DataFrame, items: DataFrame) -> np.ndarray:
-    """Inverse document frequency of each term over every passage of all documents and items."""
-    texts = items.select("text").where("text is not null")
-    counts, passages = _document_counts(
-        docs.select("text").where("text is not null").unionByName(texts))
-    return np.append(np.log((1 + passages) / (1 + counts)), 0)
+@dataclass
+class Space:
+    """Latent space: the row of each hashed term in a basis that has the weights in it.
+
+    The last row of the basis is empty, for terms that no item has.
+    """
+
+    row_of: np.ndarray
+    basis: np.ndarray
+
+    def of(self, terms: np.ndarray) -> np.ndarray:
+        """Latent coordinates of a passage of these terms."""
+        return self.basis[self.row_of[terms]].sum(axis=0)
 
 
-def space_of(pieces: list[np.ndarray], weights: np.ndarray) -> dict:
-    """The latent space of some pieces' terms, and the pieces in it.
+def fit_space(docs: DataFrame, items: DataFrame, rank: int = RANK) -> Space:
+    """A randomised SVD of the benchmark's TF-IDF passages, weighted by the whole corpus.
 
-    Singular vectors of the TF-IDF rows of the pieces; their number follows the
-    pieces, so the space holds each piece whole.  The basis has a row for each term
-    that the pieces use and an empty one for all others; ``row_of`` names them.
+    Inverse document frequencies are over every passage of all documents and items.
+    The rows of the SVD are the items' pieces at length one, made by tasks and never
+    collected; its columns are the hashed terms that items have.
     """
-    used = np.unique(np.concatenate(pieces))
+    texts = items.select("text").where("text is not null")
+    held, pieces = _document_counts(texts)
+    counts, passages = _document_counts(docs.select("text").where("text is not null"))
+    used = np.flatnonzero(held)
     row_of = np.full(TERMS + 1, len(used), np.int32)
     row_of[used] = np.arange(len(used))
-    rows = np.stack([np.bincount(row_of[p], minlength=len(used)) for p in pieces]) * weights[used]
-    unit = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
-    values, turn = np.linalg.eigh(unit @ unit.T)
-    kept = values > 1e-9
-    basis = unit.T @ (turn[:, kept] / np.sqrt(values[kept]))
-    latent = rows @ basis
-    size = np.linalg.norm(latent, axis=1)
-    return {"row_of": row_of, "size": size.astype(np.float32),
-            "basis": np.vstack([basis * weights[used][:, None], np.zeros((1, kept.sum()))]).astype(np.float32),
-            "vectors": (latent / np.maximum(size, 1e-9)[:, None]).astype(np.float32)}
+    weights = np.log((1 + passages + pieces) / (1 + counts[used] + held[used]))
+
+    def rows(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for block in blocks(batch):
+            words = Words(block.column(0), LETTERS)
+            terms = row_of[(words.hashes(lower=True) >> SHIFT).astype(np.int64)]
+            ends = [(a + low, a + high) for a, b in zip(words.first[:-1], words.first[1:], strict=True) if b > a
+                    for low, high in pieces_of(int(b - a))]
+            for at in range(0, len(ends), DENSE):
+                part = [np.bincount(terms[a:b], minlength=len(used)) for a, b in ends[at : at + DENSE]]
+                dense = np.stack(part) * weights
+                yield dense / np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
+
+    vectors = singular_vectors(texts, rows, len(used), rank, rounds=ROUNDS)[1]
+    basis = np.vstack([vectors * weights[:, None], np.zeros((1, vectors.shape[1]))])
+    return Space(row_of, basis.astype(np.float32))
 
 
 def window_of(length: int) -> int:
@@ -112,22 +132,21 @@ def pieces_of(length: int) -> list[tuple[int, int]]:
     return [(a, min(a + size, length)) for a in first]
 
 
-def item_block(rows: list[tuple[int, str]], weights: np.ndarray) -> dict:
-    """Items in plain arrays, to broadcast: words, answers, latent spaces of their pieces."""
+def item_block(rows: list[tuple[int, str]], space: Space) -> dict:
+    """Items in plain arrays, to broadcast: words, answers, latent vectors of their pieces."""
     words = Words(pa.array([t or "" for _, t in rows], pa.string()), LETTERS)
     hashes = words.hashes(lower=True)
     own = [hashes[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
     pieces = [(k, w[a:b]) for k, w in enumerate(own) if len(w) for a, b in pieces_of(len(w))]
-    spaces = []
-    for low in range(0, len(pieces), PIECES):
-        part = pieces[low : low + PIECES]
-        space = space_of([(w >> SHIFT).astype(np.int64) for _, w in part], weights)
-        sizes = np.array([window_of(len(w)) for _, w in part])
-        of_size = {s: np.flatnonzero(sizes == s) for s in WINDOWS if (sizes == s).any()}
-        spaces.append(space | {"of_size": of_size, "item": np.array([k for k, _ in part])})
-    return {"ids": [i for i, _ in rows], "words": own, "spaces": spaces,
+    nearest = np.array([window_of(len(w)) for _, w in pieces])
+    latent = np.array([space.of((w >> SHIFT).astype(np.int64)) for _, w in pieces])
+    latent = latent.reshape(len(pieces), space.basis.shape[1])
+    size = np.linalg.norm(latent, axis=1)
+    return {"ids": [i for i, _ in rows], "words": own, "size": size,
+            "of_size": {s: np.flatnonzero(nearest == s) for s in WINDOWS if (nearest == s).any()},
+            "item": np.array([k for k, _ in pieces]),
+            "vectors": latent / np.maximum(size, 1e-9)[:, None],
             "kinds": [np.unique(w, return_counts=True) for w in own],
-            "squares": (weights**2).astype(np.float32),
             "answers": [w[-max(3, len(w) // 5) :] for w in own]}
 
 
@@ -148,48 +167,44 @@ def _places(
 
 
 def _close(
-    space: dict, laid: np.ndarray, mass: np.ndarray, at: np.ndarray, owner: np.ndarray, cosine: float
+    space: Space, items: dict, laid: np.ndarray, at: np.ndarray, owner: np.ndarray, cosine: float
 ) -> Iterator[tuple[int, list[tuple[int, int, int, float]]]]:
     """By window size, the windows (row, item, first word, cosine) that are candidates."""
-    places = space["row_of"][laid].reshape(-1, STEP)
-    basis = space["basis"]
-    total = basis[places[:, 0]]
+    places = space.row_of[laid].reshape(-1, STEP)
+    total = space.basis[places[:, 0]]
     for k in range(1, STEP):
-        total += basis[places[:, k]]
-    for size, own in space["of_size"].items():
+        total += space.basis[places[:, k]]
+    for size, own in items["of_size"].items():
         width = size // STEP
-        vectors, least = space["vectors"][own].T, MASS * space["size"][own]
+        vectors, whole = items["vectors"][own].T, items["size"][own]
         starts = np.flatnonzero((np.arange(len(owner)) - at[owner]) % (width // 2) == 0)
         ends = np.minimum(starts + width, at[owner[starts] + 1])
         close = []
         for low in range(0, len(starts), 2048):
             s, e = starts[low : low + 2048], ends[low : low + 2048]
-            latent, norm = total[s], mass[s]
+            latent = total[s]
             for k in range(1, width):
                 inside = np.flatnonzero(s + k < e)
                 latent[inside] += total[s[inside] + k]
-                norm[inside] += mass[s[inside] + k]
-            # Repeated words of a piece weigh more in its own space than in the sum.
-            norm = np.sqrt(np.maximum(np.maximum(norm, (latent**2).sum(axis=1)), 1e-9))
+            norm = np.maximum(np.linalg.norm(latent, axis=1), 1e-9)
             near = latent @ vectors
-            i, j = np.nonzero(near >= np.minimum(cosine * norm[:, None], least))
+            wanted = np.minimum(np.maximum(cosine * norm[:, None], LEAST * whole), MASS * whole)
+            i, j = np.nonzero((near >= wanted) & (near > 0))
             row = owner[s[i]]
-            close += zip(row.tolist(), space["item"][own[j]].tolist(), ((s[i] - at[row]) * STEP).tolist(), (near[i, j] / norm[i]).tolist(), strict=True)
+            close += zip(row.tolist(), items["item"][own[j]].tolist(), ((s[i] - at[row]) * STEP).tolist(), (near[i, j] / norm[i]).tolist(), strict=True)
         yield size, close
 
 
 def _find(
-    texts: pa.Array, items: dict, cosine: float, coverage: float
+    texts: pa.Array, space: Space, items: dict, cosine: float, coverage: float
 ) -> list[tuple[int, int, float, float, int, int]]:
     """(row, item, cosine, coverage, start, end) of the best place of each leaked item."""
     words, hashes, laid, at = _terms(texts, STEP)
     if not len(laid):
         return []
     owner = np.repeat(np.arange(words.n), np.diff(at))
-    mass = items["squares"][laid].reshape(-1, STEP).sum(axis=1)
     best: dict[tuple[int, int], tuple[float, float, int, int]] = {}
-    search = (x for space in items["spaces"] for x in _close(space, laid, mass, at, owner, cosine))
-    for size, close in search:
+    for size, close in _close(space, items, laid, at, owner, cosine):
         for row, item, first, last, likeness in _places(close, size):
             wanted = items["words"][item]
             n = int(words.first[row + 1] - words.first[row])
@@ -211,28 +226,30 @@ def _find(
     return [(r, items["ids"][k], c, p, s, e) for (r, k), (p, c, s, e) in sorted(best.items())]
 
 
-def _item_blocks(items: DataFrame, weights: np.ndarray) -> Iterator[dict]:
+def _item_blocks(items: DataFrame, space: Space) -> Iterator[dict]:
     """The items in blocks of bounded size, in the order of their ids."""
     rows = items.select(F.col("item_id").cast("long"), "text").where("text is not null")
     block: list[tuple[int, str]] = []
     for row in rows.sort("item_id", "text").toLocalIterator():
         block.append((row[0], row[1]))
         if len(block) == ITEMS:
-            yield item_block(block, weights)
+            yield item_block(block, space)
             block = []
     if block:
-        yield item_block(block, weights)
+        yield item_block(block, space)
 
 
 def leaks(
-    docs: DataFrame, items: DataFrame, cosine: float = 0.15, coverage: float = 0.6
+    docs: DataFrame, items: DataFrame, cosine: float = COSINE, coverage: float = 0.6, rank: int = RANK
 ) -> DataFrame:
     """doc_id, item_id, cosine, coverage, start_word and end_word of leaked items.
 
     Documents are searched in overlapping windows of about the length of an item, or
-    of each of its overlapping pieces if it has over 64 words.  A window whose latent
-    vector has a cosine of ``cosine`` with one is a candidate, and so is one that
-    holds a third of its mass: every exact copy is, however large the benchmark.  The words around it must hold a common subsequence of ``coverage``
+    of each of its overlapping pieces if it has over 64 words.  Both are compared in the
+    latent space alone, so terms that no item has do not count: a window whose vector
+    has a cosine of ``cosine`` with the piece's is a candidate, and so is one that holds
+    half of the piece's length.  The words around it must hold a common subsequence
+    of ``coverage``
     of the item's words, and half of the item's answer (its last fifth, three
     words at least) in order.  Words are runs of letters and digits, without case
     of A-Z.  Each document names an item once, at its best place.
@@ -241,19 +258,20 @@ def leaks(
     results; a null doc_id is given as null.  Without items or documents there are
     no rows.
     """
-    weights = fit_weights(docs, items)
+    space = fit_space(docs, items, rank)
     spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(space)  # TERMS x RANK at most
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     schema = "doc_id long, item_id long, cosine double, coverage double, start_word int, end_word int"
     out = spark.createDataFrame([], schema)
-    for block in _item_blocks(items, weights):
+    for block in _item_blocks(items, space):
         told = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
             block = told.value
             for batch in batches:
                 for part in blocks(batch):
-                    rows = _find(part.column(1), block, cosine, coverage)
+                    rows = _find(part.column(1), shared.value, block, cosine, coverage)
                     ids = part.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
                     columns = list(zip(*rows, strict=True)) or [()] * 6
                     kinds = [pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.int32()]
@@ -267,13 +285,14 @@ def leaks(
 
 
 def without_leaks(
-    docs: DataFrame, items: DataFrame, cosine: float = 0.15, coverage: float = 0.6
+    docs: DataFrame, items: DataFrame, cosine: float = COSINE, coverage: float = 0.6, rank: int = RANK
 ) -> DataFrame:
     """The rows, with all their columns, in which :func:`leaks` finds no item."""
-    weights = fit_weights(docs, items)
+    space = fit_space(docs, items, rank)
     spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(space)  # TERMS x RANK at most
     at = docs.columns.index("text")
-    for block in _item_blocks(items, weights):
+    for block in _item_blocks(items, space):
         told = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
@@ -281,7 +300,7 @@ def without_leaks(
             for batch in batches:
                 for part in blocks(batch):
                     clean = np.ones(part.num_rows, bool)
-                    clean[[r[0] for r in _find(part.column(at), block, cosine, coverage)]] = False
+                    clean[[r[0] for r in _find(part.column(at), shared.value, block, cosine, coverage)]] = False
                     yield part.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)

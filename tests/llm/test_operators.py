@@ -331,6 +331,70 @@ def test_exact_copies_are_found_in_a_large_benchmark(spark):
     assert all(i == k for i, k in got if k < 1500)
 
 
+def _subsequence(a, b):
+    """Length of the longest common subsequence, by the plain table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        above, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
+    return row[-1]
+
+
+def _leaked(text, item):
+    """Whether a text holds 60 % of an item's words and half of its answer in order."""
+    text, item = text.split(), item.split()
+    answer = item[-max(3, len(item) // 5) :]
+    return _subsequence(item, text) >= 0.6 * len(item) and 2 * _subsequence(answer, text) >= len(answer)
+
+
+@pytest.mark.parametrize("rank", [decontaminate.RANK, 96])
+def test_paraphrases_equal_brute_force(spark, rank):
+    """Items with a third of the words replaced, dropped or inserted, in a space of full and of reduced rank."""
+    rng = random.Random(21)
+    items = [(i, prose(rng, rng.choice([14, 24, 32, 45, 64, 120]), 3000)) for i in range(200)]
+    texts = []
+    for _, item in items[:60]:
+        own = item.split()
+        changed = [
+            [f"w{rng.randrange(3000)}" if rng.random() < 0.25 else w for w in own],
+            [w for w in own if rng.random() > 0.2],
+            [x for w in own for x in ([w, f"w{rng.randrange(3000)}"] if rng.random() < 0.3 else [w])],
+        ]
+        texts += [f"{prose(rng, 60, 3000)} {' '.join(c)} {prose(rng, 40, 3000)}" for c in changed]
+    texts += [prose(rng, 200, 3000) for _ in range(60)]
+    want = {(d, i) for d, t in enumerate(texts) for i, item in items if set(item.split()) & set(t.split()) and _leaked(t, item)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = decontaminate.leaks(docs, spark.createDataFrame(items, "item_id int, text string"), rank=rank).collect()
+    got = {(r.doc_id, r.item_id) for r in rows}
+    assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 150
+    for r in rows[::7]:
+        wide = texts[r.doc_id].split()
+        assert r.coverage <= _subsequence(dict(items)[r.item_id].split(), wide) / len(dict(items)[r.item_id].split())
+
+
+def test_latent_space_equals_the_exact_one(spark):
+    rng = random.Random(22)
+    items = spark.createDataFrame([(i, prose(rng, 40, 300)) for i in range(60)], "item_id int, text string")
+    docs = spark.createDataFrame([(i, prose(rng, 90, 300)) for i in range(40)], "doc_id int, text string")
+    space = decontaminate.fit_space(docs, items, 60)
+    used = int(space.row_of.max())
+
+    def terms(text):
+        hashes = words.Words(pa.array([text]), words.LETTERS).hashes(lower=True)
+        return (hashes >> decontaminate.SHIFT).astype(np.int64)
+
+    pieces = [terms(r.text) for r in items.collect()]
+    passages = [t[a : a + 32] for t in [terms(r.text) for r in docs.collect()] + pieces for a in range(0, len(t), 32)]
+    held = collections.Counter(t for p in passages for t in set(p.tolist()))
+    weights = np.array([np.log((1 + len(passages)) / (1 + held[t])) for t in np.flatnonzero(space.row_of < used)])
+    rows = [np.bincount(space.row_of[p], minlength=used) for p in pieces]
+    # A full rank keeps all angles between the weighted rows.
+    latent = np.stack(rows).astype(float) @ space.basis[:used]
+    heavy = np.stack(rows) * weights
+    assert np.allclose(latent @ latent.T, heavy @ heavy.T, rtol=1e-3, atol=1e-3)
+
+
 def test_toxic_words_are_learned(spark, edge, nothing):
     rng, rows = random.Random(10), []
     for i in range(400):
