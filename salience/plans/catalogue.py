@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from salience.plans import (
-    model_oracle, model_queries, network_oracle, network_queries, oracle, ranking_queries, source_oracle,
-    source_queries, stats_oracle, stats_queries,
+    model_oracle, model_queries, network_oracle, network_queries, oracle, ranking_queries, reduction_oracle,
+    source_oracle, source_queries, stats_oracle, stats_queries,
 )
 
 QUERIES = {
@@ -20,4 +20,5 @@ ORACLE = {
     **network_oracle.NETWORK_SQL,
     **source_oracle.SOURCE_SQL,
     **model_oracle.MODEL_SQL,
+    **reduction_oracle.REDUCTION_SQL,
 }

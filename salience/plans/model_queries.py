@@ -68,6 +68,26 @@ def svd_scores(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _components(reducer: reduction.Reducer, samples: DataFrame) -> DataFrame:
+    """Loadings of each component, and the sum of squares of the samples along it."""
+    along = reducer.transform(samples).select(F.posexplode("z").alias("component", "x"))
+    variance = along.groupBy("component").agg(F.round(F.sum(F.col("x") * F.col("x")), 6).alias("variance"))
+    loadings = reducer.loading_table(samples.sparkSession).select(
+        "feature_id", F.posexplode("weights").alias("component", "loading"))
+    return loadings.join(variance, "component").select(
+        "component", "feature_id", F.round("loading", 6).alias("loading"), "variance")
+
+
+def pca_components(spark: SparkSession, sf: str) -> DataFrame:
+    samples = fixtures.samples(spark, sf)
+    return _components(reduction.fit_pca(samples, 2), samples)
+
+
+def svd_components(spark: SparkSession, sf: str) -> DataFrame:
+    samples = fixtures.samples(spark, sf)
+    return _components(reduction.fit_svd(samples, 3), samples)
+
+
 def nmf_factors(spark: SparkSession, sf: str) -> DataFrame:
     """Non-negative sample factors of the shifted matrix."""
     shifted = fixtures.samples(spark, sf).withColumn(
@@ -313,7 +333,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         logistic_scores, perceptron_scores, boosted_scores, pca_projection, pca_scores,
-        svd_scores, nmf_factors, logistic_importance, perceptron_importance, boosted_importance,
+        svd_scores, pca_components, svd_components, nmf_factors, logistic_importance, perceptron_importance, boosted_importance,
         general_importance, general_change, general_sensitivity, perceptron_change,
         boosted_sensitivity, surrogate_importance, surrogate_shap, inverse_mapped_shap, inverse_mapped_shap_sampled,
         local_surrogate, fold_evaluation, fold_evaluation_centroid, fold_curve, fold_optimum, model_sweep, method_comparison, kmeans,
