@@ -16,21 +16,28 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from salience.functions.expressions import squared_distance, whole_vector
-from salience.operators.cells import SLACK, Cells, beyond, gaps, make_cells, meet, positions, within
+from salience.operators.cells import SLACK, Block, Cells, beyond, gaps, make_cells, meet, positions, taken, within
 from salience.operators.scan import dense_position
 from salience.operators.tiles import BLOCK_ROWS, distances, matrix_of, tiled
 from salience.session import cut_lineage
 
 
-def _sums_to(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    """Distance sums from every visitor of b to the members of one cluster in a."""
-    if not len(a) or not len(b):
-        return pd.DataFrame({n: [] for n in ("point_id", "cluster", "other", "gap", "n")}, dtype=object)
-    sums = distances(matrix_of(b), matrix_of(a)).sum(axis=1)
-    return pd.DataFrame({
-        "point_id": b["point_id"], "cluster": b["cluster"], "other": a["cluster"].iloc[0],
-        "gap": sums, "n": len(a),
-    })
+def _sums_to(groups):
+    """Distance sums from every visitor to the members of the clusters it meets; a cell is a cluster."""
+    for x, ys in groups:
+        sums, sizes, names = {}, {}, {}
+        for y, rows in ys:
+            if not len(rows):
+                continue
+            if y.cell not in sums:
+                sums[y.cell], sizes[y.cell] = np.zeros(len(x)), np.zeros(len(x), np.int64)
+                names[y.cell] = y["cluster"][:1]
+            sums[y.cell][rows] += distances(taken(x, rows), y.vectors).sum(axis=1)
+            sizes[y.cell][rows] += len(y)
+        for cell, n in sizes.items():
+            met = n > 0
+            yield {"point_id": x["point_id"][met], "cluster": x["cluster"][met],
+                   "other": np.repeat(names[cell], met.sum()), "gap": sums[cell][met], "n": n[met]}
 
 
 def _own_or_nearest(found: np.ndarray, own: np.ndarray, scatter: np.ndarray, mine: np.ndarray) -> np.ndarray:
@@ -138,14 +145,22 @@ def dunn(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     gap, width = extremes(cells)
     slack = cells.slack
 
-    def closest(a, b):
-        found, same = _between(a, b)
-        return pd.DataFrame({"gap": [np.where(same, np.inf, found).min(initial=np.inf)]})
-
-    def widest(a, b):
-        found, same = _between(a, b)
-        other = a["point_id"].to_numpy()[:, None] != b["point_id"].to_numpy()[None, :]
-        return pd.DataFrame({"width": [np.where(same & other, found, -np.inf).max(initial=-np.inf)]})
+    def closest(groups):
+        for x, ys in groups:
+            least = math.inf
+            for y, rows in ys:
+                found = distances(taken(x, rows), y.vectors)
+                least = min(least, np.where(_same(x, rows, y), np.inf, found).min(initial=np.inf))
+            yield {"gap": np.array([least])}
+
+    def widest(groups):
+        for x, ys in groups:
+            most = -math.inf
+            for y, rows in ys:
+                other = x["point_id"][rows][:, None] != y["point_id"][None, :]
+                found = distances(taken(x, rows), y.vectors)
+                most = max(most, np.where(_same(x, rows, y) & other, found, -np.inf).max(initial=-np.inf))
+            yield {"width": np.array([most])}
 
     least = meet(cells, closest, "gap double", within(gap)).agg(F.min("gap").alias("gap"))
     most = meet(cells, widest, "width double", beyond(width * (1 - SLACK) - slack)).agg(F.max("width").alias("width"))
@@ -157,12 +172,9 @@ def dunn(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         .otherwise(real / F.col("width")).alias("score"))
 
 
-def _between(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Distances, and which pairs share a cluster."""
-    if not len(a) or not len(b):
-        return np.zeros((len(a), len(b))), np.zeros((len(a), len(b)), bool)
-    same = a["cluster"].to_numpy()[:, None] == b["cluster"].to_numpy()[None, :]
-    return distances(matrix_of(a), matrix_of(b)), same
+def _same(x: Block, rows: np.ndarray, y: Block) -> np.ndarray:
+    """Which pairs of visitors and homes share a cluster."""
+    return x["cluster"][rows][:, None] == y["cluster"][None, :]
 
 
 def centroids(points: DataFrame) -> DataFrame:

@@ -179,3 +179,23 @@ def test_embedding_equals_dense_eigenvectors(spark):
     assert np.allclose(np.abs((mine * vectors[:, ::-1][:, :3]).sum(0)), 1, atol=1e-4)
     with pytest.raises(ValueError, match="fewer than 31"):
         spectral.spectral_embedding(edges, 31)
+
+
+def test_blocks_meet_without_a_shuffle(spark):
+    """No copy of a point for each block it meets, and no link that a task has made before."""
+    rng = np.random.default_rng(9)
+    rows = [(i, 0, [float(v) for v in rng.normal(0, 0.01, 3)]) for i in range(240)]
+    held = cells.make_cells(spark.createDataFrame(rows, SCHEMA), block_rows=8)
+
+    def tell(groups):
+        for x, ys in groups:
+            yield {"point_id": x["point_id"], "n": np.full(len(x), sum(len(y) for y, _ in ys))}
+
+    met = cells.meet(held, tell, "point_id long, n long", cells.within(1.0))
+    assert "Exchange" not in met._jdf.queryExecution().executedPlan().toString()
+    counts = {r.point_id: r.n for r in met.groupBy("point_id").agg({"n": "sum"}).toDF("point_id", "n").collect()}
+    assert counts == dict.fromkeys(range(240), 240)
+    links = clustering._links(held, 1.0)
+    # All 28,680 pairs are near, and a star for each pair of blocks would be 6,000 links at least;
+    # the four files make sixteen tasks, each with a forest over two files.
+    assert links.count() < 2 * 4 * 240
