@@ -27,6 +27,8 @@ from salience.session import cut_lineage, parallelism
 BLOCK_BYTES = 1 << 26
 #: Passes over the rows at most, and the largest part of a gradient at which a fit ends.
 PASSES, TOLERANCE = 200, 1e-7
+#: Margins, of rows by fits, that a task holds at a time.
+MARGINS = 1 << 19
 #: Steps that a fit remembers.
 MEMORY = 10
 #: Chances of at most 0, 1, 2 ... copies of a row in a sample drawn with replacement.
@@ -54,6 +56,14 @@ def copies(hashes: np.ndarray, seeds: list[int | None]) -> np.ndarray:
     return out
 
 
+def _slices(batches: Iterator[pa.RecordBatch], fits: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces whose margins are bounded, however many fits there are."""
+    rows = max(1, MARGINS // max(1, fits))
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def prepared(samples: DataFrame) -> DataFrame:
     """Training rows as the passes read them, written once."""
     kind = samples.schema["sample_id"].dataType.simpleString()
@@ -76,9 +86,7 @@ def _pass(rows: DataFrame, weights: np.ndarray, fits: list[Fit]) -> tuple[np.nda
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loss, count = np.zeros(len(fits)), np.zeros(len(fits))
         gradient = np.zeros((len(fits), width + 1))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches, len(fits)):
             x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
             y, fold, hashes = (batch.column(i).to_numpy() for i in (1, 2, 3))
             seen = copies(hashes, spread)[:, which] * (fold[:, None] != folds[None, :])
@@ -189,9 +197,7 @@ def score_all(test: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFram
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches, len(weights)):
             x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             margin = x @ weights[:, :-1].T + weights[:, -1]
             row = np.repeat(np.arange(batch.num_rows), len(weights))

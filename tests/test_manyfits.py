@@ -90,3 +90,18 @@ def test_margins_rank_as_probabilities(data):
     weights = manyfits.fit_logistic(data, [Fit((0, 1, 2, 3))])
     scored = manyfits.score_all(data, weights, ["sample_id", "output"])
     assert metrics.ranking_metrics(scored, ["fit"], "output", "score").first().auroc > 0.85
+
+
+def test_a_task_holds_few_margins(spark, monkeypatch):
+    """However many fits and rows, a batch of scores has a bounded size, and scores stay the same."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"features": [[float(i), 1.0] for i in range(1000)], "sample_id": list(range(1000))})
+    pieces = list(manyfits._slices(iter([batch, batch.slice(0, 0)]), 3200))
+    assert max(p.num_rows for p in pieces) * 3200 <= manyfits.MARGINS
+    assert pa.Table.from_batches(pieces).to_pydict() == pa.Table.from_batches([batch]).to_pydict()
+    monkeypatch.setattr(manyfits, "MARGINS", 7)
+    data = spark.createDataFrame([(i, 0, [float(i), 1.0]) for i in range(20)], "sample_id long, output int, features array<double>")
+    scored = manyfits.score_all(data, np.array([[1.0, 2.0, 3.0], [0.5, 0.0, 0.0]]), ["sample_id"]).collect()
+    assert {(r.fit, r.sample_id, r.score) for r in scored} == {
+        (f, i, s) for i in range(20) for f, s in ((0, i + 5.0), (1, i / 2))}
