@@ -211,7 +211,8 @@ def _pack(cells: Cells, who: Column | None, opens: Opens | None = None, radius:
     kind = cells.points.schema["point_id"].dataType.simpleString()
     width = cells.pivots.shape[1]
     most = max(1, min(cells.block_rows, BLOCK_BYTES // (8 * max(1, width))))
-    table = cells.points if who is None else cells.points.where(who)
+    # Points without an id meet nobody.
+    table = cells.points.where(F.col("point_id").isNotNull() if who is None else F.col("point_id").isNotNull() & who)
     table = table.withColumn("_own", (F.col(radius) if radius else F.lit(0.0)).cast("double")).withColumn(
         "_h", hash_id(F.col("point_id"), kind))
     files = max(1, math.ceil(int(cells.size.sum()) / (FILE_BLOCKS * most)))

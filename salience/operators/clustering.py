@@ -7,10 +7,10 @@ Points are ``(point_id, features ARRAY<DOUBLE>)``; every method returns
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from itertools import product
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -18,14 +18,17 @@ from salience.functions.expressions import whole_vector
 from salience.operators.cells import (
     Block, Cells, gaps, make_cells, meet, neighbours, radius_in, taken, within,
 )
-from salience.operators.graph import components, spanning_forest
+from salience.operators.graph import components, roots
 from salience.operators.indices import HIGHER_IS_BETTER, index, small_clusters
+from salience.operators.lookup import look_up
 from salience.operators.scan import dense_position
 from salience.operators.spectral import spectral_embedding
-from salience.operators.tiles import BLOCK_ROWS, distances, matrix_of, tiled
+from salience.operators.tiles import BLOCK_ROWS, distances
 from salience.session import cut_lineage
 
 GRID_THREADS = 4
+#: Pairs whose distances are worked out anew at a time.
+NEAR_PAIRS = 1 << 15
 
 
 def _predict(points: DataFrame, estimator) -> DataFrame:
@@ -69,58 +72,84 @@ def power_iteration(
     )
 
 
-def _no_rows(*names: str) -> pd.DataFrame:
-    return pd.DataFrame({n: [] for n in names}, dtype=object)
+def _least(groups):
+    """The shortest way out of the component of each visitor: of each block and component one.
 
-
-def _prim(gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges of a minimum spanning tree of a full distance matrix."""
-    n = len(gaps)
-    best, origin = gaps[0].copy(), np.zeros(n, dtype=int)
-    used = np.zeros(n, dtype=bool)
-    used[0] = True
-    left, right, cost = [], [], []
-    for _ in range(n - 1):
-        at = int(np.argmin(np.where(used, np.inf, best)))
-        left.append(origin[at])
-        right.append(at)
-        cost.append(best[at])
-        used[at] = True
-        closer = ~used & (gaps[at] < best)
-        best[closer], origin[closer] = gaps[at][closer], at
-    return np.array(left, dtype=int), np.array(right, dtype=int), np.array(cost)
+    Costs of the pairs in question are worked out anew from the differences, so that
+    both ends of a pair, and all tasks, agree on them; equal costs go by (src, dst).
+    """
+    for x, ys in groups:
+        cost, other = np.full(len(x), np.inf), x["point_id"].copy()
+        names = x["component"]
+        middle = x.vectors.mean(axis=0)
+        scale = np.abs(x.vectors - middle).max(initial=0.0)
+        for y, rows in ys:
+            if not len(rows):
+                continue
+            found = distances(taken(x, rows), y.vectors)
+            # Distances by products are off by about the root of the rounding, at most, near 0.
+            rough = 1e-6 * max(scale, np.abs(y.vectors - middle).max(initial=0.0))
+            if np.isinf(cost[rows]).any():
+                found[names[rows][:, None] == y["component"][None, :]] = np.inf
+                most = np.minimum(found.min(axis=1, initial=np.inf), cost[rows])
+                i, j = np.nonzero((found <= most[:, None] + rough) & np.isfinite(found))
+            else:
+                i, j = np.nonzero(found <= (cost[rows] + rough)[:, None])
+                out = names[rows[i]] != y["component"][j]
+                i, j = i[out], j[out]
+            for k in range(0, len(i), NEAR_PAIRS):
+                row, at = rows[i[k : k + NEAR_PAIRS]], j[k : k + NEAR_PAIRS]
+                gap = np.sqrt(((x.vectors[row] - y.vectors[at]) ** 2).sum(axis=1))
+                ids = y["point_id"][at]
+                order = np.lexsort((ids, gap, row))
+                row, gap, ids = row[order], gap[order], ids[order]
+                first = np.append(True, row[1:] != row[:-1])
+                row, gap, ids = row[first], gap[first], ids[first]
+                less = (gap < cost[row]) | ((gap == cost[row]) & (ids < other[row]))
+                cost[row[less]], other[row[less]] = gap[less], ids[less]
+        met = np.isfinite(cost)
+        src, dst = np.minimum(x["point_id"], other)[met], np.maximum(x["point_id"], other)[met]
+        mine = np.unique(names[met], return_inverse=True)[1]
+        order = np.lexsort((dst, src, cost[met], mine))
+        order = order[np.append(True, mine[order][1:] != mine[order][:-1])] if len(order) else order
+        yield {"component": names[met][order], "cost": cost[met][order], "src": src[order], "dst": dst[order]}
 
 
 def minimum_spanning_tree(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact Euclidean minimum spanning tree ``(src, dst, cost)``.
 
-    The tree of the whole is contained in the union of the trees of all tiles,
-    because every pair of points shares a tile; tiles emit fewer edges than
-    they have points.
+    Boruvka rounds on the points themselves: every component but the largest
+    looks for its shortest way out, blocks meeting blocks, and tells one edge for each
+    block and task.  Components at least halve each round; what is written in a round
+    grows with the points, not with their pairs.
     """
     kind = points.schema["point_id"].dataType.simpleString()
-
-    def reduce_tile(a, b):
-        both = a if b is None else pd.concat([a, b], ignore_index=True)
-        if len(both) < 2:
-            return _no_rows("src", "dst", "cost")
-        m = matrix_of(both)
-        left, right, cost = _prim(distances(m, m))
-        ids = both["point_id"].to_numpy()
-        return pd.DataFrame(
-            {
-                "src": np.minimum(ids[left], ids[right]),
-                "dst": np.maximum(ids[left], ids[right]),
-                "cost": cost,
-            }
-        )
-
-    local = tiled(
-        points.select("point_id", "features"), reduce_tile,
-        f"src {kind}, dst {kind}, cost double", block_rows,
-    ).groupBy("src", "dst").agg(F.min("cost").alias("cost"))
-    nodes = points.select(F.col("point_id").alias("node"))
-    return spanning_forest(nodes, local, "cost")[0]
+    cells = make_cells(points.select("point_id", "features"), "euclidean", block_rows)
+    alone = cells.points
+    labels = alone.where(F.col("point_id").isNotNull()).select("point_id").distinct().withColumn("component", F.col("point_id"))
+    everywhere = lambda found, own, radii, mine: np.ones(found.shape, bool)
+    key = F.struct("cost", "src", "dst")
+    trees = [alone.sparkSession.createDataFrame([], f"src {kind}, dst {kind}, cost double")]
+    while True:
+        sizes = cut_lineage(labels.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
+        largest = sizes.agg(F.max(F.struct("n", "component")).alias("o"), F.count(F.lit(1)).alias("k")).first()
+        if largest["k"] <= 1:
+            break
+        giant = F.lit(largest["o"]["component"])
+        cells.points = cut_lineage(alone.join(labels, "point_id"))
+        found = meet(cells, _least, f"component {kind}, cost double, src {kind}, dst {kind}",
+                     everywhere, guests=F.col("component") != giant)
+        picks = cut_lineage(found.groupBy("component").agg(F.min(key).alias("key")).select("component", "key.*"))
+        trees.append(picks.select("src", "dst", "cost").distinct())
+        ends = labels.select(F.col("point_id").alias("src"), F.col("component").alias("a")), labels.select(
+            F.col("point_id").alias("dst"), F.col("component").alias("b"))
+        ways = picks.join(ends[0], "src").join(ends[1], "dst").select(
+            F.col("component").alias("c"), F.when(F.col("a") == F.col("component"), F.col("b")).otherwise(F.col("a")).alias("parent"))
+        # The largest component moves nowhere.
+        rest = sizes.where(F.col("component") == giant).select(F.col("component").alias("c"), F.col("component").alias("parent"))
+        pointers = roots(cut_lineage(ways.unionByName(rest))).withColumnsRenamed({"c": "component", "root": "_root"})
+        labels = cut_lineage(look_up(labels, pointers, "component").select("point_id", F.col("_root").alias("component")))
+    return reduce(DataFrame.unionByName, trees)
 
 
 def _numbered(points: DataFrame, labels: DataFrame) -> DataFrame:

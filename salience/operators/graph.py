@@ -57,7 +57,7 @@ def spanning_forest(nodes: DataFrame, edges: DataFrame, cost: str) -> tuple[Data
             .select("c", F.col("pick.parent").alias("parent"), F.col("pick.key").alias("key"))
         )
         trees.append(picks.select("key").distinct())
-        pointers = _roots(picks.select("c", "parent"))
+        pointers = roots(picks.select("c", "parent"))
         merges.append(pointers)
         near = pointers.select(F.col("c").alias("a"), F.col("root").alias("ra"))
         far = pointers.select(F.col("c").alias("b"), F.col("root").alias("rb"))
@@ -84,7 +84,7 @@ def _twice(rows: DataFrame, one: DataFrame, key: str, two: DataFrame, other: str
     return look_up(cut_lineage(look_up(rows, one, key)), two, other)
 
 
-def _roots(picks: DataFrame) -> DataFrame:
+def roots(picks: DataFrame) -> DataFrame:
     """Follow picks to a common root; two components picking each other end at the smaller."""
     back = picks.select(F.col("c").alias("parent"), F.col("parent").alias("grand"))
     pointers = cut_lineage(

@@ -199,3 +199,37 @@ def test_blocks_meet_without_a_shuffle(spark):
     # All 28,680 pairs are near, and a star for each pair of blocks would be 6,000 links at least;
     # the four files make sixteen tasks, each with a forest over two files.
     assert links.count() < 2 * 4 * 240
+
+
+def test_spanning_tree_equals_all_pairs(spark):
+    """Copies, ties and lone points; what a round writes does not grow with the pairs."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.integers(0, 4, (60, 2)).astype(float), rng.normal(0, 1, (40, 2)), [[90.0, 0.0]]])
+    ids = [200 - 2 * i for i in range(len(x))]
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in zip(ids, x)], "point_id long, features array<double>")
+    gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    pairs = sorted((gap[i, j], min(ids[i], ids[j]), max(ids[i], ids[j])) for i in range(len(x)) for j in range(i))
+    top = {i: i for i in ids}
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    want = set()
+    for _, a, b in pairs:
+        if root(a) != root(b):
+            top[root(a)] = root(b)
+            want.add((a, b))
+    got = clustering.minimum_spanning_tree(table, 8).collect()
+    assert {(r.src, r.dst) for r in got} == want and len(got) == len(want)
+    place = dict(zip(ids, range(len(x))))
+    assert all(abs(r.cost - gap[place[r.src], place[r.dst]]) < 1e-12 for r in got)
+    assert clustering.minimum_spanning_tree(table.limit(0)).count() == 0
+
+
+def test_a_block_tells_one_way_out_of_each_component():
+    x = cells.Block(0, 0, np.arange(6.0)[:, None], {"point_id": np.arange(6), "component": np.array([0, 0, 0, 3, 3, 3])})
+    told = list(clustering._least(iter([(x, iter([(x, np.arange(6))] * 3))])))
+    assert [(t["component"].tolist(), t["cost"].tolist(), t["src"].tolist(), t["dst"].tolist()) for t in told] == [
+        ([0, 3], [1.0, 1.0], [2, 2], [3, 3])]
