@@ -16,7 +16,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from salience.functions.expressions import squared_distance, whole_vector
-from salience.operators.cells import SLACK, Block, Cells, beyond, gaps, make_cells, meet, positions, taken, within
+from salience.operators.cells import SLACK, Block, Cells, beyond, gaps, make_cells, meet, pack, positions, taken, within
 from salience.operators.scan import dense_position
 from salience.operators.tiles import BLOCK_ROWS, distances, matrix_of, tiled
 from salience.session import cut_lineage
@@ -59,20 +59,18 @@ def silhouette_samples(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataF
     are not judged; null or NaN cells raise an error.
     """
     judged = positions(points.where(F.col("cluster").isNotNull()), "euclidean")
-    judged = cut_lineage(judged.select("point_id", "cluster", "features"))
+    judged = judged.select("point_id", "cluster", "features")
     id_type = points.schema["point_id"].dataType.simpleString()
     kind = points.schema["cluster"].dataType.simpleString()
     centres, stats = _spread(judged)
     named = cut_lineage(dense_position(centres.join(stats, "cluster"), [], "cluster"))
     # As the centres of a fitted clustering, these are held whole by tasks.
     known = named.orderBy("position").collect()
-    numbered = cut_lineage(judged.join(named.select("cluster", (F.col("position") - 1).cast("int").alias("cell")), "cluster"))
-    cells = Cells(
-        numbered.withColumn("reach", F.lit(0.0)),
-        np.array([r["centre"] for r in known], float).reshape(len(known), -1),
-        np.array([r["scatter"] for r in known], float),
-        np.array([r["size"] for r in known], np.int64), "euclidean", block_rows, [],
-    )
+    numbered = judged.join(named.select("cluster", (F.col("position") - 1).cast("int").alias("cell")), "cluster")
+    width = len(known[0]["centre"]) if known else 0
+    cells = pack(
+        numbered, np.array([r["centre"] for r in known], float).reshape(len(known), width), "euclidean", block_rows,
+        sum(r["size"] for r in known), width, [], radius=np.array([r["scatter"] for r in known], float))
     sums = (
         meet(cells, _sums_to, f"point_id {id_type}, cluster {kind}, other {kind}, gap double, n bigint",
              _own_or_nearest, radius="cell")

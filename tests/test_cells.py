@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from salience.operators import cells, clustering, indices
 
@@ -233,3 +234,41 @@ def test_a_block_tells_one_way_out_of_each_component():
     told = list(clustering._least(iter([(x, iter([(x, np.arange(6))] * 3))])))
     assert [(t["component"].tolist(), t["cost"].tolist(), t["src"].tolist(), t["dst"].tolist()) for t in told] == [
         ([0, 3], [1.0, 1.0], [2, 2], [3, 3])]
+
+
+def test_vectors_are_written_once(spark, points, monkeypatch):
+    """Numbers that single precision holds stay at four bytes, and no later table has them again."""
+    slim = points.withColumn("features", F.transform("features", lambda v: v.cast("float").cast("double")))
+    tables, plain = [], cells.cut_lineage
+
+    def spy(df):
+        tables.append(plain(df))
+        return tables[-1]
+
+    for module in (cells, clustering, indices):
+        monkeypatch.setattr(module, "cut_lineage", spy)
+    runs = [
+        lambda: clustering.dbscan(slim.drop("cluster"), 1.4, 4, 24), lambda: cells.neighbours(slim, 5, "cosine", 24),
+        lambda: clustering.linkage_threshold(slim.drop("cluster"), 1.4, 24, "l1"), lambda: indices.silhouette_samples(slim, 24),
+    ]
+    for run in runs:
+        tables.clear()
+        run().count()
+        whole = [t for t in tables if t.count() and {"features", "vectors"} & set(t.columns)]
+        assert len(whole) == 1
+        assert whole[0].agg(F.sum(F.octet_length("vectors"))).first()[0] == 240 * 4 * 4
+
+
+def test_a_visitor_is_summed_up_in_one_task(spark, monkeypatch):
+    """However many blocks of homes there are; more only beyond the bytes that a task may hold."""
+    rows = [(i, 0, [float(i % 7), 0.0]) for i in range(400)]
+
+    def tell(groups):
+        for x, ys in groups:
+            yield {"point_id": x["point_id"], "n": np.full(len(x), sum(len(y) for y, _ in ys))}
+
+    held = cells.make_cells(spark.createDataFrame(rows, SCHEMA), block_rows=4)
+    assert held.blocks.count() >= 100
+    assert cells.meet(held, tell, "point_id long, n long", cells.within(99.0)).count() == 400
+    monkeypatch.setattr(cells, "HOME_BYTES", held.bytes // 2)
+    assert cells.meet(held, tell, "point_id long, n long", cells.within(99.0)).count() == 800
