@@ -272,3 +272,16 @@ def test_a_visitor_is_summed_up_in_one_task(spark, monkeypatch):
     assert cells.meet(held, tell, "point_id long, n long", cells.within(99.0)).count() == 400
     monkeypatch.setattr(cells, "HOME_BYTES", held.bytes // 2)
     assert cells.meet(held, tell, "point_id long, n long", cells.within(99.0)).count() == 800
+
+
+def test_a_round_of_products_writes_one_table(spark, monkeypatch):
+    from salience.operators import spectral
+
+    edges = spark.createDataFrame([(i, (i + 1) % 40, 1.0 + i % 3) for i in range(40)], "src long, dst long, weight double")
+    written, plain = [], spectral.cut_lineage
+    monkeypatch.setattr(spectral, "cut_lineage", lambda df: written.append(1) or plain(df))
+    monkeypatch.setattr(spectral, "ROUNDS", 2)
+    monkeypatch.setattr(spectral, "TOLERANCE", 0.0)
+    spectral.spectral_embedding(edges, 2)
+    # The graph twice, a table for each round, and what is returned.
+    assert len(written) <= 5
