@@ -24,6 +24,8 @@ SAMPLE, SAMPLE_BYTES = 1500, 16_000
 EPOCHS, RATE, SEED = 6, 0.08, 5
 #: Words that are scored at a time.
 CHUNK = 40_000
+#: Raw scores are counted in steps of a part of one, up to a bound, so counts are a bounded table.
+STEPS, RAW_BOUND = 256, 64
 
 
 @dataclass
@@ -115,8 +117,8 @@ def score(model: Model, texts: pa.Array) -> np.ndarray:
 def train(texts: list[str], labels: np.ndarray, langs: list[str]) -> Model:
     """Fit the network by stochastic gradient steps, one text a step (Adagrad).
 
-    A fifth of the rows sets the thresholds: for each language group the cut with
-    the most right answers.
+    A fifth of the rows is left out and sets first thresholds: for each language group
+    the cut with the most right answers (:func:`calibrate` sets them by all rows).
     """
     rng = np.random.default_rng(SEED)
     model = Model(
@@ -195,24 +197,69 @@ def _learn_languages(model: Model, codes: np.ndarray, first: np.ndarray, langs:
 
 
 def _calibrate(model: Model, texts: list[str], labels: np.ndarray) -> None:
-    """Cuts with the most right answers by language group; a group of few rows takes the overall one."""
+    """Cuts by the given texts."""
     raw, group = logits(model, pa.array(texts, pa.string()))
+    _set_cuts(model, group, raw, 1 - np.asarray(labels), np.asarray(labels))
 
-    def cut(values: np.ndarray, truth: np.ndarray) -> float:
-        order = np.argsort(values)
-        values, truth = values[order], truth[order]
+
+def _set_cuts(model: Model, group: np.ndarray, raw: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> None:
+    """Cuts with the most right answers by language group; a group of few rows takes the overall one.
+
+    ``clean`` and ``toxic`` count the rows at a raw score.
+    """
+
+    def cut(own: np.ndarray) -> float:
+        order = np.flatnonzero(own)[np.argsort(raw[own])]
+        values = raw[order]
         ends = np.concatenate([[values[0] - 1], (values[1:] + values[:-1]) / 2, [values[-1] + 1]])
-        wrong = np.concatenate([[0], np.cumsum(truth)]) + np.concatenate([np.cumsum((1 - truth)[::-1])[::-1], [0]])
-        best = np.flatnonzero(wrong == wrong.min())
-        return float(ends[best].mean()) if len(values) else 0.0
+        wrong = np.concatenate([[0], np.cumsum(toxic[order])]) + np.concatenate([np.cumsum(clean[order][::-1])[::-1], [0]])
+        return float(ends[wrong == wrong.min()].mean())
 
     if not len(raw):
         return
-    everywhere = cut(raw, labels)
+    everywhere = cut(np.ones(len(raw), bool))
     for g in range(len(model.thresholds)):
         own = group == g
-        enough = own.sum() >= 20 and 0 < labels[own].sum() < own.sum()
-        model.thresholds[g] = cut(raw[own], labels[own]) if enough else everywhere
+        bad, rows = toxic[own].sum(), toxic[own].sum() + clean[own].sum()
+        model.thresholds[g] = cut(own) if rows >= 20 and 0 < bad < rows else everywhere
+
+
+def calibrate(docs: DataFrame, labels: DataFrame, model: Model, seen: list[int]) -> Model:
+    """Set the cuts by the whole texts of all labelled rows outside the held-out fold, but those fitted on.
+
+    ``seen`` are the ids that the fit has seen, at most 2 * ``SAMPLE``; without other
+    rows the cuts stay.  Tasks score the texts; only ids, groups and scores meet the
+    labels, and counts by group and step of the score, a bounded table, come to the driver.
+    """
+    spark = docs.sparkSession
+    told = spark.sparkContext.broadcast(vars(model))  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None
+        for batch in batches:
+            model = model or Model(**told.value)
+            for block in blocks(batch):
+                raw, group = logits(model, block.column(1))
+                step = np.floor(np.clip(raw.astype(np.float64), -RAW_BOUND, RAW_BOUND) * STEPS)
+                yield pa.RecordBatch.from_arrays(
+                    [block.column(0), pa.array(group.astype(np.int32)), pa.array(step.astype(np.int32))],
+                    names=["doc_id", "group", "step"])
+
+    learned = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scored = learned.mapInArrow(run, "doc_id long, group int, step int")
+    used = spark.createDataFrame([(i,) for i in seen], "doc_id long")
+    counted = scored.join(_marked(labels).hint("merge"), "doc_id").join(F.broadcast(used), "doc_id", "left_anti").groupBy(
+        "group", "step").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic")).sort("group", "step")
+    found = np.array([tuple(r) for r in counted.collect()], np.int64).reshape(-1, 4)
+    _set_cuts(model, found[:, 0], (found[:, 1] + 0.5) / STEPS, found[:, 2], found[:, 3])
+    return model
+
+
+def _marked(labels: DataFrame) -> DataFrame:
+    """``doc_id`` and ``toxic`` of the labelled ids, once each."""
+    return labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -249,16 +296,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     Rows come in the order of a hash of the id, texts of up to ``SAMPLE_BYTES`` (the
     smallest text of a repeated id); these bounds are parameters of the fit only.
-    The ids are drawn first and only their texts are fetched.  Scores use whole
-    texts of all rows.
+    The ids are drawn first and only their texts are fetched.  The cuts come from all
+    other labelled rows, and scores use whole texts of all rows.
     """
     drawn = cut_lineage(draw(docs, labels).coalesce(1))
     texts = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     rows = texts.join(F.broadcast(drawn), "doc_id").groupBy("hash", "doc_id", "toxic").agg(  # 2 * SAMPLE rows
-        F.min(F.struct("text", "lang")).alias("own")).select("hash", "own.text", "own.lang", "toxic").collect()
+        F.min(F.struct("text", "lang")).alias("own")).select("hash", "own.text", "own.lang", "toxic", "doc_id").collect()
     rows.sort(key=lambda r: (r[0], r[1]))
-    return train([r[1] for r in rows], np.array([r[3] for r in rows], np.int64), [r[2] for r in rows])
+    model = train([r[1] for r in rows], np.array([r[3] for r in rows], np.int64), [r[2] for r in rows])
+    return calibrate(docs, labels, model, [r[4] for at, r in enumerate(rows) if at % 5])
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:

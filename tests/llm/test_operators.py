@@ -516,3 +516,23 @@ def test_stages_take_any_column_names(spark):
         got = run(wide)
         assert sorted(tuple(r) for r in got.select("doc_id", "text").collect()) == plain
         assert all(got.where(F.col(f"`{c}`") != F.concat(F.lit(c), F.col("doc_id"))).isEmpty() for c in CLASHES)
+
+
+def test_cuts_come_from_all_labelled_rows(spark, monkeypatch):
+    """Rows beyond the sample, and texts too long for it, count; rows that were fitted on and the held-out fold do not."""
+    monkeypatch.setattr(toxicity, "SAMPLE", 20)
+    rng = random.Random(12)
+    docs = spark.createDataFrame(
+        [(i, prose(rng, 12 if i % 50 else 4000) + " vile" * (i % 2), "en", 0, "") for i in range(600)], SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int")
+    counted, plain = [], toxicity._set_cuts
+
+    def spy(model, group, raw, clean, toxic):
+        counted.append((int(clean.sum()), int(toxic.sum())))
+        plain(model, group, raw, clean, toxic)
+
+    monkeypatch.setattr(toxicity, "_set_cuts", spy)
+    toxicity.fit(docs, labels)
+    kept = docs.where(~toxicity.held_out(F.col("doc_id"))).count()
+    # Of 40 drawn rows every fifth is not fitted on.
+    assert sum(counted[-1]) == kept - 32 and min(counted[-1]) > 150
