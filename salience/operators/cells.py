@@ -95,9 +95,10 @@ class Cells:
     #: Whole rows of the pivots.
     rows: list
     blocks: DataFrame
-    #: Numbers in a row of ``vectors``, and bytes of all of them.
+    #: Numbers in a row of ``vectors``, bytes of all of them, and partitions in which the blocks are read.
     width: int
     bytes: int
+    parts: int
 
     @property
     def slack(self) -> float:
@@ -355,7 +356,7 @@ def pack(
         F.max("_far"), F.sum(F.size("point_id")), F.sum(F.octet_length("vectors"))).collect():
         far[c], size[c], total = reach, count, total + data  # a row for each pivot
     return Cells(whole, pivots, far if radius is None else radius, size, metric, rows,
-                 written.drop("_far"), width, total)
+                 written.drop("_far"), width, total, written.rdd.getNumPartitions())
 
 
 def meet(
@@ -378,8 +379,9 @@ def meet(
 
     The blocks are paired by a nested loop over partitions of their files, so tasks
     read them again instead of a shuffle copying each to all its partners, and nothing
-    is written.  Homes are read in few partitions of up to ``HOME_BYTES``, so a visitor
-    is summed up in few tasks, however many blocks there are.
+    is written.  Homes are read in few partitions of up to ``HOME_BYTES``, which a task
+    holds one after the other, so what is told of a visitor can be added up in its task
+    before it is shuffled, however many points there are.
     """
     names, ask, read = cells.names, _asks(cells, opens), _reader(cells)
     columns = ["block", "cell", "vectors", *names]
@@ -406,6 +408,9 @@ def meet(
         meets &= (x == y) | ((x != y) & ((x < y) == ((x + y) % 2 == 0)))
     # The hint keeps small tables from one task, too: the loop is heavy in CPU, not in bytes.
     met = left.join(right.hint("shuffle_replicate_nl"), meets).drop("x_opened")
+    if few > 1:
+        # The loop's partitions are in order of visitors: this puts those of the same visitors together.
+        met = met.coalesce(cells.parts)
     shape = T.StructType.fromDDL(schema)
     told = to_arrow_schema(shape)
 

@@ -274,6 +274,31 @@ def test_a_visitor_is_summed_up_in_one_task(spark, monkeypatch):
     assert cells.meet(held, tell, "point_id long, n long", cells.within(99.0)).count() == 800
 
 
+def test_parts_of_homes_share_the_tasks_of_their_visitors(spark, monkeypatch):
+    """What grows with the points is added up before the shuffle, not told once for each part of the homes."""
+    rng = np.random.default_rng(21)
+    rows = [(i, i % 3, [float(v) for v in rng.normal(0, 1, 3)]) for i in range(400)]
+    table = spark.createDataFrame(rows, SCHEMA)
+
+    def tell(groups):
+        for x, ys in groups:
+            yield {"point_id": x["point_id"], "n": np.full(len(x), sum(len(y) for y, _ in ys))}
+
+    held = cells.make_cells(table, block_rows=4)
+    whole = [sorted(map(tuple, run().collect())) for run in (
+        lambda: clustering.dbscan(table.drop("cluster"), 0.6, 4, 4).select("point_id", "cluster"),
+        lambda: cells.neighbours(table, 5, "euclidean", 4).select("point_id", "rank", "other"))]
+    monkeypatch.setattr(cells, "HOME_BYTES", math.ceil(held.bytes / 3))
+    met = cells.meet(held, tell, "point_id long, n long", cells.within(99.0))
+    assert met.count() == 3 * 400
+    told = met.withColumn("task", F.spark_partition_id()).collect()
+    assert len({(r.point_id, r.task) for r in told}) == 400 and sum(r.n for r in told) == 400 * 400
+    # A link for each point and task, not for each part of the homes.
+    assert clustering._links(held, 9.0).count() < 400 * (held.parts + 1)
+    assert sorted(map(tuple, clustering.dbscan(table.drop("cluster"), 0.6, 4, 4).select("point_id", "cluster").collect())) == whole[0]
+    assert sorted(map(tuple, cells.neighbours(table, 5, "euclidean", 4).select("point_id", "rank", "other").collect())) == whole[1]
+
+
 def test_a_round_of_products_writes_one_table(spark, monkeypatch):
     from salience.operators import spectral
 
