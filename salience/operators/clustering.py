@@ -215,7 +215,8 @@ class _Forest:
         if block.key not in self.first:
             self.first[block.key] = self.count
             self.count += len(block)
-            self.ids.append(block["point_id"])
+            # A copy, as the ids that a block shows hold the whole batch that it came in.
+            self.ids.append(block["point_id"].copy())
             if self.count > len(self.parent):
                 self.parent = np.append(self.parent, np.arange(len(self.parent), 2 * self.count))
         return self.first[block.key] + np.arange(len(block))

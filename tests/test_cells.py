@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -310,3 +311,12 @@ def test_a_round_of_products_writes_one_table(spark, monkeypatch):
     spectral.spectral_embedding(edges, 2)
     # The graph twice, a table for each round, and what is returned.
     assert len(written) <= 5
+
+
+def test_a_forest_lets_go_of_the_batches_that_it_saw():
+    """Ids that are seen in a batch of Arrow would keep all of its vectors for as long as the forest."""
+    batch = pa.RecordBatch.from_pydict({"point_id": pa.array([[4, 5, 6]], pa.list_(pa.int64()))})
+    seen = batch.column(0)[0].values.to_numpy(zero_copy_only=False)
+    forest = clustering._Forest()
+    assert forest.nodes(cells.Block(0, 0, np.zeros((3, 1)), {"point_id": seen})).tolist() == [0, 1, 2]
+    assert not any(np.shares_memory(seen, held) for held in forest.ids)
