@@ -320,3 +320,46 @@ def test_a_forest_lets_go_of_the_batches_that_it_saw():
     forest = clustering._Forest()
     assert forest.nodes(cells.Block(0, 0, np.zeros((3, 1)), {"point_id": seen})).tolist() == [0, 1, 2]
     assert not any(np.shares_memory(seen, held) for held in forest.ids)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_neighbours_are_told_by_their_differences(spark, metric):
+    """Far from zero, products lose small distances; they only choose whom to look at."""
+    rng = np.random.default_rng(4)
+    x = 3000.0 + rng.normal(0, 1e-5, (60, 3)) if metric == "euclidean" else rng.normal(0, 1, (60, 3))
+    x[30:40] = x[:10]
+    table = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "point_id long, features array<double>")
+    y = x if metric == "euclidean" else cells.located(x, "cosine")
+    gap = np.sqrt(((y[:, None] - y[None]) ** 2).sum(-1))
+    got = {(r.point_id, r.rank): (r.other, r.distance) for r in cells.neighbours(table, 4, metric, 16).collect()}
+    assert len(got) == 240
+    for i in range(60):
+        want = sorted((gap[i, j], j) for j in range(60) if j != i)[:4]
+        assert [got[i, r][0] for r in range(1, 5)] == [j for _, j in want]
+        told = [d if metric == "euclidean" else d * d / 2 for d, _ in want]
+        assert np.allclose([got[i, r][1] for r in range(1, 5)], told, rtol=1e-12, atol=0)
+
+
+@pytest.mark.parametrize("size", [0.0, 1e-170, 1e-20, 1.0, 1e20])
+def test_a_screen_leaves_out_no_pair_within_its_bounds(size):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(7, 1, (40, 5)) * size, rng.normal(7, 1, (50, 5)) * size
+    gap = np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1))
+    screen, bound = cells.Screen(x), np.partition(gap, 6, axis=1)[:, 6]
+    rows = np.arange(10, 40)
+    found, error = screen.squares(rows, y)
+    hit = found <= screen.limits(rows, bound[rows], error).astype(found.dtype)[:, None]
+    assert hit[gap[rows] <= bound[rows][:, None]].all()
+    assert size < 1e-20 or hit.sum() < 30 * 12
+
+
+def test_products_with_a_graph_are_added_up_in_generated_code(spark):
+    """Sums of whole vectors are objects, which Spark adds up by sorting all rows."""
+    from salience.operators import spectral
+
+    graph = spark.createDataFrame([(1, 2, 0.5), (1, 3, 2.0), (2, 1, 1.0)], "src long, dst long, weight double")
+    vectors = spark.createDataFrame([(i, [float(i), 10.0 * i]) for i in (1, 2, 3)], "node long, vector array<double>")
+    got = spectral.product(graph, vectors, 2)
+    assert {r.node: r.vector for r in got.collect()} == {1: [7.0, 70.0], 2: [1.0, 10.0]}
+    plan = got._jdf.queryExecution().toString()
+    assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
