@@ -7,6 +7,7 @@ Points are ``(point_id, features ARRAY<DOUBLE>)``; every method returns
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 from functools import reduce
 from itertools import product
 
@@ -16,19 +17,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from salience.functions.expressions import whole_vector
 from salience.operators.cells import (
-    Block, Cells, gaps, make_cells, meet, neighbours, radius_in, taken, within,
+    NEAR_PAIRS, Block, Cells, Screen, gaps, lengths, make_cells, meet, nearest_in, neighbours, pairs_in, radius_in,
+    taken, within,
 )
-from salience.operators.graph import components, roots
+from salience.operators.graph import components, contracted, roots
 from salience.operators.indices import HIGHER_IS_BETTER, index, small_clusters
 from salience.operators.lookup import look_up
 from salience.operators.scan import dense_position
 from salience.operators.spectral import spectral_embedding
-from salience.operators.tiles import BLOCK_ROWS, distances
+from salience.operators.tiles import BLOCK_ROWS
 from salience.session import cut_lineage
 
 GRID_THREADS = 4
-#: Pairs whose distances are worked out anew at a time.
-NEAR_PAIRS = 1 << 15
+#: Nearest neighbours of a point that the spanning tree looks at first.
+TREE_NEIGHBOURS = 8
 
 
 def _predict(points: DataFrame, estimator) -> DataFrame:
@@ -73,81 +75,110 @@ def power_iteration(
 
 
 def _least(groups):
-    """The shortest way out of the component of each visitor: of each block and component one.
+    """The shortest way out of the component of each visitor, of those up to ``reach``: of each block and component one.
 
     Costs of the pairs in question are worked out anew from the differences, so that
     both ends of a pair, and all tasks, agree on them; equal costs go by (src, dst).
     """
     for x, ys in groups:
-        cost, other = np.full(len(x), np.inf), x["point_id"].copy()
-        names = x["component"]
-        middle = x.vectors.mean(axis=0)
-        scale = np.abs(x.vectors - middle).max(initial=0.0)
+        cost, other, names = np.full(len(x), np.inf), x["point_id"].copy(), x["component"]
+        reach = x["reach"].astype(float) if "reach" in x.columns else cost.copy()
+        parent, screen = names.copy(), Screen(x.vectors)
         for y, rows in ys:
             if not len(rows):
                 continue
-            found = distances(taken(x, rows), y.vectors)
-            # Distances by products are off by about the root of the rounding, at most, near 0.
-            rough = 1e-6 * max(scale, np.abs(y.vectors - middle).max(initial=0.0))
-            if np.isinf(cost[rows]).any():
+            found, error = screen.squares(rows, y.vectors)
+            most = np.minimum(cost[rows], reach[rows])
+            with np.errstate(over="ignore"):
+                limits = screen.limits(rows, most, error).astype(found.dtype)
+            if np.isinf(limits).any():
                 found[names[rows][:, None] == y["component"][None, :]] = np.inf
-                most = np.minimum(found.min(axis=1, initial=np.inf), cost[rows])
-                i, j = np.nonzero((found <= most[:, None] + rough) & np.isfinite(found))
-            else:
-                i, j = np.nonzero(found <= (cost[rows] + rough)[:, None])
-                out = names[rows[i]] != y["component"][j]
-                i, j = i[out], j[out]
+                limits = np.minimum(limits, found.min(axis=1, initial=np.inf) + 4 * error)
+            i, j = pairs_in(found <= limits[:, None])
+            out = names[rows[i]] != y["component"][j]
+            i, j = i[out], j[out]
             for k in range(0, len(i), NEAR_PAIRS):
                 row, at = rows[i[k : k + NEAR_PAIRS]], j[k : k + NEAR_PAIRS]
-                gap = np.sqrt(((x.vectors[row] - y.vectors[at]) ** 2).sum(axis=1))
-                ids = y["point_id"][at]
+                gap, ids = lengths(x.vectors[row], y.vectors[at]), y["point_id"][at]
                 order = np.lexsort((ids, gap, row))
-                row, gap, ids = row[order], gap[order], ids[order]
+                row, at, gap, ids = row[order], at[order], gap[order], ids[order]
                 first = np.append(True, row[1:] != row[:-1])
-                row, gap, ids = row[first], gap[first], ids[first]
+                row, at, gap, ids = row[first], at[first], gap[first], ids[first]
                 less = (gap < cost[row]) | ((gap == cost[row]) & (ids < other[row]))
-                cost[row[less]], other[row[less]] = gap[less], ids[less]
+                row, at = row[less], at[less]
+                cost[row], other[row], parent[row] = gap[less], ids[less], y["component"][at]
         met = np.isfinite(cost)
         src, dst = np.minimum(x["point_id"], other)[met], np.maximum(x["point_id"], other)[met]
         mine = np.unique(names[met], return_inverse=True)[1]
         order = np.lexsort((dst, src, cost[met], mine))
         order = order[np.append(True, mine[order][1:] != mine[order][:-1])] if len(order) else order
-        yield {"component": names[met][order], "cost": cost[met][order], "src": src[order], "dst": dst[order]}
+        yield {"component": names[met][order], "parent": parent[met][order], "cost": cost[met][order],
+               "src": src[order], "dst": dst[order]}
 
 
 def minimum_spanning_tree(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact Euclidean minimum spanning tree ``(src, dst, cost)``.
 
-    Boruvka rounds on the points themselves: every component but the largest
-    looks for its shortest way out, blocks meeting blocks, and tells one edge for each
-    block and task.  Components at least halve each round; what is written in a round
-    grows with the points, not with their pairs.
+    Boruvka rounds on the links to the ``TREE_NEIGHBOURS`` nearest of every point.
+    What is not listed is no nearer than the last of a list, so a component whose shortest
+    listed way out is shorter than the last of all its lists needs to look no further.  When
+    too few are so sure, the others (but the largest) look among all points, blocks
+    meeting blocks: only those whose lists end before their component's way out, and only
+    that far.  Components at least shrink by a quarter each round; what is written in
+    a round grows with the points, not with their pairs.
     """
     kind = points.schema["point_id"].dataType.simpleString()
-    cells = make_cells(points.select("point_id", "features"), "euclidean", block_rows)
-    labels = cells.spots().select("point_id").distinct().withColumn("component", F.col("point_id"))
-    everywhere = lambda found, own, radii, mine: np.ones(found.shape, bool)
-    key = F.struct("cost", "src", "dst")
+    cells = make_cells(points.select("point_id", "features"), "euclidean", block_rows, near=TREE_NEIGHBOURS)
+    near = cut_lineage(nearest_in(cells, TREE_NEIGHBOURS))
+    cells = replace(cells, blocks=cells.blocks.drop("bound"))
+    ends = near.groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("end"))
+    ends = ends.where(F.col("n") == TREE_NEIGHBOURS).select("point_id", "end")
+    # How far the list of a point is whole.
+    lists = cut_lineage(cells.spots().select("point_id").distinct().join(ends, "point_id", "left").select(
+        "point_id", F.coalesce("end", F.lit(float("inf"))).alias("end")))
+    labels, merges = lists.select("point_id", "end", F.col("point_id").alias("component")), []
+    parts = lists.select(F.col("point_id").alias("component"), F.lit(1).cast("bigint").alias("n"), "end")
+    key = F.struct(F.col("distance").alias("cost"), F.least("point_id", "other").alias("src"),
+                   F.greatest("point_id", "other").alias("dst"))
+    live = cut_lineage(near.select(key.alias("key")).distinct().groupBy(
+        F.col("key.src").alias("a"), F.col("key.dst").alias("b")).agg(F.min("key").alias("key")))
     trees = [points.sparkSession.createDataFrame([], f"src {kind}, dst {kind}, cost double")]
     while True:
-        sizes = cut_lineage(labels.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
-        largest = sizes.agg(F.max(F.struct("n", "component")).alias("o"), F.count(F.lit(1)).alias("k")).first()
-        if largest["k"] <= 1:
+        both = F.array(F.struct(F.col("a").alias("component"), F.col("b").alias("parent")),
+                       F.struct(F.col("b").alias("component"), F.col("a").alias("parent")))
+        ways = live.select("key", F.inline(both)).groupBy("component").agg(F.min(F.struct("key", "parent")).alias("way"))
+        parts = cut_lineage(parts.join(ways, "component", "left").select(
+            "component", "n", "end", "way", F.coalesce(F.col("way.key.cost") < F.col("end"), F.lit(False)).alias("sure")))
+        found = parts.agg(F.max(F.struct("n", "component")).alias("o"), F.count(F.lit(1)).alias("k"),
+                          F.count_if("sure").alias("sure")).first()
+        if found["k"] <= 1:
             break
-        giant = F.lit(largest["o"]["component"])
-        named = cells.told(labels, component=F.col("component"), out=F.col("component") != giant)
-        found = meet(named, _least, f"component {kind}, cost double, src {kind}, dst {kind}",
-                     everywhere, guests="out")
-        picks = cut_lineage(found.groupBy("component").agg(F.min(key).alias("key")).select("component", "key.*"))
-        trees.append(picks.select("src", "dst", "cost").distinct())
-        ends = labels.select(F.col("point_id").alias("src"), F.col("component").alias("a")), labels.select(
-            F.col("point_id").alias("dst"), F.col("component").alias("b"))
-        ways = picks.join(ends[0], "src").join(ends[1], "dst").select(
-            F.col("component").alias("c"), F.when(F.col("a") == F.col("component"), F.col("b")).otherwise(F.col("a")).alias("parent"))
-        # The largest component moves nowhere.
-        rest = sizes.where(F.col("component") == giant).select(F.col("component").alias("c"), F.col("component").alias("parent"))
-        pointers = roots(cut_lineage(ways.unionByName(rest))).withColumnsRenamed({"c": "component", "root": "_root"})
-        labels = cut_lineage(look_up(labels, pointers, "component").select("point_id", F.col("_root").alias("component")))
+        picks = parts.where("sure").select("component", "way.parent", "way.key")
+        if 2 * found["sure"] < found["k"]:
+            for merge in merges:
+                labels = cut_lineage(look_up(labels, merge, "component").select("point_id", "end", F.col("root").alias("component")))
+            merges = []
+            asked = parts.where(~F.col("sure") & (F.col("component") != F.lit(found["o"]["component"])))
+            known = asked.select("component", F.coalesce("way.key.cost", F.lit(float("inf"))).alias("reach"))
+            told = look_up(labels, known, "component", "left")
+            named = cells.told(
+                told, component=F.col("component"), reach=F.coalesce("reach", F.lit(0.0)),
+                out=F.coalesce(F.col("end") <= F.col("reach"), F.lit(False)))
+            further = meet(named, _least, f"component {kind}, parent {kind}, cost double, src {kind}, dst {kind}",
+                           within(), guests="out", radius="reach")
+            further = further.select("component", F.struct(F.struct("cost", "src", "dst").alias("key"), "parent").alias("way"))
+            every = further.unionByName(asked.where("way is not null").select("component", "way"))
+            picks = picks.unionByName(every.groupBy("component").agg(F.min("way").alias("way")).select(
+                "component", "way.parent", "way.key"))
+        picks = cut_lineage(picks)
+        trees.append(picks.select("key.src", "key.dst", "key.cost").distinct())
+        stay = parts.select("component").join(picks, "component", "left_anti").select(
+            F.col("component").alias("c"), F.col("component").alias("parent"))
+        pointers = roots(cut_lineage(picks.select(F.col("component").alias("c"), "parent").unionByName(stay)))
+        merges.append(pointers.withColumnRenamed("c", "component"))
+        parts = cut_lineage(look_up(parts.select("component", "n", "end"), merges[-1], "component").groupBy(
+            F.col("root").alias("component")).agg(F.sum("n").alias("n"), F.min("end").alias("end")))
+        live = contracted(live, pointers)
     return reduce(DataFrame.unionByName, trees)
 
 

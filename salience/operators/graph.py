@@ -59,14 +59,7 @@ def spanning_forest(nodes: DataFrame, edges: DataFrame, cost: str) -> tuple[Data
         trees.append(picks.select("key").distinct())
         pointers = roots(picks.select("c", "parent"))
         merges.append(pointers)
-        near = pointers.select(F.col("c").alias("a"), F.col("root").alias("ra"))
-        far = pointers.select(F.col("c").alias("b"), F.col("root").alias("rb"))
-        live = cut_lineage(
-            _twice(live, near, "a", far, "b")
-            .where(F.col("ra") != F.col("rb"))
-            .groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-            .agg(F.min("key").alias("key"))
-        )
+        live = contracted(live, pointers)
     labels = cut_lineage(nodes.select(F.col("node"), F.col("node").alias("component")))
     for merge in merges:
         moved = look_up(labels, merge.withColumnRenamed("c", "component"), "component", "left")
@@ -77,6 +70,18 @@ def spanning_forest(nodes: DataFrame, edges: DataFrame, cost: str) -> tuple[Data
     return tree.select("key.src", "key.dst", "key.cost"), named
 
 
+def contracted(live: DataFrame, pointers: DataFrame) -> DataFrame:
+    """``(a, b, key)`` between the roots of ``(c, root)``: of parallel edges the least key is left."""
+    near = pointers.select(F.col("c").alias("a"), F.col("root").alias("ra"))
+    far = pointers.select(F.col("c").alias("b"), F.col("root").alias("rb"))
+    return cut_lineage(
+        _twice(live, near, "a", far, "b")
+        .where(F.col("ra") != F.col("rb"))
+        .groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+        .agg(F.min("key").alias("key"))
+    )
+
+
 def _twice(rows: DataFrame, one: DataFrame, key: str, two: DataFrame, other: str) -> DataFrame:
     """Two look-ups in a row; the first adds no rows, so a small table needs no count between."""
     if rows.count() <= lookup.HOT_ROWS:

@@ -363,3 +363,26 @@ def test_products_with_a_graph_are_added_up_in_generated_code(spark):
     assert {r.node: r.vector for r in got.collect()} == {1: [7.0, 70.0], 2: [1.0, 10.0]}
     plan = got._jdf.queryExecution().toString()
     assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+
+
+def test_a_tree_compares_all_points_only_where_lists_end(spark, monkeypatch):
+    """Lists of neighbours settle the rounds; groups larger than a list look further, but not from every point."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 1, (90, 3)), rng.normal(0, 1e-3, (30, 3)) + 9, rng.normal(0, 1e-3, (30, 3)) - 9])
+    table = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "point_id long, features array<double>")
+    guests, plain = [], clustering.meet
+
+    def spy(held, *args, **kwargs):
+        guests.append(held.spots().where("out").count())
+        return plain(held, *args, **kwargs)
+
+    monkeypatch.setattr(clustering, "meet", spy)
+    got = clustering.minimum_spanning_tree(table, 16).collect()
+    gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    near, far, length = np.full(150, True), gap[0].copy(), 0.0
+    near[0] = False
+    while near.any():
+        at = np.flatnonzero(near)[far[near].argmin()]
+        length, near[at], far = length + far[at], False, np.minimum(far, gap[at])
+    assert len(got) == 149 and abs(sum(r.cost for r in got) - length) < 1e-9
+    assert len(guests) <= 2 and sum(guests) <= 60
