@@ -238,7 +238,8 @@ def _reader(cells: Cells) -> Callable[..., Block]:
 
     def read(batch: pa.RecordBatch, row: int, side: str = "", who: str | None = None) -> Block:
         at = lambda c: batch.column(batch.schema.get_field_index(f"{side}{c}"))
-        columns = {c: at(c)[row].values.to_numpy(zero_copy_only=False) for c in names}
+        # Copies, as a view of one value would keep its whole batch.
+        columns = {c: at(c)[row].values.to_numpy(zero_copy_only=False).copy() for c in names}
         data = located(_unpacked(at("vectors")[row].as_buffer(), len(columns["point_id"]), width), metric)
         if who:
             own = columns[who].astype(bool)
@@ -472,12 +473,15 @@ def meet(
 
         def groups() -> Groups:
             for _, own in groupby(pairs, key=lambda p: p[0]):
-                _, batch, row = head = next(own)
-                x = read(batch, row, "x_", guests)
+                _, batch, row = next(own)
+                x, first = read(batch, row, "x_", guests), read(batch, row, "y_", homes)
                 x.open = ask(x, _radii(x, radius))
+                # Batches that the visitors' homes are past are let go.
+                del batch
 
-                def ys(x=x, own=own, head=head):
-                    for _, batch, row in chain([head], own):
+                def ys(x=x, own=own, first=first):
+                    yield first, np.flatnonzero(x.open[:, first.cell])
+                    for _, batch, row in own:
                         y = read(batch, row, "y_", homes)
                         yield y, np.flatnonzero(x.open[:, y.cell])
 
